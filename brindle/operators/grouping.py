@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import shuffle_width
+
 LIST_ROWS = 100_000
 
 
@@ -40,43 +42,43 @@ def cogroup(key: str, sides: dict[str, tuple[DataFrame, Column]], max_rows: int
     return out
 
 
-def fold_partitions(
-    df: DataFrame, seq: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Partial results of ``seq``, one small frame per Arrow batch, unmerged."""
-
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                yield seq(batch)
-
-    return df.mapInPandas(run, schema)
-
-
 def fold_by_key(
     df: DataFrame,
     keys: Sequence[str],
     seq: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
-    fan_in: int = 64,
-    levels: int = 2,
+    fan_in: int = 256,
+    flush_rows: int = 200_000,
 ) -> DataFrame:
-    """General fold: ``seq`` reduces any set of rows of the output schema's shape.
+    """General associative, commutative fold.
 
-    Batches are reduced where they lie; the partials are then merged in levels
-    of ``fan_in`` groups per key, so a hot key never meets one task as a whole.
-    ``seq`` takes and returns frames with the columns of ``schema`` and must be
-    associative and commutative.
+    ``seq`` reduces any frame with the columns of ``schema`` to one row per key,
+    and its own output is valid input again.  Rows are reduced where they lie,
+    then by (key, salt), then by key, so a hot key arrives at its last task as
+    at most ``fan_in`` rows.
     """
-    keys = list(keys)
-    part = fold_partitions(df, seq, schema)
-    for level in range(levels - 1, 0, -1):
-        salt = F.pmod(F.spark_partition_id(), fan_in**level)
-        salted = part.withColumn("__salt", salt)
-        part = salted.groupBy(*keys, "__salt").applyInPandas(
-            lambda pdf: seq(pdf.drop(columns="__salt")), schema
-        )
-    return part.groupBy(*keys).applyInPandas(seq, schema)
+
+    def reduce_part(flush):
+        def run(batches):
+            kept = None
+            for batch in batches:
+                kept = seq(batch if kept is None else pd.concat([kept, batch], ignore_index=True))
+                if flush and len(kept) > flush:
+                    yield kept
+                    kept = None
+            if kept is not None:
+                yield kept
+
+        return run
+
+    width = shuffle_width(df.sparkSession)
+    columns = [F.col(k) for k in keys]
+    part = df.mapInPandas(reduce_part(flush_rows), schema)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(fan_in))
+    part = part.withColumn("__salt", salt).repartition(width, *columns, F.col("__salt")).drop("__salt")
+    part = part.mapInPandas(reduce_part(0), schema)
+    part = part.repartition(width, *columns) if columns else part.repartition(1)
+    return part.mapInPandas(reduce_part(0), schema)
 
 
 def tree_aggregate(

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.session import scratch_path
 
@@ -13,9 +14,14 @@ BATCH = "__batch"
 
 
 def file_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
-    """Stream over the files of a folder (or one file); parquet schemas come from the files."""
+    """Stream over the files of a folder (or one file); parquet schemas come from the files.
+
+    A table path may be a single file; as a glob it is accepted like a folder.
+    """
     if schema is None:
         schema = spark.read.format(fmt).load(path).schema
+    if path.endswith(f".{fmt}"):
+        path = f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
@@ -50,7 +56,7 @@ def run_to_table(
         batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
     run_batches(stream, write, label, mode, checkpoint)
-    rows = spark.read.schema(stream.schema.add(BATCH, "long")).parquet(out)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField(BATCH, T.LongType())])).parquet(out)
     if mode == "complete":
         last = rows.agg(F.max(BATCH).alias(BATCH))
         return rows.join(F.broadcast(last), BATCH).drop(BATCH)  # one row

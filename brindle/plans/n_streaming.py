@@ -340,7 +340,8 @@ def n35(t):
 
 @query("n34_state_store_with_timeout", "SELECT user_id, COUNT(*) AS n FROM events GROUP BY 1")
 def n34_store(t):
-    stream = running_counts_with_timeout(_events(t, "user_id"), "user_id", 3_600_000)
+    stream = _events(t, "user_id", utc_instant(F.col("ts")).alias("ts")).withWatermark("ts", "1 hour")
+    stream = running_counts_with_timeout(stream, "user_id", "ts", 400 * 86_400_000)
     return run_to_table(stream, "store", "update", ["user_id"]).select("user_id", "n")
 
 

@@ -51,21 +51,29 @@ class KeyedState:
         return spark.read.schema(schema).parquet(f"{out}/v{version % 3}"), checkpoint, out
 
 
-def running_counts_with_timeout(stream: DataFrame, key: str, idle_ms: int) -> DataFrame:
-    """Running count per key in the engine's own state store; an idle key is emitted once more and dropped."""
+def running_counts_with_timeout(stream: DataFrame, key: str, time: str, idle_ms: int) -> DataFrame:
+    """Running count per key in the engine's own state store.
+
+    The stream carries a watermark on ``time``.  A key without rows for
+    ``idle_ms`` of event time is emitted once more, closed, and forgotten.
+    """
     kind = dict(stream.dtypes)[key]
 
     def step(k, frames, state: GroupState):
         if state.hasTimedOut:
-            (n,) = state.get
+            n, _ = state.get
             state.remove()
             yield pd.DataFrame({key: [k[0]], "n": [n], "closed": [True]})
             return
-        n = (state.get[0] if state.exists else 0) + sum(len(f) for f in frames)
-        state.update((n,))
-        state.setTimeoutDuration(idle_ms)
+        n, last = state.get if state.exists else (0, 0)
+        for frame in frames:
+            n += len(frame)
+            last = max(last, int(frame["__ms"].max()))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "n": [n], "closed": [False]})
 
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, n long, closed boolean", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    rows = stream.select(key, time, F.unix_millis(time).alias("__ms"))
+    return rows.groupBy(key).applyInPandasWithState(
+        step, f"`{key}` {kind}, n long, closed boolean", "n long, last long", "update", GroupStateTimeout.EventTimeTimeout
     )

@@ -43,4 +43,5 @@ def windows_from_panes(
     totals = change.select(*keys, "e", F.lead("e").over(w).alias("next"), *[F.sum(c).over(upto).alias(c) for c in sums])
     alive = totals.filter((F.col(count) > 0) & F.col("next").isNotNull())
     ends = F.explode(F.sequence(F.col("e"), F.col("next") - slide, F.lit(slide).cast("long")))
-    return alive.select(F.timestamp_seconds(ends).alias("window_end"), *keys, *sums)
+    filled = alive.select(ends.alias("e"), *keys, *sums)
+    return filled.select(F.timestamp_seconds("e").alias("window_end"), *keys, *sums)

@@ -59,6 +59,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_LIMIT) ->
     )
 
 
+def add_salt(big: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "__salt") -> DataFrame:
+    """Rows of hot keys spread over the salts that :func:`hot_keys` grants; 0 for the rest."""
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), salts).cast("int")
+    return big.join(F.broadcast(hot), list(keys), "left").withColumn(name, spread).drop("__salts")
+
+
+def repeat_per_salt(small: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "__salt") -> DataFrame:
+    """The other side of a salted join: a row of a hot key once for every salt."""
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
+    return small.join(F.broadcast(hot), list(keys), "left").withColumn(name, every).drop("__salts")
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join whose big side may hold a third of its rows under one key.
 
@@ -69,11 +82,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys))
-    salts = F.coalesce(F.col("__salts"), F.lit(1))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), salts).cast("int")
-    left = big.join(hot, keys, "left").withColumn("__salt", spread).drop("__salts")
-    right = small.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    hot = hot_keys(big, keys)
+    left, right = add_salt(big, hot, keys), repeat_per_salt(small, hot, keys)
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.graph.frame import Graph, Send, collect_messages, pregel
-from brindle.operators.relational import salted_join
+from brindle.operators.relational import salted_join, union_all_of
 from brindle.session import cut_lineage
 
 
@@ -169,31 +169,31 @@ def shortest_paths(graph: Graph, landmarks: Sequence[int], max_rounds: int = 10*
     """Rows (id, landmark, hops) along edge direction, for every reachable landmark."""
     edges = graph.prepared
     start = graph.vertices.filter(F.col("id").isin(list(landmarks)))
-    known = cut_lineage(start.select("id", F.col("id").alias("landmark"), F.lit(0).alias("hops")))
-    frontier = known
+    frontier = cut_lineage(start.select("id", F.col("id").alias("landmark"), F.lit(0).alias("hops")))
+    found = [frontier]
     for hop in range(1, max_rounds + 1):
         reached = edges.join_dst(frontier).select(F.col("src").alias("id"), F.col("dst_landmark").alias("landmark")).distinct()
-        new = reached.join(known.select("id", "landmark"), ["id", "landmark"], "left_anti").withColumn("hops", F.lit(hop))
-        frontier = cut_lineage(new)
+        new = reached.join(union_all_of(found).select("id", "landmark"), ["id", "landmark"], "left_anti")
+        frontier = cut_lineage(new.withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
-        known = cut_lineage(known.unionAll(frontier))
-    return known
+        found.append(frontier)
+    return union_all_of(found)
 
 
 def transitive_closure(edges: DataFrame, max_rounds: int = 10**6) -> DataFrame:
     """All (src, dst) with a path, extending only the newest pairs each round."""
     base = cut_lineage(edges.select("src", "dst").distinct())
     steps = Graph.from_edges(base).prepared
-    known = newest = base
+    newest, pieces = base, [base]
     for _ in range(max_rounds):
         ahead = newest.select(F.col("dst").alias("id"), F.col("src").alias("start"))
         found = steps.join_src(ahead).select(F.col("src_start").alias("src"), "dst").distinct()
-        newest = cut_lineage(found.join(known, ["src", "dst"], "left_anti"))
+        newest = cut_lineage(found.join(union_all_of(pieces), ["src", "dst"], "left_anti"))
         if newest.isEmpty():
             break
-        known = cut_lineage(known.unionAll(newest))
-    return known
+        pieces.append(newest)
+    return union_all_of(pieces)
 
 
 def _vector_sum(column: str, rank: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.grouping import group_lists
-from brindle.operators.relational import add_salt, hot_keys, repeat_per_salt
+from brindle.operators.relational import add_salt, attach_row, hot_keys, repeat_per_salt
 from brindle.session import cut_lineage
 
 
@@ -220,7 +220,7 @@ def pregel(
         merged = collect_messages(triplets, sends, merge).withColumn("__got", F.lit(True))
         joined = state.join(merged, "id", "left")
         if aggregator is not None:
-            joined = joined.crossJoin(F.broadcast(state.agg(aggregator.alias("total"))))  # one row
+            joined = attach_row(joined, state.agg(aggregator.alias("total")))
         got = F.col("__got")
         new = joined.select(
             "id",

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.relational import attach_row, salted_join
+from brindle.session import cut_lineage
+
 
 def terms(df: DataFrame, key: str, text: str, pattern: str = r"[ \n\t]+") -> DataFrame:
     """Rows (key, term, tf) over the whole text."""
@@ -23,15 +26,14 @@ def hashed_terms(tf: DataFrame, key: str, size: int, digest: Callable[[Column],
 def inverse_frequency(tf: DataFrame, key: str, min_docs: int = 0) -> DataFrame:
     """Rows (term, df, idf) with idf = log((m + 1) / (df + 1)); 0 below ``min_docs``."""
     total = tf.agg(F.count_distinct(key).alias("m"))
-    counts = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
+    counts = attach_row(tf.groupBy("term").agg(F.count("*").alias("df")), total)
     idf = F.when(F.col("df") >= min_docs, F.log((F.col("m") + 1) / (F.col("df") + 1))).otherwise(0.0)
     return counts.select("term", "df", idf.alias("idf"))
 
 
 def tf_idf(tf: DataFrame, key: str) -> DataFrame:
     """Rows (key, term, weight); a term of a third of all rows is salted in the join."""
-    from brindle.operators.relational import salted_join
-
+    tf = cut_lineage(tf)  # read four times below; the texts are split once
     weighted = salted_join(tf, inverse_frequency(tf, key).select("term", "idf"), ["term"])
     return weighted.select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
@@ -72,7 +74,7 @@ def standard_scale(df: DataFrame, vector: str, out: str = "scaled", mean: bool =
     places = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
     # one row per place of the vector: the moments are collected into two short arrays
     moments = places.agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("__mo"))
-    joined = df.crossJoin(F.broadcast(moments))
+    joined = attach_row(df, moments)
     def scale(x, i):
         m = F.col("__mo")[i]
         centred = x - m["m"] if mean else x

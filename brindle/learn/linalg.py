@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.grouping import group_lists
+
 MAX_COLUMNS = 4096
 
 
@@ -29,11 +31,15 @@ def gramian(df: DataFrame, vector: str) -> DataFrame:
         for rows in batches:
             block = np.stack(rows[vector].to_numpy()).astype("float64")
             total += block.T @ block
-        i, j = np.indices((width, width))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+        i, j = np.triu_indices(width)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
 
     parts = df.select(vector).mapInPandas(partial, "i int, j int, v double")
-    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    upper = parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    mirrored = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "v"))).otherwise(
+        F.array(F.struct("i", "j", "v"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    )
+    return upper.select(F.inline(mirrored))
 
 
 def column_means(df: DataFrame, vector: str) -> DataFrame:
@@ -89,5 +95,5 @@ def svd(df: DataFrame, vector: str, k: int, tolerance: float = 1e-9) -> tuple[Da
 
 
 def entries_to_rows(entries: DataFrame) -> DataFrame:
-    """(i, j, v) to (i, cells): a sparse row is bounded by the number of columns."""
-    return entries.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("cells"))
+    """(i, j, v) to (i, chunk, cells); a very long sparse row comes in several chunks."""
+    return group_lists(entries, "i", F.struct("j", "v"), "cells")

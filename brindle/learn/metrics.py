@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.ordered import running_totals, sliding
+from brindle.operators.relational import attach_row
 
 
 def confusion(df: DataFrame, prediction: str, label: str) -> DataFrame:
@@ -16,7 +17,7 @@ def class_metrics(cells: DataFrame) -> DataFrame:
     """Rows (label, precision, recall, f1, share) from confusion counts."""
     hits = cells.groupBy("label").agg(F.sum("n").alias("actual"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
     said = cells.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("said"))
-    both = hits.join(said, "label", "left").join(F.broadcast(cells.agg(F.sum("n").alias("total"))))  # one row
+    both = attach_row(hits.join(said, "label", "left"), cells.agg(F.sum("n").alias("total")))
     precision = F.when(F.col("said") > 0, F.col("hit") / F.col("said")).otherwise(0.0)
     recall = F.col("hit") / F.col("actual")
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
@@ -37,7 +38,7 @@ def threshold_counts(df: DataFrame, score: str, label: str) -> DataFrame:
     )
     run = running_totals(counts, [], [F.desc("threshold")], {"tp": F.col("p"), "fp": F.col("q")})
     totals = counts.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
-    return run.join(F.broadcast(totals)).drop("p", "q")  # one row
+    return attach_row(run, totals).drop("p", "q")
 
 
 def roc_points(counts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.learn.features import dot, literal_vector
-from brindle.operators.relational import bounded_cross, salted_join
+from brindle.operators.relational import attach_row, bounded_cross, salted_join
 
 
 def naive_bayes(rows: DataFrame, key: str, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -18,14 +18,14 @@ def naive_bayes(rows: DataFrame, key: str, smoothing: float = 1.0) -> tuple[Data
     docs = rows.select(key, "label").distinct().groupBy("label").agg(F.count("*").alias("n"))
     n_all = docs.agg(F.sum("n").alias("total"), F.count("*").alias("labels"))
     prior = F.log((F.col("n") + smoothing) / (F.col("total") + smoothing * F.col("labels")))
-    priors = docs.join(F.broadcast(n_all)).select("label", prior.alias("prior"))  # one row
+    priors = attach_row(docs, n_all).select("label", prior.alias("prior"))
     sums = rows.groupBy("label", "feature").agg(F.sum("weight").alias("w"))
     features = sums.select("feature").distinct()
     count = features.agg(F.count("*").alias("features"))
     totals = sums.groupBy("label").agg(F.sum("w").alias("total"))
     theta = F.log((F.coalesce("w", F.lit(0.0)) + smoothing) / (F.col("total") + smoothing * F.col("features")))
     # every label with every feature: the size of the model itself; the labels are few, and counted
-    grid = bounded_cross(features, totals.join(F.broadcast(count)), 10_000)
+    grid = bounded_cross(features, attach_row(totals, count), 10_000)
     thetas = grid.join(sums, ["label", "feature"], "left").select("label", "feature", theta.alias("theta"))
     return priors, thetas
 
@@ -33,9 +33,8 @@ def naive_bayes(rows: DataFrame, key: str, smoothing: float = 1.0) -> tuple[Data
 def naive_bayes_scores(rows: DataFrame, key: str, priors: DataFrame, thetas: DataFrame) -> DataFrame:
     """Rows (key, prediction): the label of the highest score, the smallest label of ties."""
     parts = rows.join(thetas.withColumnRenamed("label", "__l"), "feature").groupBy(key, "__l").agg(F.sum(F.col("weight") * F.col("theta")).alias("s"))
-    scored = parts.join(F.broadcast(priors.withColumnRenamed("label", "__l")), "__l").withColumn("s", F.round(F.col("s") + F.col("prior"), 9))
-    best = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("m"), F.col("__l").alias("l"))))[0]["l"].alias("prediction"))
-    return best
+    scored = parts.join(priors.withColumnRenamed("label", "__l"), "__l").withColumn("s", F.round(F.col("s") + F.col("prior"), 9))
+    return scored.groupBy(key).agg(F.min(F.struct((-F.col("s")).alias("m"), F.col("__l").alias("l")))["l"].alias("prediction"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.ordered import value_ranks
-from brindle.operators.relational import salted_join
+from brindle.operators.relational import attach_row, salted_join
 
 
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -91,7 +91,7 @@ def goodness_of_fit(observed: DataFrame, count: str, expected: str | None = None
     weight = F.col(expected) if expected else F.lit(1.0)
     sums = observed.agg(F.sum(count).alias("__o"), F.sum(weight).alias("__e"))
     e = weight * F.col("__o") / F.col("__e")
-    joined = observed.crossJoin(F.broadcast(sums))  # one row
+    joined = attach_row(observed, sums)
     return joined.agg(F.sum((F.col(count) - e) ** 2 / e).alias("statistic"), (F.count("*") - 1).alias("freedom"))
 
 
@@ -108,7 +108,7 @@ def independence(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Dat
     if keys:
         joined = parts.join(total, keys).join(width, keys)
     else:
-        joined = parts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(width))  # one row each
+        joined = attach_row(attach_row(parts, total), width)
     statistic = F.col("t") * F.col("s") - F.col("t")
     return joined.select(*keys, statistic.alias("statistic"), ((F.col("na") - 1) * (F.col("nb") - 1)).alias("freedom"))
 

@@ -13,20 +13,23 @@ from brindle.session import shuffle_width
 LIST_ROWS = 100_000
 
 
-def group_lists(df: DataFrame, key: str, value: Column, name: str = "values", max_rows: int = LIST_ROWS) -> DataFrame:
+def group_lists(
+    df: DataFrame, key: str | Sequence[str], value: Column, name: str = "values", max_rows: int = LIST_ROWS
+) -> DataFrame:
     """Values of each key as (key, chunk, sorted list).
 
     A key with up to ``max_rows`` rows gives one list, chunk 0.  A bigger key
     gives several chunks, so that no list outgrows a task; all values stay.
     """
-    rows = df.select(F.col(key), value.alias("__value"))
-    big = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max_rows)
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df.select(*keys, value.alias("__value"))
+    big = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > max_rows)
     chunks = F.coalesce(F.ceil(F.col("__n") / max_rows * 2), F.lit(1)).cast("int")
     spread = F.pmod(F.xxhash64("__value", F.monotonically_increasing_id()), chunks).cast("int")
     return (
-        rows.join(big, key, "left")
+        rows.join(big, keys, "left")
         .withColumn("chunk", spread)
-        .groupBy(key, "chunk")
+        .groupBy(*keys, "chunk")
         .agg(F.sort_array(F.collect_list("__value")).alias(name))
     )
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.relational import attach_row
+
 
 def even_histogram(df: DataFrame, value: str, buckets: int) -> DataFrame:
     """Rows (bucket, low, high, n): even buckets from min to max, empty ones with n = 0."""
@@ -16,8 +18,7 @@ def even_histogram(df: DataFrame, value: str, buckets: int) -> DataFrame:
         F.least(F.floor((F.col(value) - F.col("__lo")) * buckets / span), F.lit(buckets - 1))
     )
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .crossJoin(F.broadcast(bounds))  # one row
+        attach_row(df.filter(F.col(value).isNotNull()), bounds)
         .groupBy(place.cast("int").alias("bucket"))
         .agg(F.count("*").alias("n"))
     )

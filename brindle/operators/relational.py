@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 HOT_KEY_LIMIT = 1000
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a frame that is one row, such as a global aggregate, to every row."""
+    return df.crossJoin(F.broadcast(row))
+
+
 def auto_alias(df: DataFrame, *exprs: Column | str) -> DataFrame:
     """Select expressions, naming the unnamed ones c0, c1, ... by position."""
     out = []
@@ -53,7 +58,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_LIMIT) ->
     total = counts.agg(F.sum("__n").alias("__total"))
     floor = F.greatest(F.col("__total") / limit, F.lit(1))
     return (
-        counts.crossJoin(F.broadcast(total))  # one row
+        attach_row(counts, total)
         .filter(F.col("__n") > floor)
         .select(*keys, F.least(F.ceil(F.col("__n") * limit / F.col("__total")), F.lit(limit)).cast("int").alias("__salts"))
     )

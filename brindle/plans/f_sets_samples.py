@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from brindle.operators.relational import except_keep_duplicates, intersect_rows, union_all_of
+from brindle.operators.relational import attach_row, except_keep_duplicates, intersect_rows, union_all_of
 from brindle.operators.sampling import (
     bucket_sample,
     exact_stratified_sample,
@@ -130,7 +130,7 @@ def f16_random(t):
 def f17(t):
     folds = k_folds(t.orders.select("o_orderkey"), 4, 23)
     counts = [
-        train.agg(F.lit(i).alias("fold"), F.count("*").alias("train")).join(val.agg(F.count("*").alias("validation")))
+        attach_row(train.agg(F.lit(i).alias("fold"), F.count("*").alias("train")), val.agg(F.count("*").alias("validation")))
         for i, (train, val) in enumerate(folds)
     ]
     return union_all_of(counts)

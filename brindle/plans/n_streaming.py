@@ -1,12 +1,14 @@
 """Streaming jobs; each replays the events (or texts) to the end and returns the result table."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brindle.operators.grouping import group_lists
 from brindle.operators.relational import union_all_of
 from brindle.registry import query
 from brindle.session import scratch_path
 from brindle.streaming.replay import file_stream, run_batches, run_to_table
-from brindle.streaming.sources import constant_stream, queue_folder, queue_stream
+from brindle.streaming.sources import BatchQueue, constant_stream
 from brindle.streaming.state import KeyedState, running_counts_with_timeout
 from brindle.streaming.windows import panes, utc_instant, windowed, windows_from_panes
 
@@ -30,8 +32,7 @@ def _queue(t, cols, parts=4):
     """Events of consecutive quarters of the id range as a queue of batches."""
     events = t.events.select(*cols)
     top = events.agg((F.max("event_id") + 1).alias("top")).first()["top"]
-    folder = queue_folder(events, F.floor(F.col("event_id") * parts / top), parts, "queue")
-    return queue_stream(t.spark, folder, events.schema)
+    return BatchQueue(events, F.floor(F.col("event_id") * parts / top), parts, "queue")
 
 
 _BATCHES = "floor(event_id * 4 / (SELECT MAX(event_id) + 1 FROM events))::INTEGER"
@@ -62,10 +63,7 @@ def n4(t):
 
 @query("n5_queue_of_batches", f"SELECT {_BATCHES} AS batch, COUNT(*) AS n FROM events GROUP BY 1")
 def n5(t):
-    stream = _queue(t, ["event_id"])
-    out = scratch_path(t.spark, "per-batch")
-    run_batches(stream, lambda b, i: b.agg(_n()).withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}"), "queue")
-    return t.spark.read.parquet(out).filter("n > 0").select("batch", "n")
+    return _per_batch(t, ["event_id"], lambda b: b.agg(_n()), "queue")
 
 
 @query("n6_constant_source", "SELECT event_id, r_name FROM events CROSS JOIN region WHERE event_type = 'signup'")
@@ -137,7 +135,8 @@ def _per_batch(t, cols, fn, label):
     def write(batch, i):
         fn(batch).withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}")
 
-    run_batches(_queue(t, cols), write, label)
+    queue = _queue(t, cols)
+    run_batches(queue.stream, write, label, feeds=queue.feeds)
     return t.spark.read.parquet(out).drop("b")
 
 
@@ -282,12 +281,13 @@ def n30(t):
 
 @query(
     "n31_group_by_key_and_window",
-    _sliding_sql("event_type, string_agg(DISTINCT user_id, ',' ORDER BY user_id) AS users", ", event_type", "6 HOUR", 21600),
+    _sliding_sql("event_type, 0 AS chunk, string_agg(DISTINCT user_id, ',' ORDER BY user_id) AS users", ", event_type", "6 HOUR", 21600),
 )
 def n31(t):
-    """Windows without overlap; the list per key is the set of its users."""
-    users = F.array_join(F.transform(F.array_sort(F.collect_set("user_id")), lambda u: u.cast("string")), ",")
-    return _windows(t, "group-window", ["event_type"], [users.alias("users")], "6 hours", None)
+    """The stream keeps one row per (window, key, value); the lists are made, in chunks, from its table."""
+    rows = _windows(t, "group-window", ["event_type", "user_id"], [_n()], "6 hours", None)
+    lists = group_lists(rows, ["window_end", "event_type"], F.col("user_id"), "users")
+    return lists.withColumn("users", F.array_join(F.transform("users", lambda u: u.cast("string")), ","))
 
 
 @query("n32_reduce_by_key_and_window", _sliding_sql("user_id, MAX(value) AS top", ", user_id"))
@@ -307,7 +307,8 @@ _KEYED = f"""WITH c AS (SELECT floor(value * 10)::BIGINT AS k, {_BATCHES} AS bat
 
 
 def _keyed_queue(t):
-    return _queue(t, ["event_id", "value"]).select(F.floor(F.col("value") * 10).alias("k"))
+    queue = _queue(t, ["event_id", "value"])
+    return queue.stream.select(F.floor(F.col("value") * 10).alias("k")), queue.feeds
 
 
 @query(
@@ -320,7 +321,8 @@ def n34(t):
     def update(old):
         return F.when(F.col("n").isNull(), old - 2).otherwise(F.coalesce(old, F.lit(0)) + F.col("n"))
 
-    return KeyedState("k", [_n()], update, "bigint").run(_keyed_queue(t), "state")[0]
+    stream, feeds = _keyed_queue(t)
+    return KeyedState("k", [_n()], update, "bigint").run(stream, "state", feeds=feeds)[0]
 
 
 @query(
@@ -335,7 +337,8 @@ def n35(t):
     def update(old):
         return F.when(F.col("n").isNotNull(), F.coalesce(old, F.lit(0)) + F.col("n"))
 
-    return KeyedState("k", [_n()], update, "bigint").run(_keyed_queue(t), "drop")[0]
+    stream, feeds = _keyed_queue(t)
+    return KeyedState("k", [_n()], update, "bigint").run(stream, "drop", feeds=feeds)[0]
 
 
 @query("n34_state_store_with_timeout", "SELECT user_id, COUNT(*) AS n FROM events GROUP BY 1")
@@ -455,13 +458,10 @@ def n44(t):
         QUALIFY row_number() OVER (PARTITION BY window_end ORDER BY n DESC, user_id) <= 3""",
 )
 def n45(t):
-    """Top three per window: max_by over counts, one row per (window, user)."""
+    """Top three per window; the rank limit is applied before the shuffle, so a window of many users stays small."""
     counts = _windows(t, "tags", ["user_id"], [_n()], "6 hours", None)
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("user_id")))), 1, 3)
-    salted = counts.groupBy("window_end", F.pmod(F.hash("user_id"), F.lit(64)).alias("s")).agg(ranked.alias("top"))
-    tops = salted.groupBy("window_end").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 3).alias("top"))
-    rows = tops.select("window_end", F.inline("top"))
-    return rows.select("window_end", "user_id", (-F.col("m")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("window_end").orderBy(F.desc("n"), "user_id"))
+    return counts.withColumn("place", place).filter("place <= 3").drop("place")
 
 
 @query("n46_heavy_hitters")
@@ -519,5 +519,6 @@ def n55(t):
 
 @query("n56_queue_mod_ten", "SELECT event_id % 10 AS k, COUNT(*) AS n FROM events GROUP BY 1")
 def n56(t):
-    counts = _queue(t, ["event_id"]).groupBy((F.col("event_id") % 10).alias("k")).agg(_n())
-    return run_to_table(counts, "mod", "update", ["k"])
+    queue = _queue(t, ["event_id"])
+    counts = queue.stream.groupBy((F.col("event_id") % 10).alias("k")).agg(_n())
+    return run_to_table(counts, "mod", "update", ["k"], feeds=queue.feeds)

@@ -20,6 +20,7 @@ from brindle.graph.algorithms import (
     triangle_counts,
 )
 from brindle.graph.frame import Graph, Send, place_edges, pregel
+from brindle.operators.relational import attach_row, union_all_of
 from brindle.registry import query
 
 _CALLS = "(SELECT DISTINCT user_id AS src, CAST(json_extract(props, '$.k') AS BIGINT) AS dst FROM events)"
@@ -166,7 +167,7 @@ def o14(t):
 @query("o15_counts", f"SELECT (SELECT COUNT(*) FROM {_IDS}) AS vertices, (SELECT COUNT(*) FROM {_CALLS}) AS edges")
 def o15(t):
     g = _calls(t)
-    return g.vertices.agg(F.count("*").alias("vertices")).join(g.edges.agg(F.count("*").alias("edges")))
+    return attach_row(g.vertices.agg(F.count("*").alias("vertices")), g.edges.agg(F.count("*").alias("edges")))
 
 
 @query(
@@ -248,8 +249,6 @@ def o25(t):
 
 @query("o26_edge_placement")
 def o26(t):
-    from brindle.operators.relational import union_all_of
-
     edges = _calls(t).edges
     rules = ["1d", "2d", "random", "canonical"]
     placed = [place_edges(edges, 9, r).groupBy(F.spark_partition_id().alias("part")).agg(_n()).withColumn("rule", F.lit(r)) for r in rules]
@@ -457,8 +456,6 @@ def o46(t):
         UNION ALL SELECT 'either', 2 * COUNT(*) FROM {_CALLS} UNION ALL SELECT 'in', COUNT(*) FROM {_CALLS} UNION ALL SELECT 'out', COUNT(*) FROM {_CALLS}""",
 )
 def o47(t):
-    from brindle.operators.relational import union_all_of
-
     g = _calls(t)
     return union_all_of([g.directed_pairs(d).agg(F.lit(d).alias("direction"), _n()) for d in ("both", "either", "in", "out")])
 

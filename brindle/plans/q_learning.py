@@ -256,13 +256,13 @@ def q22(t):
 
 @query(
     "q23_coordinate_matrix_to_rows",
-    """SELECT i, string_agg(j || ':' || v, ',' ORDER BY j) AS cells FROM (SELECT c_nationkey AS i, length(c_mktsegment)::INTEGER AS j, COUNT(*) AS v
+    """SELECT i, 0 AS chunk, string_agg(j || ':' || v, ',' ORDER BY j) AS cells FROM (SELECT c_nationkey AS i, length(c_mktsegment)::INTEGER AS j, COUNT(*) AS v
        FROM customer GROUP BY 1, 2) GROUP BY 1""",
 )
 def q23(t):
     entries = t.customer.groupBy(F.col("c_nationkey").alias("i"), F.length("c_mktsegment").alias("j")).agg(F.count("*").alias("v"))
     cells = F.transform("cells", lambda c: F.concat_ws(":", c["j"].cast("string"), c["v"].cast("string")))
-    return linalg.entries_to_rows(entries).select("i", F.array_join(cells, ",").alias("cells"))
+    return linalg.entries_to_rows(entries).select("i", "chunk", F.array_join(cells, ",").alias("cells"))
 
 
 # --- linear models -----------------------------------------------------------------------------------
@@ -863,17 +863,17 @@ def _online(t, predict):
     """Train on every micro-batch of a queue of parts, then score a second stream with the weights reached."""
     from brindle.session import scratch_path
     from brindle.streaming.replay import file_stream, run_batches, run_to_table
-    from brindle.streaming.sources import queue_folder, queue_stream
+    from brindle.streaming.sources import BatchQueue
 
     rows = _regression(t).withColumn("id", F.monotonically_increasing_id())
-    folder = queue_folder(rows, F.pmod("id", F.lit(3)), 3, "online")
+    queue = BatchQueue(rows, F.pmod("id", F.lit(3)), 3, "online")
     state = {"w": np.zeros(3)}
 
     def step(batch, _):
         if not batch.isEmpty():
             state["w"], _ = linear.minibatch_sgd(batch, linear.least_squares, linear.plain, state["w"], 0.5, 3)
 
-    run_batches(queue_stream(t.spark, folder, rows.schema), step, "online")
+    run_batches(queue.stream, step, "online", feeds=queue.feeds)
     if not predict:
         return _weights(t, state["w"])
     out = scratch_path(t.spark, "to-score")

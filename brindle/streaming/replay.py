@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.operators.relational import attach_row
 from brindle.session import scratch_path
 
 BATCH = "__batch"
@@ -25,23 +26,32 @@ def file_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=Non
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
-def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], label: str, mode: str = "append", checkpoint: str | None = None) -> str:
-    """Process everything available through ``write(batch, batch_id)``; returns the checkpoint folder."""
+def run_batches(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], label: str, mode: str = "append",
+    checkpoint: str | None = None, feeds: Sequence[Callable[[], None]] = (),
+) -> str:
+    """Process what is available through ``write(batch, batch_id)``; returns the checkpoint folder.
+
+    With ``feeds`` the query is run once after each of them, going on from its
+    checkpoint, so that every feed is a micro-batch of its own.
+    """
     checkpoint = checkpoint or scratch_path(stream.sparkSession, f"{label}-state")
-    running = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    running.awaitTermination()
+    for feed in feeds or [lambda: None]:
+        feed()
+        running = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+        running.awaitTermination()
     return checkpoint
 
 
 def run_to_table(
     stream: DataFrame, label: str, mode: str = "append", keys: Sequence[str] = (), checkpoint: str | None = None,
-    out: str | None = None,
+    out: str | None = None, feeds: Sequence[Callable[[], None]] = (),
 ) -> DataFrame:
     """Result of a stream as a table.
 
@@ -55,11 +65,11 @@ def run_to_table(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
-    run_batches(stream, write, label, mode, checkpoint)
+    run_batches(stream, write, label, mode, checkpoint, feeds)
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField(BATCH, T.LongType())])).parquet(out)
     if mode == "complete":
         last = rows.agg(F.max(BATCH).alias(BATCH))
-        return rows.join(F.broadcast(last), BATCH).drop(BATCH)  # one row
+        return attach_row(rows.withColumnRenamed(BATCH, "__at"), last).filter(F.col("__at") == F.col(BATCH)).drop("__at", BATCH)
     if mode == "update":
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), BATCH).alias("__r"))
         return newest.select("__r.*").drop(BATCH)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from brindle.operators.relational import bounded_cross
 from brindle.session import scratch_path
-from brindle.streaming.replay import file_stream
 
 
 def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
@@ -20,24 +21,25 @@ def socket_records(spark: SparkSession, host: str, port: int, convert: Column) -
     return socket_lines(spark, host, port).select(convert.alias("record")).filter("record IS NOT NULL")
 
 
-def queue_folder(df: DataFrame, batch: Column, count: int, label: str) -> str:
-    """Write the rows of batch 0, 1, ... one after the other, as a queue of batches."""
-    folder = scratch_path(df.sparkSession, label)
-    staged = scratch_path(df.sparkSession, f"{label}-staged")
-    df.withColumn("__b", batch.cast("int")).write.partitionBy("__b").parquet(staged)
-    rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("__b", T.IntegerType())])).parquet(staged)
-    for i in range(count):
-        rows.filter(F.col("__b") == i).drop("__b").coalesce(1).write.mode("append").parquet(folder)
-    return folder
+class BatchQueue:
+    """Frames that become the micro-batches of a stream, one after the other.
 
+    ``stream`` reads the queue's folder.  ``feeds`` append the next batch to it,
+    with as many files as the frame has partitions; a runner that calls one feed
+    before each run sees one batch at a time, one that calls all of them first
+    sees a single batch.
+    """
 
-def queue_stream(spark: SparkSession, folder: str, schema, one_at_a_time: bool = True) -> DataFrame:
-    options = {"maxFilesPerTrigger": 1} if one_at_a_time else {}
-    return file_stream(spark, folder, schema=schema, **options)
+    def __init__(self, df: DataFrame, batch: Column, count: int, label: str):
+        self.folder = scratch_path(df.sparkSession, label)
+        df.limit(0).write.parquet(self.folder)
+        self.stream = df.sparkSession.readStream.schema(df.schema).parquet(self.folder)
+        rows = df.withColumn("__b", batch)
+        self.feeds = [
+            partial(rows.filter(F.col("__b") == i).drop("__b").write.mode("append").parquet, self.folder) for i in range(count)
+        ]
 
 
 def constant_stream(ticks: DataFrame, rows: DataFrame) -> DataFrame:
     """The same small static rows for every row of a tick stream (such as ``rate``)."""
-    if rows.limit(10_001).count() > 10_000:
-        raise ValueError("constant rows are limited to 10,000")
-    return ticks.crossJoin(F.broadcast(rows))
+    return bounded_cross(ticks, rows, 10_000)

@@ -26,7 +26,9 @@ class KeyedState:
     def __init__(self, key: str, batch_aggs: Sequence[Column], update: Callable[[Column], Column], state_type: str):
         self.key, self.aggs, self.update, self.kind = key, list(batch_aggs), update, state_type
 
-    def run(self, stream: DataFrame, label: str, checkpoint: str | None = None, out: str | None = None) -> tuple[DataFrame, str, str]:
+    def run(
+        self, stream: DataFrame, label: str, checkpoint: str | None = None, out: str | None = None, feeds=()
+    ) -> tuple[DataFrame, str, str]:
         """Process what is available; returns (state table, checkpoint folder, state folder)."""
         spark = stream.sparkSession
         out = out or scratch_path(spark, f"{label}-keyed")
@@ -46,7 +48,7 @@ class KeyedState:
             kept.write.mode("overwrite").parquet(f"{out}/v{batch_id % 3}")
             session.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{out}/latest")
 
-        checkpoint = run_batches(stream, step, label, checkpoint=checkpoint)
+        checkpoint = run_batches(stream, step, label, checkpoint=checkpoint, feeds=feeds)
         version = spark.read.parquet(f"{out}/latest").first()["version"]
         return spark.read.schema(schema).parquet(f"{out}/v{version % 3}"), checkpoint, out
 

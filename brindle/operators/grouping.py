@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import shuffle_width
-
 LIST_ROWS = 100_000
 
 
@@ -74,13 +72,12 @@ def fold_by_key(
 
         return run
 
-    width = shuffle_width(df.sparkSession)
     columns = [F.col(k) for k in keys]
     part = df.mapInPandas(reduce_part(flush_rows), schema)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(fan_in))
-    part = part.withColumn("__salt", salt).repartition(width, *columns, F.col("__salt")).drop("__salt")
+    part = part.withColumn("__salt", salt).repartition(*columns, F.col("__salt")).drop("__salt")
     part = part.mapInPandas(reduce_part(0), schema)
-    part = part.repartition(width, *columns) if columns else part.repartition(1)
+    part = part.repartition(*columns) if columns else part.repartition(1)
     return part.mapInPandas(reduce_part(0), schema)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage, shuffle_width
+from brindle.session import cut_lineage
 
 _PART = "__part"
 _POS = "__pos"
@@ -23,13 +23,14 @@ def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     """Rows in total order over range partitions, with the partition number.
 
     The input order breaks ties, so a value shared by a third of the rows still
-    spreads over several ranges.  Range bounds come from a sample, so the frame
-    is checkpointed: a second pass must see the same ranges.
+    spreads over several ranges.  The number of ranges is left to the adaptive
+    planner.  Range bounds come from a sample, so the frame is checkpointed: a
+    second pass must see the same ranges.
     """
     tie = F.monotonically_increasing_id()
     ranged = (
         df.withColumn("__tie", tie)
-        .repartitionByRange(shuffle_width(df.sparkSession), *keys, *order, F.col("__tie"))
+        .repartitionByRange(*keys, *order, F.col("__tie"))
         .sortWithinPartitions(*keys, *order, F.col("__tie"))
         .drop("__tie")
         .withColumn(_POS, F.monotonically_increasing_id())

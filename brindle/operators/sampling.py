@@ -45,9 +45,9 @@ def exact_stratified_sample(df: DataFrame, key: str, fractions: Mapping, order:
 
 def unit_range_sample(df: DataFrame, low: float, high: float, seed: int, complement: bool = False) -> DataFrame:
     """Rows whose random number falls in [low, high), or all the others."""
-    u = F.rand(seed)
-    inside = (u >= low) & (u < high)
-    return df.filter(~inside if complement else inside)
+    inside = (F.col("__u") >= low) & (F.col("__u") < high)
+    # one column per row: two uses of rand() in one filter would draw twice
+    return df.withColumn("__u", F.rand(seed)).filter(~inside if complement else inside).drop("__u")
 
 
 def k_folds(df: DataFrame, k: int, seed: int) -> list[tuple[DataFrame, DataFrame]]:

@@ -85,7 +85,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

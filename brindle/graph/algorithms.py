@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.graph.frame import Graph, Send, collect_messages, pregel
-from brindle.operators.relational import salted_join, union_all_of
+from brindle.operators.relational import add_salt, hot_from_counts, repeat_per_salt, salted_join, union_all_of
 from brindle.session import cut_lineage
 
 
@@ -16,7 +16,8 @@ def _out_weighted(graph: Graph) -> Graph:
     """Edges with weight 1 / out-degree of the source."""
     degrees = graph.degrees("out").withColumnRenamed("id", "src")
     weighted = salted_join(graph.edges.select("src", "dst"), degrees, ["src"])
-    return Graph(graph.vertices.select("id"), weighted.select("src", "dst", (1.0 / F.col("degree")).alias("weight")))
+    edges = weighted.select("src", "dst", (1.0 / F.col("degree")).alias("weight"))
+    return Graph(cut_lineage(graph.vertices.select("id")), edges)
 
 
 def pagerank(graph: Graph, rounds: int, reset: float = 0.15, cut_every: int = 4) -> DataFrame:
@@ -53,6 +54,14 @@ def pagerank_until(graph: Graph, tolerance: float, reset: float = 0.15, max_roun
     return out.select("id", "rank")
 
 
+def _with_lowest(pairs: DataFrame) -> DataFrame:
+    """Pairs (u, v) with the smallest v of their u as ``m``; a hub is salted by the counts of the same aggregation."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+    hot = hot_from_counts(low.select("u", "__n"), ["u"])
+    right = repeat_per_salt(low.select("u", "m"), hot, ["u"])
+    return add_salt(pairs, hot, ["u"]).join(right, ["u", "__salt"]).drop("__salt")
+
+
 def connected_components(graph: Graph, max_rounds: int = 60) -> DataFrame:
     """Rows (id, component) with the smallest id of each component.
 
@@ -63,16 +72,13 @@ def connected_components(graph: Graph, max_rounds: int = 60) -> DataFrame:
     pairs = cut_lineage(pairs.filter("u <> v").distinct())
     mark = None
     for _ in range(max_rounds):
-        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u is tied to the smallest around u
-        large = salted_join(both.filter("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_lowest(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: u and its smaller neighbours are tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = salted_join(large, low, ["u"])
-        small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        pairs = cut_lineage(small.filter("u <> v").distinct())
+        tied = F.explode(F.array(F.col("v"), F.col("u")))
+        small = _with_lowest(large).select(tied.alias("u"), F.col("m").alias("v")).filter("u <> v")
+        pairs = cut_lineage(small.distinct())
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -243,7 +249,7 @@ def svd_plus_plus(
         state = state.join(implicit, "id", "left")
         y = F.when(F.col("s").isNull(), F.col("y")).otherwise(_add(F.col("p"), _scale(F.col("s"), F.col("norm"))))
         state = cut_lineage(state.select("id", "p", y.alias("y"), "bias", "norm"))
-        t = edges.triplets(state).withColumn("err", F.col("rating") - predicted())
+        t = edges.triplets(state, rounds=True).withColumn("err", F.col("rating") - predicted())
         err, rate, reg = F.col("err"), F.lit(factor_rate), F.lit(-factor_reg)
 
         def step(gradient, current):

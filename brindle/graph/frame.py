@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators.grouping import group_lists
 from brindle.operators.relational import add_salt, attach_row, hot_keys, repeat_per_salt
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, store_bucketed
 
 
 class Graph:
@@ -120,7 +120,7 @@ class Graph:
     def neighbors(self, direction: str = "either") -> DataFrame:
         """Rows (id, chunk, neighbors) where each neighbor is its vertex row."""
         pairs = Graph(self.vertices, self.directed_pairs(direction).select(F.col("nbr").alias("src"), F.col("id").alias("dst")))
-        rows = pairs.prepared.join_src(self.vertices).withColumnRenamed("dst", "id")
+        rows = pairs.prepared.join_src(self.vertices, pairs.prepared.base).withColumnRenamed("dst", "id")
         fields = [F.col("src").alias("id")] + [F.col(f"src_{c}").alias(c) for c in self.vertices.columns if c != "id"]
         return group_lists(rows, "id", F.struct(*fields), "neighbors")
 
@@ -160,31 +160,46 @@ def collect_messages(triplets: DataFrame, sends: Sequence[Send], merge: Sequence
 
 
 class PreparedEdges:
-    """Edges with a salt per hot endpoint, written once for many rounds of joins."""
+    """Edges kept for many rounds of joins with vertex state.
+
+    They are written in buckets of the endpoint (and of a salt, for hot
+    endpoints), once per endpoint that is joined on, so a round shuffles state
+    and messages but not the edges.
+    """
 
     def __init__(self, edges: DataFrame):
-        self.columns = edges.columns
-        self.hot = {}
-        for end in ("src", "dst"):
-            self.hot[end] = cut_lineage(hot_keys(edges, [end]))
-        salted = add_salt(add_salt(edges, self.hot["src"], ["src"], "__ss"), self.hot["dst"], ["dst"], "__ds")
-        self.edges = cut_lineage(salted)
-
-    def _side(self, state: DataFrame, end: str) -> tuple[DataFrame, list[str]]:
-        salt = {"src": "__ss", "dst": "__ds"}[end]
+        self.base = cut_lineage(edges)
+        self.count = self.base.count()
+        self._hot: dict[str, DataFrame] = {}
+        self._stored: dict[str, DataFrame] = {}
+
+    def hot(self, end: str) -> DataFrame:
+        if end not in self._hot:
+            self._hot[end] = cut_lineage(hot_keys(self.base, [end]))
+        return self._hot[end]
+
+    def stored(self, end: str) -> DataFrame:
+        if end not in self._stored:
+            salted = add_salt(self.base, self.hot(end), [end])
+            self._stored[end] = store_bucketed(salted, [end, "__salt"], self.count, f"edges_{end}")
+        return self._stored[end]
+
+    def join(self, state: DataFrame, end: str, edges: DataFrame | None = None) -> DataFrame:
+        """Edges (or rows made from them) with the state of one end as {end}_* columns."""
         renamed = state.select(*[F.col(c).alias(end if c == "id" else f"{end}_{c}") for c in state.columns])
-        return repeat_per_salt(renamed, self.hot[end], [end], salt), [end, salt]
+        left = self.stored(end) if edges is None else add_salt(edges, self.hot(end), [end])
+        right = repeat_per_salt(renamed, self.hot(end), [end])
+        return left.join(right, [end, "__salt"]).drop("__salt")
 
     def join_src(self, state: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        side, on = self._side(state, "src")
-        return (self.edges if edges is None else edges).join(side, on)
+        return self.join(state, "src", edges)
 
     def join_dst(self, state: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        side, on = self._side(state, "dst")
-        return (self.edges if edges is None else edges).join(side, on)
+        return self.join(state, "dst", edges)
 
-    def triplets(self, state: DataFrame) -> DataFrame:
-        return self.join_dst(state, self.join_src(state)).drop("__ss", "__ds")
+    def triplets(self, state: DataFrame, rounds: bool = False) -> DataFrame:
+        """Edges with both ends; ``rounds`` uses the stored copy, worth its writing when asked again and again."""
+        return self.join(state, "dst", self.join(state, "src", None if rounds else self.base))
 
 
 def pregel(
@@ -212,11 +227,9 @@ def pregel(
     edges = graph.prepared
     state = cut_lineage(graph.vertices.select("id", *[c.alias(n) for n, c in init.items()]).withColumn("active", F.lit(True)))
     for _ in range(max_rounds):
-        triplets = edges.edges
-        if "src" in ends:
-            triplets = edges.join_src(state, triplets)
-        if "dst" in ends:
-            triplets = edges.join_dst(state, triplets)
+        triplets = None
+        for end in ends:
+            triplets = edges.join(state, end, triplets)
         merged = collect_messages(triplets, sends, merge).withColumn("__got", F.lit(True))
         joined = state.join(merged, "id", "left")
         if aggregator is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEY_LIMIT = 1000
+HOT_ROWS = 1000
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -49,19 +50,20 @@ def union_all_of(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_LIMIT) -> DataFrame:
-    """Keys that hold more than 1/limit of the rows: fewer than ``limit`` of them.
+    """Keys that hold more than 1/limit of the rows: fewer than ``limit`` of them, with a number of salts.
 
     Counting is partial before the shuffle; the total comes from the counts, so
     the input is read once.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    return hot_from_counts(df.groupBy(*keys).agg(F.count("*").alias("__n")), keys, limit)
+
+
+def hot_from_counts(counts: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_LIMIT) -> DataFrame:
+    """The hot keys of a frame of counts (keys, __n)."""
     total = counts.agg(F.sum("__n").alias("__total"))
-    floor = F.greatest(F.col("__total") / limit, F.lit(1))
-    return (
-        attach_row(counts, total)
-        .filter(F.col("__n") > floor)
-        .select(*keys, F.least(F.ceil(F.col("__n") * limit / F.col("__total")), F.lit(limit)).cast("int").alias("__salts"))
-    )
+    share = F.col("__n") / F.col("__total")
+    hot = attach_row(counts, total).filter(F.col("__n") > F.greatest(F.col("__total") / limit, F.lit(HOT_ROWS)))
+    return hot.select(*keys, F.least(F.ceil(share * limit), F.lit(limit)).cast("int").alias("__salts"))
 
 
 def add_salt(big: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "__salt") -> DataFrame:

@@ -13,6 +13,9 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+BUCKET_ROWS = 250_000
+MAX_BUCKETS = 100_000
+
 
 def build_session(app: str = "brindle", cores: str = "*", **conf: str) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
@@ -77,6 +80,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def store_bucketed(df: DataFrame, keys: list[str], rows: int, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``keys`` and read it back.
+
+    Unlike a checkpoint, the buckets are known to the planner: later joins and
+    aggregations on the keys do not shuffle this side again.
+    """
+    buckets = min(max(-(-rows // BUCKET_ROWS), 1), MAX_BUCKETS)
+    name = f"brindle_{label}_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, *keys)
+        .write.format("parquet")
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .option("path", scratch_path(df.sparkSession, label))
+        .saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 

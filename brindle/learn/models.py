@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.learn.features import dot, literal_vector
+from brindle.learn.linear import MAX_WEIGHTS
 from brindle.operators.relational import attach_row, bounded_cross, salted_join
 
 
@@ -37,24 +39,54 @@ def naive_bayes_scores(rows: DataFrame, key: str, priors: DataFrame, thetas: Dat
     return scored.groupBy(key).agg(F.min(F.struct((-F.col("s")).alias("m"), F.col("__l").alias("l")))["l"].alias("prediction"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of and squared distance to the closest center of each row; the lowest index of ties."""
+    best, cost = np.zeros(len(x), dtype="int32"), np.full(len(x), np.inf)
+    for i, c in enumerate(centers):
+        d = ((x - c) ** 2).sum(axis=1)
+        closer = d < cost
+        best[closer], cost[closer] = i, d[closer]
+    return best, cost
+
+
+def _shared_centers(df: DataFrame, centers: np.ndarray):
+    centers = np.asarray(centers, dtype="float64")
+    if centers.size > MAX_WEIGHTS:
+        raise ValueError("too many centers to broadcast")
+    return df.sparkSession.sparkContext.broadcast(centers)
 
 
 def assign_clusters(df: DataFrame, vector: str, centers: np.ndarray) -> DataFrame:
-    """Add ``cluster`` and ``cost`` (squared distance); centers are literals of the plan, so few thousand numbers at most."""
-    if np.size(centers) > 100_000:
-        raise ValueError("too many centers for one expression")
-    options = [F.struct(squared_distance(F.col(vector), literal_vector(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centers)]
-    return df.withColumn("__best", F.array_min(F.array(*options))).withColumn("cluster", F.col("__best.i")).withColumn("cost", F.col("__best.d")).drop("__best")
+    """Add ``cluster`` and ``cost`` (squared distance); the centers travel as a broadcast."""
+    shared = _shared_centers(df, centers)
+
+    @F.pandas_udf("cluster int, cost double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        cluster, cost = _nearest(np.stack(v.to_numpy()), shared.value)
+        return pd.DataFrame({"cluster": cluster, "cost": cost})
+
+    return df.withColumn("__best", nearest(vector)).withColumns({"cluster": F.col("__best.cluster"), "cost": F.col("__best.cost")}).drop("__best")
 
 
 def kmeans_step(df: DataFrame, vector: str, centers: np.ndarray) -> np.ndarray:
-    """New centers: mean per cluster and place, summed on the cluster; empty clusters stay."""
-    placed = assign_clusters(df, vector, centers).select("cluster", F.posexplode(vector).alias("i", "x"))
-    means = placed.groupBy("cluster", "i").agg(F.avg("x").alias("m")).toPandas()
+    """New centers: sums per partition, then per cluster and place on the cluster; empty clusters stay."""
+    shared = _shared_centers(df, centers)
+
+    def partial(batches):
+        sums, sizes = np.zeros_like(shared.value), np.zeros(len(shared.value))
+        for rows in batches:
+            if len(rows):
+                x = np.stack(rows[vector].to_numpy())
+                cluster, _ = _nearest(x, shared.value)
+                np.add.at(sums, cluster, x)
+                sizes += np.bincount(cluster, minlength=len(sizes))
+        c, i = np.indices(sums.shape)
+        yield pd.DataFrame({"c": c.ravel(), "i": i.ravel(), "s": sums.ravel(), "n": sizes[c.ravel()]})
+
+    parts = df.select(vector).mapInPandas(partial, "c int, i int, s double, n double")
+    means = parts.groupBy("c", "i").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m")).dropna().toPandas()
     new = np.array(centers, dtype="float64")
-    new[means.cluster, means.i] = means.m
+    new[means.c, means.i] = means.m
     return new
 
 

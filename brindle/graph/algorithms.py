@@ -14,8 +14,10 @@ from brindle.session import cut_lineage
 
 def _out_weighted(graph: Graph) -> Graph:
     """Edges with weight 1 / out-degree of the source."""
-    degrees = graph.degrees("out").withColumnRenamed("id", "src")
-    weighted = salted_join(graph.edges.select("src", "dst"), degrees, ["src"])
+    edges = cut_lineage(graph.edges.select("src", "dst"))
+    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    hot = hot_from_counts(degrees.select("src", F.col("degree").alias("__n")), ["src"])
+    weighted = salted_join(edges, degrees, ["src"], hot=hot)
     edges = weighted.select("src", "dst", (1.0 / F.col("degree")).alias("weight"))
     return Graph(cut_lineage(graph.vertices.select("id")), edges)
 
@@ -143,8 +145,10 @@ def triangle_counts(graph: Graph) -> DataFrame:
     pairs = cut_lineage(pairs.distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     degree = cut_lineage(ends.groupBy("id").agg(F.count("*").alias("d")))
-    edges = salted_join(pairs, degree.select(F.col("id").alias("a"), F.col("d").alias("da")), ["a"])
-    edges = salted_join(edges, degree.select(F.col("id").alias("b"), F.col("d").alias("db")), ["b"])
+    edges = pairs
+    for end in ("a", "b"):
+        hot = hot_from_counts(degree.select(F.col("id").alias(end), F.col("d").alias("__n")), [end])
+        edges = salted_join(edges, degree.select(F.col("id").alias(end), F.col("d").alias(f"d{end}")), [end], hot=hot)
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     directed = edges.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"))
     directed = cut_lineage(directed)

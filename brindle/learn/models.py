@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from brindle.learn.features import dot, literal_vector
 from brindle.learn.linear import MAX_WEIGHTS
-from brindle.operators.relational import attach_row, bounded_cross, salted_join
+from brindle.operators.relational import attach_row, bounded_cross, hot_keys, salted_join
+from brindle.session import cut_lineage
 
 
 def naive_bayes(rows: DataFrame, key: str, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +170,9 @@ def split_candidates(df: DataFrame, features: list[str], bins: int, fraction: fl
 
 def predict_ratings(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Dot products of (user, item) pairs with factor frames (user, uf) and (item, pf); unknown ids drop out."""
-    joined = salted_join(salted_join(pairs, users, ["user"]), items, ["item"])
+    pairs = cut_lineage(pairs)  # counted for hot users and items, then joined
+    hot_items = hot_keys(pairs, ["item"])
+    joined = salted_join(salted_join(pairs, users, ["user"]), items, ["item"], hot=hot_items)
     return joined.select("user", "item", dot(F.col("uf"), F.col("pf")).alias("rating"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.ordered import value_ranks
-from brindle.operators.relational import attach_row, salted_join
+from brindle.operators.relational import attach_row, hot_keys, salted_join
+from brindle.session import cut_lineage
 
 
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,9 +39,10 @@ def merge_summaries(parts: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """Rows (a, b, corr) for all column pairs; pearson in one pass, spearman over average ranks."""
     if method == "spearman":
+        source = df = cut_lineage(df.select(*columns))  # read once per column below
         for c in columns:
-            ranks = value_ranks(df.select(c), c, f"__r_{c}")
-            df = salted_join(df, ranks, [c])
+            ranks = value_ranks(source.select(c), c, f"__r_{c}")
+            df = salted_join(df, ranks, [c], hot=hot_keys(source, [c]))
         df = df.select(*[F.col(f"__r_{c}").alias(c) for c in columns])
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in combinations(columns, 2)]
     upper = df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))

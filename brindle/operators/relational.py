@@ -79,17 +79,20 @@ def repeat_per_salt(small: DataFrame, hot: DataFrame, keys: Sequence[str], name:
     return small.join(F.broadcast(hot), list(keys), "left").withColumn(name, every).drop("__salts")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def salted_join(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None
+) -> DataFrame:
     """Join whose big side may hold a third of its rows under one key.
 
     Hot keys (fewer than 1,000, so broadcast is safe) get several salts; their
     rows on the other side are repeated once per salt.  Valid for joins that
-    keep the big side: inner, left, left_semi, left_anti.
+    keep the big side: inner, left, left_semi, left_anti.  ``hot`` spares the
+    count of the big side where its hot keys are known already.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     keys = list(keys)
-    hot = hot_keys(big, keys)
+    hot = hot_keys(big, keys) if hot is None else hot
     left, right = add_salt(big, hot, keys), repeat_per_salt(small, hot, keys)
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 

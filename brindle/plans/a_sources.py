@@ -370,13 +370,13 @@ def a37(t):
 
 @query(
     "a38_insert_append_overwrite",
-    "SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0",
+    "SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 1000",
 )
 def a38(t):
-    keys = t.customer.select(F.col("c_custkey").alias("k"))
+    keys = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     name = _save_table(keys, t, "insert")
-    keys.filter("k % 2 = 0").write.insertInto(name, overwrite=True)
-    keys.filter("k % 3 = 0").write.insertInto(name)
+    keys.filter("v > 0").write.insertInto(name, overwrite=True)
+    keys.filter("v < 1000").write.insertInto(name)
     return t.spark.table(name)
 
 

@@ -48,22 +48,22 @@ sql_query("b6_select_without_from", "SELECT r_name, x.two FROM {region} CROSS JO
 sql_query("b7_filter_expression", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 400000")
 
 
-@query("b8_filter_column_function", "SELECT p_partkey, p_size FROM part WHERE p_size % 7 = 3")
+@query("b8_filter_column_function", "SELECT p_partkey, p_size FROM part WHERE p_size * 3 > 60")
 def b8(t):
     @F.pandas_udf("boolean")
     def keep(size: pd.Series) -> pd.Series:
-        return size % 7 == 3
+        return size * 3 > 60
 
     return t.part.select("p_partkey", "p_size").filter(keep("p_size"))
 
 
-@query("b9_filter_row_function", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 25 = c_nationkey")
+@query("b9_filter_row_function", "SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 100 * c_nationkey")
 def b9(t):
     def keep(batches):
         for rows in batches:
-            yield rows[rows.c_custkey % 25 == rows.c_nationkey]
+            yield rows.loc[rows.c_acctbal > 100 * rows.c_nationkey, ["c_custkey", "c_nationkey"]]
 
-    return t.customer.select("c_custkey", "c_nationkey").mapInPandas(keep, "c_custkey long, c_nationkey int")
+    return t.customer.select("c_custkey", "c_nationkey", "c_acctbal").mapInPandas(keep, "c_custkey long, c_nationkey int")
 
 
 sql_query(
@@ -153,9 +153,9 @@ def b26(t):
     return t.part.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("b27_filter_records", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'F'")
+@query("b27_filter_records", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
 def b27(t):
-    return t.orders.filter((F.col("o_orderkey") % 3 == 0) & (F.col("o_orderstatus") == "F")).select("o_orderkey")
+    return t.orders.filter((F.col("o_totalprice") > 100000) & (F.col("o_orderstatus") == "F")).select("o_orderkey")
 
 
 @query(

@@ -32,8 +32,8 @@ def c3(t):
     return t.customer.join(nations, F.expr("c_nationkey = n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
-_BIG = "(SELECT o_custkey AS k, o_totalprice AS p FROM {orders} WHERE o_totalprice > 480000) a"
-_SEG = "(SELECT c_custkey AS k, c_mktsegment AS s FROM {customer} WHERE c_acctbal > 5000) b"
+_BIG = "(SELECT o_custkey AS k, MAX(o_totalprice) AS p FROM {orders} GROUP BY o_custkey) a"
+_SEG = "(SELECT c_custkey AS k, c_mktsegment AS s FROM {customer}) b"
 for _slug, _kind in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL OUTER")):
     sql_query(
         f"c4_{_slug}_outer_join_with_condition",
@@ -123,22 +123,22 @@ def c13(t):
 
 
 def _keyed(t):
-    left = t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey").filter("k % 2 = 0")
-    right = t.nation.select(F.col("n_nationkey").alias("k"), "n_name").filter("k % 3 = 0")
-    return left, right
+    """Lines per quantity against nations by key: both sides hold keys the other lacks."""
+    left = t.lineitem.groupBy(F.col("l_quantity").cast("int").alias("k")).agg(F.count("*").alias("lines"))
+    return left, t.nation.select(F.col("n_nationkey").alias("k"), "n_name")
 
 
 def _keyed_sql(kind):
-    return f"""SELECT k, coalesce(s_suppkey, -1) AS s, coalesce(n_name, '-') AS n FROM
-               (SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_nationkey % 2 = 0) a {kind} JOIN
-               (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey % 3 = 0) b USING (k)"""
+    return f"""SELECT k, coalesce(lines, -1) AS s, coalesce(n_name, '-') AS n FROM
+               (SELECT l_quantity::INTEGER AS k, COUNT(*) AS lines FROM lineitem GROUP BY 1) a {kind} JOIN
+               (SELECT n_nationkey AS k, n_name FROM nation) b USING (k)"""
 
 
 def _keyed_join(how):
     def run(t):
         left, right = _keyed(t)
         joined = left.join(right, "k", how)
-        return joined.select("k", F.coalesce("s_suppkey", F.lit(-1)).alias("s"), F.coalesce("n_name", F.lit("-")).alias("n"))
+        return joined.select("k", F.coalesce("lines", F.lit(-1)).alias("s"), F.coalesce("n_name", F.lit("-")).alias("n"))
 
     return run
 

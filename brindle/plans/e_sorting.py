@@ -7,26 +7,26 @@ from brindle.registry import query, sql_query
 sql_query(
     "e1_order_by",
     """SELECT o_orderkey, nullif(o_custkey % 5, 0) AS k FROM {orders}
-       ORDER BY nullif(o_custkey % 5, 0) ASC NULLS FIRST, o_orderkey DESC LIMIT 500""",
+       ORDER BY nullif(o_custkey % 5, 0) ASC NULLS FIRST, o_orderkey DESC""",
 )
 
 
 @query(
     "e2_null_order_and_direction",
     """SELECT p_partkey, coalesce(k, -1) AS k FROM (SELECT p_partkey, nullif(p_size % 4, 0) AS k FROM part
-       ORDER BY k DESC NULLS FIRST, p_partkey LIMIT 700) x""",
+       ORDER BY k DESC NULLS FIRST, p_partkey) x""",
 )
 def e2(t):
     rows = t.part.select("p_partkey", F.expr("nullif(p_size % 4, 0)").alias("k"))
-    return rows.orderBy(F.col("k").desc_nulls_first(), "p_partkey").limit(700).withColumn("k", F.coalesce("k", F.lit(-1)))
+    return rows.orderBy(F.col("k").desc_nulls_first(), "p_partkey").withColumn("k", F.coalesce("k", F.lit(-1)))
 
 
-@query("e3_order_by_expression", "SELECT p_partkey, p_size FROM part ORDER BY p_size % 7, p_retailprice DESC, p_partkey LIMIT 100")
+@query("e3_order_by_expression", "SELECT p_partkey, p_size FROM part ORDER BY p_size % 7, p_retailprice DESC, p_partkey")
 def e3(t):
-    return t.part.orderBy(F.col("p_size") % 7, F.desc("p_retailprice"), "p_partkey").limit(100).select("p_partkey", "p_size")
+    return t.part.orderBy(F.col("p_size") % 7, F.desc("p_retailprice"), "p_partkey").select("p_partkey", "p_size")
 
 
-sql_query("e4_order_by_hidden_column", "SELECT c_name FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+sql_query("e4_order_by_hidden_column", "SELECT c_name FROM {customer} ORDER BY c_acctbal DESC, c_custkey")
 
 
 @query("e5_sort_by")
@@ -52,9 +52,9 @@ sql_query("e8_limit", "SELECT COUNT(*) AS n FROM (SELECT o_orderkey FROM {orders
 sql_query("e9_top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 
 
-@query("e10_sort_by_key_function", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal), c_custkey LIMIT 40")
+@query("e10_sort_by_key_function", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal), c_custkey")
 def e10(t):
-    return t.customer.orderBy(F.abs("c_acctbal"), "c_custkey").limit(40).select("c_custkey")
+    return t.customer.orderBy(F.abs("c_acctbal"), "c_custkey").select("c_custkey")
 
 
 @query("e11_range_partitioned_sort", "SELECT COUNT(*) AS n, 0::BIGINT AS out_of_order FROM orders")

@@ -235,9 +235,9 @@ def o23(t):
     return g.degrees("out").withColumnRenamed("degree", "out_degree").join(g.degrees("in").withColumnRenamed("degree", "in_degree"), "id")
 
 
-@query("o24_aggregate_using_index", f"SELECT dst AS id, MAX(value) AS top FROM {_RAW} WHERE dst IN (SELECT src FROM {_CALLS} WHERE src % 2 = 0) GROUP BY 1")
+@query("o24_aggregate_using_index", f"SELECT dst AS id, MAX(value) AS top FROM {_RAW} WHERE dst IN (SELECT src FROM {_CALLS}) GROUP BY 1")
 def o24(t):
-    index = _calls(t).edges.filter("src % 2 = 0").select(F.col("src").alias("id")).distinct()
+    index = _calls(t).edges.select(F.col("src").alias("id")).distinct()
     return _raw_calls(t).groupBy(F.col("dst").alias("id")).agg(F.max("value").alias("top")).join(index, "id", "left_semi")
 
 
@@ -442,12 +442,15 @@ def o45(t):
     return Graph(_trade(t).vertices, _trade(t).edges.filter("qty > 45")).map_edges(qty=F.col("qty") * 2).reverse().edges
 
 
-@query("o46_other_end_of_triplet", f"SELECT src, dst, b.bal AS seen FROM {_TRADE_E} JOIN {_TRADE_V} b ON dst = b.id WHERE src = 7 UNION ALL SELECT src, dst, a.bal FROM {_TRADE_E} JOIN {_TRADE_V} a ON src = a.id WHERE dst = {_SHIFT + 7}")
+@query(
+    "o46_other_end_of_triplet",
+    f"""SELECT id, COUNT(*) AS n, MAX(seen) AS seen FROM (SELECT src AS id, b.bal AS seen FROM {_TRADE_E} JOIN {_TRADE_V} b ON dst = b.id
+        UNION ALL SELECT dst, a.bal FROM {_TRADE_E} JOIN {_TRADE_V} a ON src = a.id) x GROUP BY id""",
+)
 def o46(t):
-    at = F.lit(7)
-    trips = _trade(t).triplets().filter((F.col("src") == at) | (F.col("dst") == at + _SHIFT))
-    here = F.array_compact(F.array(F.when(F.col("src") == at, F.col("dst_bal")), F.when(F.col("dst") == at + _SHIFT, F.col("src_bal"))))
-    return trips.select("src", "dst", F.explode(here).alias("seen"))
+    """Each vertex looks along its edges at the attribute of the other end."""
+    ends = F.array(F.struct(F.col("src").alias("id"), F.col("dst_bal").alias("seen")), F.struct(F.col("dst").alias("id"), F.col("src_bal").alias("seen")))
+    return _trade(t).triplets().select(F.inline(ends)).groupBy("id").agg(_n(), F.max("seen").alias("seen"))
 
 
 @query(

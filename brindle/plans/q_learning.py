@@ -147,9 +147,9 @@ def q9(t):
     return slots.groupBy("doc_id").agg(F.count("*").alias("slots"), F.max("tf").alias("top"))
 
 
-@query("q10_idf", f"SELECT term, df, round(idf, 9) AS idf FROM {_IDF} WHERE df > 3")
+@query("q10_idf", f"SELECT term, df, round(idf, 9) AS idf FROM {_IDF}")
 def q10(t):
-    return _rounded(ft.inverse_frequency(_tf(t), "doc_id").filter("df > 3"), 9, "idf")
+    return _rounded(ft.inverse_frequency(_tf(t), "doc_id"), 9, "idf")
 
 
 @query("q11_tf_idf", f"SELECT doc_id, COUNT(*) AS terms, round(SUM(tf * idf), 5) AS weight FROM {_TF} JOIN {_IDF} USING (term) GROUP BY 1")

@@ -1,6 +1,5 @@
 """Aggregates, folds, histograms and bounded estimates."""
 
-import pandas as pd
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 

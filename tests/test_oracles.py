@@ -47,3 +47,24 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["n_name", "revenue", "n_lines"]
     assert df.count() > 0
+
+
+def test_order_by_puts_nulls_first_then_descends(spark):
+    out = entry.queries()["e1_order_by"](spark, SF).collect()
+    want = sorted(((r.k is not None, r.k or 0, -r.o_orderkey) for r in out))
+    assert [(r.k is not None, r.k or 0, -r.o_orderkey) for r in out] == want
+
+
+@pytest.mark.parametrize("name, cols", [("e5_sort_by", ["o_totalprice"]), ("e7_cluster_by", ["o_custkey"])])
+def test_order_within_partitions(spark, name, cols):
+    seen = {}
+    for r in entry.queries()[name](spark, SF).collect():
+        seen.setdefault(r.part, []).append(tuple(r[c] for c in cols))
+    assert all(v == sorted(v) for v in seen.values())
+
+
+def test_clustered_keys_share_a_partition(spark):
+    from pyspark.sql import functions as F
+
+    parts = entry.queries()["e7_cluster_by"](spark, SF).groupBy("o_custkey").agg(F.count_distinct("part").alias("n"))
+    assert parts.agg(F.max("n")).first()[0] == 1

@@ -66,3 +66,70 @@ def _lengths(column: pa.Array) -> np.ndarray:
 def with_columns_of(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Exactly these columns, a null column where the frame lacks one."""
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in wanted])
+
+
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers: an invertible mix of shifts and odd multiplications."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+class Powers:
+    """Powers of an odd base modulo 2^64, and of its inverse, as far as they have been needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, _BASE_INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """Polynomial sums of the bytes before each position; see :func:`range_hash`."""
+    up, _ = POWERS.upto(len(raw) + 1)
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(BYTE_CODES[raw] * up[:-1], out=sums[1:])
+    return sums
+
+
+def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range that depends on the content alone."""
+    _, down = POWERS.upto(len(sums))
+    return mixed((sums[end] - sums[start]) * down[start])
+
+
+def word_ranges(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded bytes, start and end of every word, and the number of words before each text."""
+    folded = np.frombuffer(WORD_TABLE, np.uint8)[raw]
+    inside = np.empty(len(raw) + 2, bool)
+    inside[0] = inside[-1] = False
+    inside[1:-1] = folded != 32
+    first = inside[1:] & ~inside[:-1]
+    last = inside[:-1] & ~inside[1:]
+    edge = at[(at > 0) & (at < len(raw))]
+    cut = edge[inside[edge] & inside[edge + 1]]
+    first[cut] = last[cut] = True
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    return folded, starts, ends, np.searchsorted(starts, at)
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text, and the number of words before each text."""
+    folded, starts, ends, words_at = word_ranges(raw, at)
+    return range_hash(prefix_sums(folded), starts, ends), words_at

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as contamination
-from brindle.llm import exact_stream, quality, url_filter, warc
+from brindle.llm import exact_stream, order_minhash, quality, url_filter, warc
 from brindle.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op10_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     t = Tables(spark, sf_dir)
     return quality.score_quality(t.documents, t.labels)
+
+
+@_register
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    found = order_minhash.near_duplicates(Tables(spark, sf_dir).documents)
+    return found.select("doc_id", "class_id", "class_size", "kept")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as contamination
-from brindle.llm import exact_stream, order_minhash, quality, url_filter, warc
+from brindle.llm import exact_stream, order_minhash, pii, quality, url_filter, warc
 from brindle.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,15 @@ WINDOW w AS (PARTITION BY norm)
 """
 
 
+@_register
+def op5_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the words near it that disclose it."""
+    found = pii.find_personal_data(Tables(spark, sf_dir).documents)
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.as_text(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.as_text(F.concat("base", "added")).alias("spans"))
+
+
 @_register
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back through the index."""

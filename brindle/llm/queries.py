@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as contamination
-from brindle.llm import exact_stream, order_minhash, pii, quality, url_filter, warc
+from brindle.llm import exact_stream, line_dedup, order_minhash, pii, quality, url_filter, warc
 from brindle.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,14 @@ def op10_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(t.documents, t.labels)
 
 
+@_register
+def op8_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated runs of lines."""
+    left = line_dedup.dedup_lines(Tables(spark, sf_dir).documents)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return left.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(text, 256).alias("kept_sha256"))
+
+
 @_register
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document."""

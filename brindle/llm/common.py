@@ -129,7 +129,28 @@ def word_ranges(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return folded, starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, and the number of words before each text."""
-    folded, starts, ends, words_at = word_ranges(raw, at)
-    return range_hash(prefix_sums(folded), starts, ends), words_at
+def word_hashes(raw: np.ndarray, at: np.ndarray, piece: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text, and the number of words before each text.
+
+    Long input goes in pieces that are cut between words.
+    """
+    hashes, low, before = [], 0, np.zeros(len(at), np.int64)
+    while low < len(raw):
+        high = _cut(raw, at, low + piece)
+        inner = np.clip(at, low, high) - low
+        folded, starts, ends, words_at = word_ranges(raw[low:high], inner)
+        hashes.append(range_hash(prefix_sums(folded), starts, ends))
+        before += words_at
+        low = high
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), before
+
+
+def _cut(raw: np.ndarray, at: np.ndarray, near: int) -> int:
+    """The first place from ``near`` on that is inside no word."""
+    text_end = at[np.searchsorted(at, near)] if near < at[-1] else at[-1]
+    while near < text_end:
+        separators = np.flatnonzero(np.frombuffer(WORD_TABLE, np.uint8)[raw[near : near + 4096]] == 32)
+        if len(separators):
+            return min(int(near + separators[0]), int(text_end))
+        near += 4096
+    return int(text_end)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as contamination
-from brindle.llm import exact_stream, line_dedup, order_minhash, pii, quality, url_filter, warc
+from brindle.llm import exact_stream, line_dedup, order_minhash, pii, quality, suffix_dedup, url_filter, warc
 from brindle.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def joined_digest(items):
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
 
 
+@_register
+def op1_longest_previous_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 100 bytes that stand earlier."""
+    left = suffix_dedup.dedup_substrings(Tables(spark, sf_dir).documents, keep_bytes=False)
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, b: a + b)
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @_register
 def op2_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and occurring benchmark items of every document."""

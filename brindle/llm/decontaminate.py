@@ -123,7 +123,7 @@ def _pass(docs: DataFrame, texts: list[tuple[str, bytes]], window: int) -> DataF
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Words of every document that lie in an occurrence of benchmark text.
 
-    Returns one row per document: doc_id, n_words, starts and ends (maximal
+    Returns one row per document: doc_id, row_key, n_words, starts and ends (maximal
     runs of hit words, end exclusive), items (sorted ids, as strings).  A
     document word is hit when it is inside an occurrence of ``window``
     consecutive words of an item, or of a whole item that has fewer words.
@@ -143,7 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     block = F.pmod(F.xxhash64("item", "data"), F.lit(blocks))
     texts = lambda k: [(r.item, bytes(r.data)) for r in items.filter(block == k).toLocalIterator()]
     if blocks == 1:
-        return _pass(docs, sorted(texts(0)), window).drop("row_key")
+        return _pass(docs, sorted(texts(0)), window)
     folder = scratch_path(spark, "decontaminate")
     for k in range(blocks):
         _pass(docs, sorted(texts(k)), window).write.parquet(f"{folder}/block={k}")
@@ -164,10 +164,16 @@ def _merged(passes: DataFrame) -> DataFrame:
     first = F.filter("hit", lambda x, i: (i == 0) | (F.get("hit", i - 1) != x - 1))
     last = F.filter("hit", lambda x, i: ~F.coalesce(F.get("hit", i + 1) == x + 1, F.lit(False)))
     return merged.select(
-        "doc_id", "n_words", first.alias("starts"), F.transform(last, lambda x: x + 1).alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
+        "doc_id", "row_key", "n_words", first.alias("starts"), F.transform(last, lambda x: x + 1).alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
     ).drop("copy")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The documents, with all their columns, in which no word is hit."""
+    hit = decontaminate(docs, benchmark, window).filter(F.size("starts") > 0).select(F.col("row_key").alias("__row")).distinct()
+    return docs.withColumn("__row", content_key("doc_id", "text")).join(hit, "__row", "left_anti").drop("__row")
+
+
 def hit_words() -> Column:
     """Number of hit words from starts and ends."""
     size = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0), lambda a, b: a + b)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as contamination
-from brindle.llm import exact_stream, line_dedup, order_minhash, pii, quality, suffix_dedup, url_filter, warc
+from brindle.llm import exact_stream, line_dedup, order_minhash, pii, quality, segmentations, suffix_dedup, url_filter, warc
 from brindle.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,14 @@ WINDOW w AS (PARTITION BY norm)
 """
 
 
+@_register
+def op4_gumbel_top_k_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four distinct segmentations of every document, drawn without replacement."""
+    drawn = segmentations.sample_segmentations(Tables(spark, sf_dir).documents, keep_ids=0)
+    fields = [F.col(f"samples.{c}").alias(c) for c in ("n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_sha256")]
+    return drawn.select("doc_id", F.size("samples").cast("long").alias("n_samples"), "decoded", *fields)
+
+
 @_register
 def op5_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, and the words near it that disclose it."""

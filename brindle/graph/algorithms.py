@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.graph.frame import Graph, Send, collect_messages, pregel
+from brindle.graph.frame import Graph, NotConverged, Send, collect_messages, pregel
 from brindle.operators.relational import add_salt, hot_from_counts, repeat_per_salt, salted_join, union_all_of
 from brindle.session import cut_lineage
 
@@ -52,6 +53,7 @@ def pagerank_until(graph: Graph, tolerance: float, reset: float = 0.15, max_roun
         max_rounds,
         active=F.col("delta") > tolerance,
         ends=("src",),
+        must_end=True,
     )
     return out.select("id", "rank")
 
@@ -85,6 +87,8 @@ def connected_components(graph: Graph, max_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise NotConverged(f"components after {max_rounds} rounds")
     return graph.vertices.select("id").join(
         pairs.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left"
     ).withColumn("component", F.coalesce("component", "id"))
@@ -118,19 +122,21 @@ def strongly_connected_components(graph: Graph, max_rounds: int = 1000) -> DataF
         colored = pregel(
             here, {"color": F.col("id")},
             [Send("dst", {"m": F.col("src_color")}, F.col("src_active"))],
-            [F.min("m").alias("m")], {"color": F.least("color", "m")}, 10**6, ends=("src",),
+            [F.min("m").alias("m")], {"color": F.least("color", "m")}, None, ends=("src",),
         )
         back = pregel(
             Graph(colored, here.edges),
             {"color": F.col("color"), "hit": F.col("color") == F.col("id")},
             [Send("src", {"m": F.col("dst_hit")}, F.col("dst_hit") & ~F.col("src_hit") & (F.col("src_color") == F.col("dst_color")))],
-            [F.max("m").alias("m")], {"hit": F.col("hit") | F.col("m")}, 10**6,
+            [F.max("m").alias("m")], {"hit": F.col("hit") | F.col("m")}, None,
         )
         found = cut_lineage(back.filter("hit").select("id", F.col("color").alias("component")))
         done = cut_lineage(done.unionAll(found))
         vertices = cut_lineage(vertices.join(found, "id", "left_anti"))
         edges = edges.join(vertices.withColumnRenamed("id", "src"), "src", "left_semi")
         edges = cut_lineage(edges.join(vertices.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    else:
+        raise NotConverged(f"strong components after {max_rounds} rounds")
     return done
 
 
@@ -175,14 +181,14 @@ def label_propagation(graph: Graph, rounds: int) -> DataFrame:
     return state
 
 
-def shortest_paths(graph: Graph, landmarks: Sequence[int], max_rounds: int = 10**6) -> DataFrame:
+def shortest_paths(graph: Graph, landmarks: Sequence[int]) -> DataFrame:
     """Rows (id, landmark, hops) along edge direction, for every reachable landmark."""
     edges = graph.prepared
     start = graph.vertices.filter(F.col("id").isin(list(landmarks)))
     frontier = cut_lineage(start.select("id", F.col("id").alias("landmark"), F.lit(0).alias("hops")))
     found = [frontier]
-    for hop in range(1, max_rounds + 1):
-        reached = edges.join_dst(frontier).select(F.col("src").alias("id"), F.col("dst_landmark").alias("landmark")).distinct()
+    for hop in count(1):
+        reached = edges.join_dst(frontier, many=True).select(F.col("src").alias("id"), F.col("dst_landmark").alias("landmark")).distinct()
         new = reached.join(union_all_of(found).select("id", "landmark"), ["id", "landmark"], "left_anti")
         frontier = cut_lineage(new.withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
@@ -191,14 +197,17 @@ def shortest_paths(graph: Graph, landmarks: Sequence[int], max_rounds: int = 10*
     return union_all_of(found)
 
 
-def transitive_closure(edges: DataFrame, max_rounds: int = 10**6) -> DataFrame:
-    """All (src, dst) with a path, extending only the newest pairs each round."""
+def transitive_closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) with a path, extending only the newest pairs each round.
+
+    The result itself may grow with the square of the number of vertices.
+    """
     base = cut_lineage(edges.select("src", "dst").distinct())
     steps = Graph.from_edges(base).prepared
     newest, pieces = base, [base]
-    for _ in range(max_rounds):
+    while True:
         ahead = newest.select(F.col("dst").alias("id"), F.col("src").alias("start"))
-        found = steps.join_src(ahead).select(F.col("src_start").alias("src"), "dst").distinct()
+        found = steps.join_src(ahead, many=True).select(F.col("src_start").alias("src"), "dst").distinct()
         newest = cut_lineage(found.join(union_all_of(pieces), ["src", "dst"], "left_anti"))
         if newest.isEmpty():
             break

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,36 +185,51 @@ class PreparedEdges:
             self._stored[end] = store_bucketed(salted, [end, "__salt"], self.count, f"edges_{end}")
         return self._stored[end]
 
-    def join(self, state: DataFrame, end: str, edges: DataFrame | None = None) -> DataFrame:
-        """Edges (or rows made from them) with the state of one end as {end}_* columns."""
+    def join(self, state: DataFrame, end: str, edges: DataFrame | None = None, many: bool = False) -> DataFrame:
+        """Edges (or rows made from them) with the state of one end as {end}_* columns.
+
+        ``many`` says that a vertex may have many rows of state: those of hot
+        vertices are spread over salts of their own, and the edges repeated for them.
+        """
         renamed = state.select(*[F.col(c).alias(end if c == "id" else f"{end}_{c}") for c in state.columns])
         left = self.stored(end) if edges is None else add_salt(edges, self.hot(end), [end])
-        right = repeat_per_salt(renamed, self.hot(end), [end])
-        return left.join(right, [end, "__salt"]).drop("__salt")
+        if not many:
+            return left.join(repeat_per_salt(renamed, self.hot(end), [end]), [end, "__salt"]).drop("__salt")
+        hot = hot_keys(renamed, [end])
+        right = repeat_per_salt(add_salt(renamed, hot, [end], "__state_salt"), self.hot(end), [end])
+        left = repeat_per_salt(left, hot, [end], "__state_salt")
+        return left.join(right, [end, "__salt", "__state_salt"]).drop("__salt", "__state_salt")
 
-    def join_src(self, state: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        return self.join(state, "src", edges)
+    def join_src(self, state: DataFrame, edges: DataFrame | None = None, many: bool = False) -> DataFrame:
+        return self.join(state, "src", edges, many)
 
-    def join_dst(self, state: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        return self.join(state, "dst", edges)
+    def join_dst(self, state: DataFrame, edges: DataFrame | None = None, many: bool = False) -> DataFrame:
+        return self.join(state, "dst", edges, many)
 
     def triplets(self, state: DataFrame, rounds: bool = False) -> DataFrame:
         """Edges with both ends; ``rounds`` uses the stored copy, worth its writing when asked again and again."""
         return self.join(state, "dst", self.join(state, "src", None if rounds else self.base))
 
 
+class NotConverged(RuntimeError):
+    """The rounds allowed were not enough; an unfinished state is never returned."""
+
+
 def pregel(
     graph: Graph,
     init: Mapping[str, Column],
     sends: Sequence[Send],
     merge: Sequence[Column],
     update: Mapping[str, Column],
-    max_rounds: int,
+    max_rounds: int | None,
     active: Column | None = None,
     ends: Sequence[str] = ("src", "dst"),
     aggregator: Column | None = None,
+    must_end: bool = False,
 ) -> DataFrame:
-    """Rounds of send, combine, update until no vertex changes or ``max_rounds``.
+    """Rounds of send, combine, update until no vertex changes or ``max_rounds``; None is no limit.
+
+    The state after the last allowed round is the result, unless ``must_end`` makes that an error.
 
     ``init`` gives the state columns.  ``sends`` read src_*, dst_* and edge
     columns of the ends named in ``ends``, which also have src_active and
@@ -226,7 +242,7 @@ def pregel(
     names = list(init)
     edges = graph.prepared
     state = cut_lineage(graph.vertices.select("id", *[c.alias(n) for n, c in init.items()]).withColumn("active", F.lit(True)))
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         triplets = None
         for end in ends:
             triplets = edges.join(state, end, triplets)
@@ -245,6 +261,9 @@ def pregel(
         state = cut_lineage(new.select("id", *names, (F.col("__got") & (changed if active is None else active)).alias("active")))
         if state.filter("active").isEmpty():
             break
+    else:
+        if must_end:
+            raise NotConverged(f"vertices still change after {max_rounds} rounds")
     return state.drop("active")
 
 

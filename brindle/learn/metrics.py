@@ -13,19 +13,28 @@ def confusion(df: DataFrame, prediction: str, label: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
 
 
-def class_metrics(cells: DataFrame) -> DataFrame:
-    """Rows (label, precision, recall, f1, share) from confusion counts."""
+def class_metrics(cells: DataFrame, beta: float = 1.0) -> DataFrame:
+    """Rows (label, precision, recall, false_positive_rate, f, share) from confusion counts.
+
+    f weighs recall ``beta`` times as much as precision.  A class that is never
+    predicted has precision 0; where all rows are of one class its false positive rate is 0.
+    """
     hits = cells.groupBy("label").agg(F.sum("n").alias("actual"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
     said = cells.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("said"))
     both = attach_row(hits.join(said, "label", "left"), cells.agg(F.sum("n").alias("total")))
     precision = F.when(F.col("said") > 0, F.col("hit") / F.col("said")).otherwise(0.0)
     recall = F.col("hit") / F.col("actual")
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return both.select("label", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), (F.col("actual") / F.col("total")).alias("share"))
+    b = beta * beta
+    f = F.when(precision + recall > 0, (1 + b) * precision * recall / (b * precision + recall)).otherwise(0.0)
+    others = F.col("total") - F.col("actual")
+    wrong = F.when((others > 0) & F.col("said").isNotNull(), (F.col("said") - F.col("hit")) / others).otherwise(0.0)
+    share = F.col("actual") / F.col("total")
+    columns = {"precision": precision, "recall": recall, "false_positive_rate": wrong, "f": f, "share": share}
+    return both.select("label", *[c.alias(n) for n, c in columns.items()])
 
 
 def weighted_metrics(by_class: DataFrame) -> DataFrame:
-    return by_class.agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in ("precision", "recall", "f1")])
+    return by_class.agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in ("precision", "recall", "false_positive_rate", "f")])
 
 
 def threshold_counts(df: DataFrame, score: str, label: str) -> DataFrame:

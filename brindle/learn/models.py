@@ -92,7 +92,10 @@ def kmeans_step(df: DataFrame, vector: str, centers: np.ndarray) -> np.ndarray:
 
 
 def kmeans_parallel_start(df: DataFrame, vector: str, k: int, rounds: int = 3, seed: int = 0) -> np.ndarray:
-    """Start centers by distance-weighted sampling in a few rounds, then weighted reduction to k."""
+    """Start centers by distance-weighted sampling in a few rounds, then weighted reduction to k.
+
+    A round draws 2 k rows on average, whatever the size of the frame, and all that are drawn are kept.
+    """
     first = df.orderBy(F.rand(seed)).select(vector).first()[0]
     centers = np.array([first], dtype="float64")
     for r in range(rounds):
@@ -101,7 +104,7 @@ def kmeans_parallel_start(df: DataFrame, vector: str, k: int, rounds: int = 3, s
         if not total:
             break
         chance = F.col("cost") * (2 * k) / total
-        picked = costed.filter(F.rand(seed + r + 1) < chance).select(vector).limit(20 * k).toPandas()
+        picked = costed.filter(F.rand(seed + r + 1) < chance).select(vector).toPandas()
         if len(picked):
             centers = np.vstack([centers, np.stack(picked[vector].to_numpy())])
     sizes = assign_clusters(df, vector, centers).groupBy("cluster").count().toPandas()

@@ -26,12 +26,16 @@ def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def merge_summaries(parts: DataFrame) -> DataFrame:
-    """Summaries (column, n, mean, variance, nonzeros, max, min) of parts merged per column, weighted by count."""
+    """Summaries (column, n, mean, variance, nonzeros, max, min) of parts merged per column, weighted by count.
+
+    Squares are of differences of means, so a large mean does not cancel the variance.
+    """
     n, c = F.sum("n"), F.col
-    mean = F.sum(c("n") * c("mean")) / n
-    m2 = F.sum(F.coalesce(c("variance"), F.lit(0.0)) * (c("n") - 1) + c("n") * c("mean") * c("mean")) - n * mean * mean
+    means = parts.groupBy("column").agg((F.sum(c("n") * c("mean")) / n).alias("__mean"))
+    parts = parts.join(means, "column")
+    m2 = F.sum(F.coalesce(c("variance"), F.lit(0.0)) * (c("n") - 1) + c("n") * (c("mean") - c("__mean")) ** 2)
     return parts.groupBy("column").agg(
-        n.alias("n"), mean.alias("mean"), F.when(n > 1, m2 / (n - 1)).otherwise(0.0).alias("variance"),
+        n.alias("n"), F.first("__mean").alias("mean"), F.when(n > 1, m2 / (n - 1)).otherwise(0.0).alias("variance"),
         F.sum("nonzeros").alias("nonzeros"), F.max("max").alias("max"), F.min("min").alias("min"),
     )
 

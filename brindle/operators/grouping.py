@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,27 +21,49 @@ def group_lists(
     gives several chunks, so that no list outgrows a task; all values stay.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    return _chunked_lists(df, keys, value, name, max_rows).drop("chunks")
+
+
+def _chunked_lists(df: DataFrame, keys: list[str], value: Column, name: str, max_rows: int) -> DataFrame:
+    """(keys, chunk, chunks, list).
+
+    Rows of a big key are counted by value first and numbered within it, so
+    which chunk a row goes to depends on its content alone, a retried task places
+    it alike, and a value that repeats spreads too.
+    """
     rows = df.select(*keys, value.alias("__value"))
-    big = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > max_rows)
-    chunks = F.coalesce(F.ceil(F.col("__n") / max_rows * 2), F.lit(1)).cast("int")
-    spread = F.pmod(F.xxhash64("__value", F.monotonically_increasing_id()), chunks).cast("int")
-    return (
-        rows.join(big, keys, "left")
-        .withColumn("chunk", spread)
-        .groupBy(*keys, "chunk")
-        .agg(F.sort_array(F.collect_list("__value")).alias(name))
-    )
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    big = counts.filter(F.col("__n") > max_rows)
+    chunks = F.ceil(F.col("__n") / max_rows * 2).cast("int")
+    big = big.select(*[F.col(k).alias(f"__{k}") for k in keys], chunks.alias("chunks"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    lists = F.sort_array(F.collect_list("__value")).alias(name)
+    small = rows.join(big, same, "left_anti").groupBy(*keys).agg(lists)
+    small = small.select(*keys, F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), name)
+    values = rows.join(big, same).groupBy(*keys, "chunks", "__value").agg(F.count("*").alias("__n"))
+    each = values.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    placed = each.withColumn("chunk", F.pmod(F.xxhash64("__value", "__i"), F.col("chunks")).cast("int"))
+    return small.unionByName(placed.groupBy(*keys, "chunk", "chunks").agg(lists).select(*keys, "chunk", "chunks", name))
 
 
 def cogroup(key: str, sides: dict[str, tuple[DataFrame, Column]], max_rows: int = LIST_ROWS) -> DataFrame:
-    """Per key and chunk, the list of values of every side; empty list where none."""
+    """Per key the list of values of every side; an empty list where a side has none.
+
+    A key with more than ``max_rows`` rows on a side has a row for every
+    combination of the sides' chunks, so that every value of one side stands
+    beside every value of the others, whatever ``max_rows`` is.  ``chunk``
+    numbers the combinations; it is 0 for keys with one list per side.
+    """
     out = None
     for name, (df, value) in sides.items():
-        lists = group_lists(df, key, value, name, max_rows)
-        out = lists if out is None else out.join(lists, [key, "chunk"], "full")
+        lists = _chunked_lists(df, [key], value, name, max_rows)
+        lists = lists.withColumnsRenamed({"chunk": f"__c_{name}", "chunks": f"__n_{name}"})
+        out = lists if out is None else out.join(lists, key, "full")
+    chunk = F.lit(0).cast("long")
     for name in sides:
         out = out.withColumn(name, F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType)))
-    return out
+        chunk = chunk * F.coalesce(f"__n_{name}", F.lit(1)) + F.coalesce(f"__c_{name}", F.lit(0))
+    return out.select(key, chunk.alias("chunk"), *sides)
 
 
 def fold_by_key(
@@ -93,9 +116,3 @@ def tree_aggregate(
     for d in range(depth - 2, 0, -1):
         level = level.groupBy(F.pmod(F.col("__node"), scale**d).alias("__node")).agg(*merge)
     return level.agg(*merge)
-
-
-def salted_aggregate(df: DataFrame, key: str, partial: list[Column], merge: list[Column], salts: int = 32) -> DataFrame:
-    """Two-phase aggregate of a skewed key: (key, salt) first, then key."""
-    salt = F.pmod(F.monotonically_increasing_id(), salts)
-    return df.groupBy(F.col(key), salt.alias("__salt")).agg(*partial).groupBy(key).agg(*merge)

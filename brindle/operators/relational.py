@@ -67,10 +67,19 @@ def hot_from_counts(counts: DataFrame, keys: Sequence[str], limit: int = HOT_KEY
 
 
 def add_salt(big: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "__salt") -> DataFrame:
-    """Rows of hot keys spread over the salts that :func:`hot_keys` grants; 0 for the rest."""
-    salts = F.coalesce(F.col("__salts"), F.lit(1))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), salts).cast("int")
-    return big.join(F.broadcast(hot), list(keys), "left").withColumn(name, spread).drop("__salts")
+    """Rows of hot keys spread over the salts that :func:`hot_keys` grants; 0 for the rest.
+
+    Equal rows of a hot key are counted, which is partial before the shuffle,
+    and numbered; the salt is a hash of the content and that number.  So equal
+    rows spread too, and a task that is tried again places its rows alike.
+    """
+    columns = big.columns
+    marked = big.join(F.broadcast(hot), list(keys), "left")
+    cold = marked.filter("__salts IS NULL").select(*columns, F.lit(0).alias(name))
+    equal = marked.filter("__salts IS NOT NULL").groupBy(*columns, "__salts").agg(F.count("*").alias("__n"))
+    warm = equal.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.col("__i")), F.col("__salts")).cast("int")
+    return cold.unionByName(warm.select(*columns, spread.alias(name)))
 
 
 def repeat_per_salt(small: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "__salt") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import cut_lineage
+
 from brindle.operators.ordered import row_number_by
 
 
@@ -51,14 +53,12 @@ def unit_range_sample(df: DataFrame, low: float, high: float, seed: int, complem
 
 
 def k_folds(df: DataFrame, k: int, seed: int) -> list[tuple[DataFrame, DataFrame]]:
-    """k pairs (train, validation); the validation parts divide the table."""
-    return [
-        (
-            unit_range_sample(df, i / k, (i + 1) / k, seed, complement=True),
-            unit_range_sample(df, i / k, (i + 1) / k, seed),
-        )
-        for i in range(k)
-    ]
+    """k pairs (train, validation); the validation parts divide the table.
+
+    The numbers are drawn once and written, so all folds agree on them and the input is read once.
+    """
+    drawn = cut_lineage(df.withColumn("__fold", F.floor(F.rand(seed) * k).cast("int")))
+    return [(drawn.filter(F.col("__fold") != i).drop("__fold"), drawn.filter(F.col("__fold") == i).drop("__fold")) for i in range(k)]
 
 
 def bucket_sample(df: DataFrame, x: int, y: int, *cols: str) -> DataFrame:

@@ -30,8 +30,8 @@ def _save_table(df, t, label, **parts):
 
 
 def _regions(t):
-    """The region table, of fixed size in this schema, as local rows."""
-    return [tuple(r) for r in t.region.limit(1000).collect()]
+    """The region table, of fixed size in this schema, as local rows: the feature is a local collection."""
+    return [tuple(r) for r in t.region.toLocalIterator()]
 
 
 @query("a1_local_collection", "SELECT r_regionkey AS k, r_name AS v, n FROM region JOIN (SELECT n_regionkey, COUNT(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) ON n_regionkey = r_regionkey")

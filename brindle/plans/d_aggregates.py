@@ -4,8 +4,9 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from brindle.operators.approx import approx_count, approx_mean, approx_sum
-from brindle.operators.grouping import fold_by_key, group_lists, salted_aggregate, tree_aggregate
+from brindle.operators.grouping import fold_by_key, group_lists, tree_aggregate
 from brindle.operators.histogram import bound_histogram, even_histogram
+from brindle.operators.relational import attach_row
 from brindle.registry import query, sql_query
 
 
@@ -405,10 +406,10 @@ def d54(t):
         F.min(q).alias("low"), F.max(q).alias("high"),
     )
     n, c = F.sum("n"), F.col
-    mean = F.sum(c("n") * c("m")) / n
-    m2 = F.sum(c("m2")) + F.sum(c("n") * c("m") * c("m")) - n * mean * mean
+    parts = attach_row(parts, parts.agg((F.sum(c("n") * c("m")) / n).alias("mean")))
+    m2 = F.sum(c("m2") + c("n") * (c("m") - c("mean")) ** 2)
     return parts.agg(
-        n.alias("n"), F.round(mean, 6).alias("mean"), F.round(m2 / n, 6).alias("var"),
+        n.alias("n"), F.round(F.first("mean"), 6).alias("mean"), F.round(m2 / n, 6).alias("var"),
         F.min("low").alias("low"), F.max("high").alias("high"),
     )
 
@@ -438,9 +439,5 @@ def d58(t):
     f"SELECT l_returnflag, COUNT(*) AS n, {_msql('l_quantity')} AS q FROM lineitem GROUP BY 1",
 )
 def d33_salted(t):
-    return salted_aggregate(
-        t.lineitem,
-        "l_returnflag",
-        [F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q")],
-        [F.sum("n").alias("n"), F.sum("q").cast("double").alias("q")],
-    )
+    """Few keys: partial aggregation bounds a hot one, without a second shuffle."""
+    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), _money("l_quantity").alias("q"))

@@ -1,8 +1,9 @@
 """Graph operators and algorithms over graphs taken from the tables.
 
 Call graph: distinct (user_id, k) of events as directed edges.  Trade graph:
-customer to supplier (ids shifted by ten million) through orders and lines.
-Chat graph: each turn of a conversation points at the next.
+customer (id 2 key) to supplier (id 2 key + 1) through orders and lines.
+Chat graph: each turn of a conversation points at the next; a turn's id pairs
+conversation c and turn t as (c + t)(c + t + 1) / 2 + t, which no other pair has.
 """
 
 from pyspark.sql import functions as F
@@ -26,7 +27,14 @@ from brindle.registry import query
 _CALLS = "(SELECT DISTINCT user_id AS src, CAST(json_extract(props, '$.k') AS BIGINT) AS dst FROM events)"
 _IDS = f"(SELECT src AS id FROM {_CALLS} UNION SELECT dst FROM {_CALLS})"
 _RAW = "(SELECT user_id AS src, CAST(json_extract(props, '$.k') AS BIGINT) AS dst, value FROM events)"
-_SHIFT = 10_000_000
+
+
+def _customer(key):
+    return 2 * F.col(key)
+
+
+def _supplier(key):
+    return 2 * F.col(key) + 1
 
 
 def _raw_calls(t):
@@ -41,20 +49,23 @@ def _calls(t):
 def _trade(t):
     """Customers and suppliers with their balances; one edge per line."""
     lines = t.lineitem.join(t.orders, F.expr("l_orderkey = o_orderkey"))
-    edges = lines.select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + _SHIFT).alias("dst"), F.col("l_quantity").alias("qty"))
-    customers = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"))
-    suppliers = t.supplier.select((F.col("s_suppkey") + _SHIFT).alias("id"), F.col("s_acctbal").alias("bal"))
+    edges = lines.select(_customer("o_custkey").alias("src"), _supplier("l_suppkey").alias("dst"), F.col("l_quantity").alias("qty"))
+    customers = t.customer.select(_customer("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"))
+    suppliers = t.supplier.select(_supplier("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"))
     return Graph(customers.unionAll(suppliers), edges)
 
 
-_TRADE_E = f"(SELECT o_custkey AS src, l_suppkey + {_SHIFT} AS dst, l_quantity AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-_TRADE_V = f"(SELECT c_custkey AS id, c_acctbal AS bal FROM customer UNION ALL SELECT s_suppkey + {_SHIFT}, s_acctbal FROM supplier)"
+_TRADE_E = "(SELECT 2 * o_custkey AS src, 2 * l_suppkey + 1 AS dst, l_quantity AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_TRADE_V = "(SELECT 2 * c_custkey AS id, c_acctbal AS bal FROM customer UNION ALL SELECT 2 * s_suppkey + 1, s_acctbal FROM supplier)"
 
 
 def _chat(t):
-    node = F.col("conv_id") * 1000 + F.col("turn")
-    turns = t.conversations.select(node.alias("id"))
-    return Graph(turns, t.conversations.filter("turn > 0").select((node - 1).alias("src"), node.alias("dst")))
+    def node(turn):
+        both = F.col("conv_id") + turn
+        return F.call_function("shiftright", both * (both + 1), F.lit(1)) + turn
+
+    turns = t.conversations.select(node(F.col("turn")).alias("id"))
+    return Graph(turns, t.conversations.filter("turn > 0").select(node(F.col("turn") - 1).alias("src"), node(F.col("turn")).alias("dst")))
 
 
 N = "COUNT(*) AS n"
@@ -69,12 +80,12 @@ def _n():
 
 @query(
     "o1_graph_with_defaults",
-    f"""SELECT id, coalesce(bal, -1.0) AS bal FROM (SELECT c_custkey AS id, c_acctbal AS bal FROM customer
-        UNION ALL SELECT DISTINCT l_suppkey + {_SHIFT}, NULL FROM lineitem) x""",
+    """SELECT id, coalesce(bal, -1.0) AS bal FROM (SELECT 2 * c_custkey AS id, c_acctbal AS bal FROM customer
+        UNION ALL SELECT DISTINCT 2 * l_suppkey + 1, NULL FROM lineitem) x""",
 )
 def o1(t):
     g = _trade(t)
-    customers = g.vertices.filter(F.col("id") < _SHIFT)
+    customers = g.vertices.filter("id % 2 = 0")
     return Graph.with_defaults(customers, g.edges, {"bal": F.lit(-1.0)}).vertices
 
 
@@ -291,7 +302,8 @@ def o29(t):
     return pagerank_until(_calls(t), 0.001)
 
 
-_CHAT = "SELECT conv_id * 1000 + turn AS id, MIN(conv_id * 1000 + turn) OVER (PARTITION BY conv_id) AS component FROM conversations"
+_NODE = "((conv_id + turn) * (conv_id + turn + 1) // 2 + turn)::BIGINT"
+_CHAT = f"SELECT {_NODE} AS id, MIN({_NODE}) OVER (PARTITION BY conv_id) AS component FROM conversations"
 
 
 @query("o30_connected_components", _CHAT)
@@ -350,10 +362,10 @@ def o34(t):
 @query("o35_svd_plus_plus")
 def o35(t):
     """Users rate values k by the mean of their events, on a scale of 0 to 5."""
-    k = F.get_json_object("props", "$.k").cast("long") + _SHIFT
-    rows = t.events.select(F.col("user_id").alias("src"), k.alias("dst"), F.least(F.col("value") / 50, F.lit(5.0)).alias("rating"))
+    k = 2 * F.get_json_object("props", "$.k").cast("long") + 1
+    rows = t.events.select((2 * F.col("user_id")).alias("src"), k.alias("dst"), F.least(F.col("value") / 50, F.lit(5.0)).alias("rating"))
     ratings = rows.groupBy("src", "dst").agg(F.avg("rating").alias("rating"))
-    return svd_plus_plus(ratings, rank=4, rounds=2)[0].select("id", "bias", "error")
+    return svd_plus_plus(ratings, rank=4, rounds=2)[0].select("id", "p", "y", "bias", "norm", "error")
 
 
 # --- generators ----------------------------------------------------------------------------------

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from brindle.learn import features as ft
 from brindle.learn import linalg, linear, metrics, models, neural, stats
-from brindle.operators.grouping import salted_aggregate
 from brindle.operators.relational import union_all_of
 from brindle.registry import query
 
@@ -140,15 +139,14 @@ def _tf(t):
 
 @query(
     "q9_hashing_tf",
-    f"""SELECT doc_id, COUNT(DISTINCT slot) AS slots, MAX(tf) AS top FROM (SELECT doc_id, slot, SUM(tf)::BIGINT AS tf FROM
-        (SELECT doc_id, tf, (('0x' || substring(md5(term), 1, 8))::BIGINT % 1000) AS slot FROM {_TF}) GROUP BY 1, 2) GROUP BY 1""",
+    f"""SELECT doc_id, slot, SUM(tf)::BIGINT AS tf FROM
+        (SELECT doc_id, tf, (('0x' || substring(md5(term), 1, 8))::BIGINT % 1000)::INTEGER AS slot FROM {_TF}) GROUP BY 1, 2""",
 )
 def q9(t):
     def digest(c):
         return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
 
-    slots = ft.hashed_terms(_tf(t), "doc_id", 1000, digest)
-    return slots.groupBy("doc_id").agg(F.count("*").alias("slots"), F.max("tf").alias("top"))
+    return ft.hashed_terms(_tf(t), "doc_id", 1000, digest)
 
 
 @query("q10_idf", f"SELECT term, df, round(idf, 9) AS idf FROM {_IDF}")
@@ -165,10 +163,12 @@ def q11(t):
 @query("q12_word2vec")
 def q12(t):
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     docs = t.conversations.select(F.split("text", r"[ \n\t]+").alias("words"))
-    fitted = Word2Vec(vectorSize=8, minCount=5, maxIter=1, seed=1, numPartitions=4, inputCol="words", outputCol="v").fit(docs)
-    return fitted.getVectors().select("word")
+    parts = t.spark.sparkContext.defaultParallelism
+    fitted = Word2Vec(vectorSize=8, minCount=5, maxIter=1, seed=1, numPartitions=parts, inputCol="words", outputCol="v").fit(docs)
+    return fitted.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 _COS = """list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i])) /
@@ -238,8 +238,11 @@ def q19(t):
 
 @query("q20_svd")
 def q20(t):
-    rows, _, _ = linalg.svd(_vectors(t), "features", 4)
-    return rows.select("vec_id", "u")
+    """Rows of U by vec_id, of the singular values (part s, one row) and of V by column."""
+    rows, s, v = linalg.svd(_vectors(t), "features", 4)
+    rest = [("s", 0, s.tolist())] + [("v", i, row.tolist()) for i, row in enumerate(v)]
+    left = rows.select(F.lit("u").alias("part"), F.col("vec_id").cast("long").alias("i"), F.col("u").cast("array<double>").alias("cells"))
+    return left.unionAll(t.spark.createDataFrame(rest, "part string, i long, cells array<double>"))
 
 
 @query(
@@ -315,7 +318,8 @@ def q28(t):
 
     rows = _binary(t).select("label", array_to_vector("features").alias("features"))
     model = LogisticRegression(maxIter=10, regParam=0.01).fit(rows)
-    return _weights(t, model.coefficients.toArray(), model.summary.objectiveHistory)
+    rows = _weights(t, model.coefficients.toArray(), model.summary.objectiveHistory)
+    return rows.unionAll(t.spark.createDataFrame([("intercept", 0, float(model.intercept))], rows.schema))
 
 
 @query("q29_linear_svm_sgd")
@@ -508,7 +512,9 @@ def _als(t, **options):
     from pyspark.ml.recommendation import ALS
 
     als = ALS(rank=4, maxIter=2, regParam=0.1, seed=1, userCol="user", itemCol="item", ratingCol="rating", **options)
-    return als.fit(_ratings(t)).userFactors.select("id", "features")
+    model = als.fit(_ratings(t))
+    sides = {"user": model.userFactors, "item": model.itemFactors}
+    return union_all_of([f.select(F.lit(side).alias("side"), "id", "features") for side, f in sides.items()])
 
 
 query("q38_als_explicit")(lambda t: _als(t))
@@ -566,24 +572,33 @@ def q43(t):
     return metrics.confusion(t.labels, "toxic", "quality")
 
 
-_BY_CLASS = f"""(SELECT label, coalesce(hit / said, 0) AS precision, hit / actual AS recall, actual / total AS share FROM
+_BY_CLASS = f"""(SELECT label, coalesce(hit / said, 0) AS precision, hit / actual AS recall, actual / total AS share,
+    coalesce((said - hit) / (total - actual), 0) AS false_positive_rate FROM
     (SELECT label, SUM(n) AS actual, SUM(CASE WHEN label = prediction THEN n ELSE 0 END) AS hit FROM {_CELLS2} GROUP BY 1) a
     LEFT JOIN (SELECT prediction AS label, SUM(n) AS said FROM {_CELLS2} GROUP BY 1) b USING (label) CROSS JOIN (SELECT SUM(n) AS total FROM {_CELLS2}) c)"""
 
 
+_F_BETA = "CASE WHEN precision + recall > 0 THEN 1.25::DOUBLE * precision * recall / (0.25::DOUBLE * precision + recall) ELSE 0 END"
+
+
 @query(
     "q43_class_metrics",
     f"""SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(share, 9) AS share,
-        round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM {_BY_CLASS}""",
+        round(false_positive_rate, 9) AS false_positive_rate, round({_F_BETA}, 9) AS f FROM {_BY_CLASS}""",
 )
 def q43_class(t):
-    return _rounded(metrics.class_metrics(metrics.confusion(t.labels, "toxic", "quality")), 9, "precision", "recall", "f1", "share")
+    by_class = metrics.class_metrics(metrics.confusion(t.labels, "toxic", "quality"), beta=0.5)
+    return _rounded(by_class, 9, "precision", "recall", "false_positive_rate", "f", "share")
 
 
-@query("q43_weighted_metrics", f"SELECT round(SUM(precision * share), 9) AS precision, round(SUM(recall * share), 9) AS recall FROM {_BY_CLASS}")
+@query(
+    "q43_weighted_metrics",
+    f"""SELECT round(SUM(precision * share), 9) AS precision, round(SUM(recall * share), 9) AS recall,
+        round(SUM(false_positive_rate * share), 9) AS false_positive_rate, round(SUM({_F_BETA} * share), 9) AS f FROM {_BY_CLASS}""",
+)
 def q43_weighted(t):
-    by_class = metrics.class_metrics(metrics.confusion(t.labels, "toxic", "quality"))
-    return _rounded(metrics.weighted_metrics(by_class), 9, "precision", "recall").drop("f1")
+    by_class = metrics.class_metrics(metrics.confusion(t.labels, "toxic", "quality"), beta=0.5)
+    return _rounded(metrics.weighted_metrics(by_class), 9, "precision", "recall", "false_positive_rate", "f")
 
 
 def _scored(t):
@@ -680,8 +695,12 @@ _TOPOLOGY = [WIDTH, 16, 10]
 
 @query("q49_perceptron_training")
 def q49(t):
+    """All weights as (layer, row, col, value), column 0 the bias; layer -1 has the loss of each round."""
     flat, losses = neural.train(_digits(t), _TOPOLOGY, rounds=5, batch=25, reg=1e-4, seed=2)
-    return _weights(t, flat[:8], losses)
+    cells = [(layer, r, c + 1, float(v)) for layer, (matrix, _) in enumerate(neural.split_weights(flat, _TOPOLOGY)) for (r, c), v in np.ndenumerate(matrix)]
+    cells += [(layer, r, 0, float(v)) for layer, (_, bias) in enumerate(neural.split_weights(flat, _TOPOLOGY)) for r, v in enumerate(bias)]
+    cells += [(-1, i, 0, float(v)) for i, v in enumerate(losses)]
+    return t.spark.createDataFrame(cells, "layer int, row int, col int, value double")
 
 
 @query("q50_batch_stacking")
@@ -722,7 +741,7 @@ def q52(t):
 @query("q53_parameter_table_training")
 def q53(t):
     table = neural.train_through_table(_digits(t), _TOPOLOGY, rounds=2, rate=0.5, batch=50)
-    return table.groupBy("layer").agg(_n(), F.round(F.avg(F.abs("value")), 3).alias("size"))
+    return table.select("layer", "row", "col", "value")
 
 
 @query(
@@ -760,9 +779,9 @@ def q56(t):
 
 @query("q57_skewed_group_by", "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS k, COUNT(*) AS n, SUM(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY 1")
 def q57(t):
-    """A third of the rows share one key."""
+    """A third of the rows share one key; each task sends one row of partial results for it."""
     rows = t.lineitem.withColumn("k", F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey")))
-    return salted_aggregate(rows, "k", [_n(), F.sum("l_linenumber").alias("lines")], [F.sum("n").alias("n"), F.sum("lines").alias("lines")])
+    return rows.groupBy("k").agg(_n(), F.sum("l_linenumber").alias("lines"))
 
 
 @query("q58_mergeable_summary", " UNION ALL ".join(_summary_sql(c) for c in ("l_quantity", "l_tax")))
@@ -800,7 +819,7 @@ def _gradient_query(row, slug, fn, factor, loss):
 
 
 _gradient_query("q60", "gradient_logistic", linear.logistic, "(1 / (1 + exp(-m)) - y)", "ln(1 + exp(-m)) + (1 - y) * m")
-_gradient_query("q61", "gradient_least_squares", linear.least_squares, "(m - y)", "power(m - y, 2) / 2")
+_gradient_query("q61", "gradient_least_squares", linear.least_squares, "2 * (m - y)", "power(m - y, 2)")
 _gradient_query("q62", "gradient_hinge", linear.hinge, "(CASE WHEN 1 - s * m > 0 THEN -s ELSE 0 END)", "greatest(1 - s * m, 0)")
 
 

@@ -15,7 +15,7 @@ from brindle.graph.algorithms import (
     transitive_closure,
     triangle_counts,
 )
-from brindle.graph.frame import Graph, Send, place_edges, pregel
+from brindle.graph.frame import Graph, NotConverged, Send, place_edges, pregel
 
 
 def graph(spark, pairs, extra=()):
@@ -178,3 +178,19 @@ def test_generators(spark):
     r = generators.r_mat(spark.range(500), 6)
     assert r.edges.agg(F.max(F.greatest("src", "dst"))).first()[0] < 64
     assert generators.grid(spark.range(12), 4).edges.count() == 3 * 3 + 2 * 4
+
+
+def test_unfinished_rounds_are_an_error(spark):
+    chain = Graph.from_edges(spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    for unfinished in (lambda: connected_components(chain, max_rounds=1), lambda: pagerank_until(chain, 1e-9, max_rounds=1)):
+        with pytest.raises(NotConverged):
+            unfinished()
+    ring = Graph.from_edges(spark.range(6).select(F.col("id").alias("src"), ((F.col("id") + 1) % 3 + F.col("id") - F.col("id") % 3).alias("dst")))
+    with pytest.raises(NotConverged):
+        strongly_connected_components(ring, max_rounds=0)
+
+
+def test_a_vertex_with_much_state_is_spread(spark):
+    edges = spark.createDataFrame([(i, 1000) for i in range(60)] + [(1000, 2000 + i) for i in range(5)], "src long, dst long")
+    closure = transitive_closure(edges)
+    assert closure.count() == 65 + 60 * 5 and closure.filter("src < 60 and dst >= 2000").count() == 300

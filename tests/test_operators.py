@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators.approx import approx_count, approx_mean, approx_sum
-from brindle.operators.grouping import cogroup, fold_by_key, group_lists, salted_aggregate, tree_aggregate
+from brindle.operators.grouping import cogroup, fold_by_key, group_lists, tree_aggregate
 from brindle.operators.histogram import bound_histogram, even_histogram
 from brindle.operators.ordered import average_rank, row_number_by, running_totals, sliding, zip_frames, zip_with_index
 from brindle.operators.relational import (
+    add_salt,
     auto_alias,
     bounded_cross,
     except_keep_duplicates,
@@ -146,6 +147,26 @@ def test_cogroup_fills_empty_sides(spark):
     assert out == {1: (["a", "b"], []), 2: (["c"], [5]), 3: ([], [6])}
 
 
+def test_cogroup_puts_all_values_of_a_side_beside_all_of_the_others(spark):
+    a = spark.createDataFrame([(1, i % 20) for i in range(25)] + [(2, 7), (None, 1)], "k int, v int")
+    b = spark.createDataFrame([(1, 100 + i) for i in range(3)] + [(3, 0)], "k int, v int")
+    c = spark.createDataFrame([(1, "x")] * 12, "k int, v string")
+    sides = {"x": (a, F.col("v")), "y": (b, F.col("v")), "z": (c, F.col("v")), "w": (b, F.col("v") + 1)}
+    want = sorted((x, y, z) for x in [i % 20 for i in range(25)] for y in (100, 101, 102) for z in ["x"] * 12)
+    for most in (5, 100):
+        rows = cogroup("k", sides, most).filter("k = 1").collect()
+        assert len({r.chunk for r in rows}) == len(rows) and max(len(r.x) for r in rows) <= (20 if most == 5 else 25)
+        assert sorted((x, y, z) for r in rows for x in r.x for y in r.y for z in r.z) == want
+        assert all(sorted(r.w) == [101, 102, 103] for r in rows)
+    assert {(r.k, len(rows)) for r in cogroup("k", sides, 5).collect()} >= {(2, len(rows)), (3, len(rows))}
+
+
+def test_lists_of_equal_values_are_split_and_placed_alike(spark):
+    equal = spark.createDataFrame([(1, 5)] * 1000, "k int, v int").repartition(3)
+    one, two = ({r.chunk: list(r.vs) for r in group_lists(equal.repartition(n), "k", F.col("v"), "vs", 100).collect()} for n in (2, 5))
+    assert one == two and sum(map(len, one.values())) == 1000 and max(map(len, one.values())) < 200
+
+
 def test_fold_by_key_of_a_hot_key(skewed, rows):
     def add(p):
         return p.groupby("k", as_index=False)[["v"]].sum()
@@ -160,11 +181,6 @@ def test_tree_aggregate(skewed, depth):
     assert tuple(out.first()) == (sum(range(4000)), 3999)
 
 
-def test_salted_aggregate(skewed, rows):
-    got = salted_aggregate(skewed, "k", [F.sum("v").alias("s")], [F.sum("s").alias("s")])
-    assert rows(got) == rows(skewed.groupBy("k").agg(F.sum("v").alias("s")))
-
-
 def test_even_histogram_closes_the_last_bucket(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 2, 10, 3)], "x double")
     assert [r.n for r in even_histogram(df, "x", 3).orderBy("bucket").collect()] == [4, 0, 1]
@@ -228,3 +244,14 @@ def test_estimates_hold_the_truth(spark):
     assert r.low <= 49.5 <= r.high and r.high - r.low < 3
     r = approx_sum(df, "v", (), 0.3, 0.999, 7).first()
     assert r.low <= 990000 <= r.high
+
+
+def test_equal_rows_of_a_hot_key_spread_over_all_salts(spark):
+    equal = spark.range(20_000).select(F.lit(1).alias("k"), F.lit(2).alias("v")).unionAll(spark.range(5).select(F.lit(3).alias("k"), F.lit(4).alias("v")))
+    hot = hot_keys(equal, ["k"])
+    salts = hot.first()["__salts"]
+    out = add_salt(equal, hot, ["k"])
+    assert out.count() == 20_005
+    assert out.filter("k = 1").select("__salt").distinct().count() > salts / 2
+    joined = salted_join(equal, spark.createDataFrame([(1, "a"), (3, "b")], "k int, w string"), ["k"])
+    assert {(r.w, r["count"]) for r in joined.groupBy("w").count().collect()} == {("a", 20_000), ("b", 5)}

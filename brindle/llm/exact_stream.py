@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,13 @@ from brindle.llm.common import empty_if_null
 from brindle.session import scratch_path
 from brindle.streaming.replay import file_stream
 
-#: Executors keep the state in RocksDB files and not on the heap.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Executors keep the state in RocksDB files and not on the heap.  Files are not allocated ahead,
+#: which would cost megabytes for each of many small stores, and a commit writes its changes alone.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column | str) -> Column:
@@ -22,11 +30,16 @@ def digest_of(text: Column | str) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
-def _with_state_store(spark: SparkSession):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_STORE)
-    return lambda: spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def first_of_each_digest(stream: DataFrame, folder: str) -> DataFrame:
@@ -45,8 +58,7 @@ def first_of_each_digest(stream: DataFrame, folder: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/touched/batch={number}")
 
-    restore = _with_state_store(spark)
-    try:
+    with _state_on_disk(spark):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{folder}/checkpoint")
@@ -55,8 +67,6 @@ def first_of_each_digest(stream: DataFrame, folder: str) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    finally:
-        restore()
     touched = spark.read.schema(f"digest binary, first {state.schema['first'].dataType.simpleString()}, n bigint, batch bigint")
     # Entries only grow: the smallest first row and the largest count are the latest.
     latest = touched.parquet(f"{folder}/touched").groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))

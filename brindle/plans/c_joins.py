@@ -154,7 +154,7 @@ def _csv(col):
 
 @query(
     "c16_cogroup_three",
-    """SELECT k, 0 AS chunk, coalesce(o, '') AS orders, coalesce(e, '') AS events, coalesce(c, '') AS names FROM
+    """SELECT k, 0::BIGINT AS chunk, coalesce(o, '') AS orders, coalesce(e, '') AS events, coalesce(c, '') AS names FROM
        (SELECT o_custkey AS k, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS o FROM orders GROUP BY 1)
        FULL JOIN (SELECT user_id AS k, string_agg(event_id, ',' ORDER BY event_id) AS e FROM events GROUP BY 1) USING (k)
        FULL JOIN (SELECT c_custkey AS k, string_agg(c_name, ',' ORDER BY c_name) AS c FROM customer GROUP BY 1) USING (k)""",
@@ -173,7 +173,7 @@ def c16(t):
 
 @query(
     "c17_group_with",
-    """SELECT k, 0 AS chunk, coalesce(c, '') AS customers, coalesce(s, '') AS suppliers FROM
+    """SELECT k, 0::BIGINT AS chunk, coalesce(c, '') AS customers, coalesce(s, '') AS suppliers FROM
        (SELECT c_nationkey AS k, string_agg(c_custkey, ',' ORDER BY c_custkey) AS c FROM customer GROUP BY 1)
        FULL JOIN (SELECT s_nationkey AS k, string_agg(s_suppkey, ',' ORDER BY s_suppkey) AS s FROM supplier GROUP BY 1) USING (k)""",
 )

@@ -2,9 +2,10 @@
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -408,14 +409,16 @@ def a41(t):
 
 @query(
     "a42_multi_insert",
-    "SELECT 'cheap' AS which, COUNT(*) AS n FROM orders WHERE o_totalprice < 100000 UNION ALL SELECT 'dear', COUNT(*) FROM orders WHERE o_totalprice > 400000",
+    "SELECT CASE WHEN o_totalprice < 100000 THEN 'cheap' WHEN o_totalprice > 400000 THEN 'dear' ELSE 'fair' END AS which, COUNT(*) AS n FROM orders GROUP BY 1",
 )
 def a42(t):
     base = t.orders.select("o_orderkey", "o_totalprice")
-    cheap, dear = scratch_path(t.spark, "cheap"), scratch_path(t.spark, "dear")
-    files.multi_insert(base, [(base.filter("o_totalprice < 100000"), cheap), (base.filter("o_totalprice > 400000"), dear)])
-    counts = [t.spark.read.parquet(p).agg(F.lit(w).alias("which"), F.count("*").alias("n")) for w, p in (("cheap", cheap), ("dear", dear))]
-    return counts[0].unionAll(counts[1])
+    rules = {"cheap": "o_totalprice < 100000", "dear": "o_totalprice > 400000"}
+    rules["fair"] = f"NOT coalesce({' OR '.join(rules.values())}, false)"
+    paths = {w: scratch_path(t.spark, w) for w in rules}
+    files.multi_insert(base, [(base.filter(rule), paths[w]) for w, rule in rules.items()])
+    counts = [t.spark.read.parquet(p).groupBy(F.lit(w).alias("which")).agg(F.count("*").alias("n")) for w, p in paths.items()]
+    return reduce(DataFrame.unionAll, counts)
 
 
 @query("a43_libsvm_sink", "SELECT CAST(label AS DOUBLE) AS label, COUNT(*) AS n FROM embeddings GROUP BY 1")
@@ -428,10 +431,10 @@ def a43(t):
     return t.spark.read.format("libsvm").option("numFeatures", "64").load(path).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("a44_temp_table", "SELECT n_name FROM nation WHERE n_regionkey = 2")
+@query("a44_temp_table", "SELECT n_name, n_regionkey FROM nation")
 def a44(t):
     t.nation.createOrReplaceTempView("a44_nations")
-    rows = t.spark.sql("SELECT n_name FROM a44_nations WHERE n_regionkey = 2")
+    rows = t.spark.sql("SELECT n_name, n_regionkey FROM a44_nations")
     t.spark.catalog.dropTempView("a44_nations")
     return rows
 

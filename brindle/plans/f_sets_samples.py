@@ -17,7 +17,7 @@ from brindle.registry import query, sql_query
 
 sql_query(
     "f1_union_all",
-    "SELECT o_custkey AS k FROM {orders} UNION ALL SELECT c_custkey FROM {customer} WHERE c_custkey < 100",
+    "SELECT o_custkey AS k FROM {orders} UNION ALL SELECT c_custkey FROM {customer}",
 )
 sql_query("f2_union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 

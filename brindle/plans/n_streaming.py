@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brindle.operators.grouping import group_lists
+from brindle.operators.grouping import cogroup, group_lists
 from brindle.operators.relational import union_all_of
 from brindle.registry import query
 from brindle.session import scratch_path
@@ -66,20 +66,19 @@ def n5(t):
     return _per_batch(t, ["event_id"], lambda b: b.agg(_n()), "queue")
 
 
-@query("n6_constant_source", "SELECT event_id, r_name FROM events CROSS JOIN region WHERE event_type = 'signup'")
+@query("n6_constant_source", "SELECT event_id, r_name FROM events CROSS JOIN region")
 def n6(t):
-    ticks = _events(t).filter("event_type = 'signup'").select("event_id")
+    ticks = _events(t).select("event_id")
     return run_to_table(constant_stream(ticks, t.region.select("r_name")), "constant")
 
 
 # --- record-wise ------------------------------------------------------------------------------
 
 
-@query("n7_union", "SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
+@query("n7_union", "SELECT event_id AS id FROM events UNION ALL SELECT o_orderkey FROM orders")
 def n7(t):
-    clicks = _events(t).filter("event_type = 'click'").select("event_id")
-    views = _events(t).filter("event_type = 'view'").select("event_id")
-    return run_to_table(clicks.union(views), "union")
+    orders = file_stream(t.spark, t.path("orders")).select(F.col("o_orderkey").alias("id"))
+    return run_to_table(_events(t).select(F.col("event_id").alias("id")).union(orders), "union")
 
 
 @query("n8_map", "SELECT event_id, round(value * 100, 3) AS cents FROM events")
@@ -165,30 +164,29 @@ def n17(t):
 
 @query(
     "n18_transform_with",
-    f"""SELECT a.batch, a.user_id, a.n AS clicks, b.n AS views FROM
-        (SELECT {_BATCHES} AS batch, user_id, COUNT(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1, 2) a JOIN
-        (SELECT {_BATCHES} AS batch, user_id, COUNT(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2) b
-        ON a.batch = b.batch AND a.user_id = b.user_id""",
+    f"SELECT {_BATCHES} AS batch, user_id, COUNT(DISTINCT event_type) AS kinds, MAX(event_id) AS last FROM events GROUP BY 1, 2",
 )
 def n18(t):
     """Two views of each batch combined by a batch function."""
 
     def combine(b):
-        clicks = b.filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("clicks"))
-        views = b.filter("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("views"))
-        return clicks.join(views, "user_id")
+        kinds = b.select("user_id", "event_type").distinct().groupBy("user_id").agg(F.count("*").alias("kinds"))
+        return kinds.join(b.groupBy("user_id").agg(F.max("event_id").alias("last")), "user_id")
 
     return _per_batch(t, ["event_id", "user_id", "event_type"], combine, "with")
 
 
-@query("n19_transform_many", "SELECT event_type, COUNT(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
+@query("n19_transform_many", """SELECT kind, COUNT(*) AS n FROM (SELECT event_type AS kind FROM events
+    UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT c_mktsegment FROM customer) GROUP BY 1""")
 def n19(t):
+    """Any number of streams into one: the kinds of three whole tables."""
+
     def merge(streams):
-        return union_all_of(streams).groupBy("event_type").agg(_n())
+        return union_all_of(streams).groupBy("kind").agg(_n())
 
-    kinds = ["click", "view", "purchase", "signup"]
-    streams = [_events(t, "event_type").filter(F.col("event_type") == k) for k in kinds]
-    return run_to_table(merge(streams), "many", "update", ["event_type"])
+    kinds = {"events": "event_type", "orders": "o_orderpriority", "customer": "c_mktsegment"}
+    streams = [file_stream(t.spark, t.path(table)).select(F.col(c).alias("kind")) for table, c in kinds.items()]
+    return run_to_table(merge(streams), "many", "update", ["kind"])
 
 
 @query("n20_foreach_batch_sink", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")
@@ -356,14 +354,15 @@ def n36(t):
 
 @query(
     "n37_cogroup_streams",
-    f"""SELECT batch, user_id, SUM((event_type = 'click')::INTEGER)::BIGINT AS clicks, SUM((event_type = 'error')::INTEGER)::BIGINT AS errors
-        FROM (SELECT {_BATCHES} AS batch, * FROM events) WHERE event_type IN ('click', 'error') GROUP BY 1, 2""",
+    f"""SELECT {_BATCHES} AS batch, user_id, 0::BIGINT AS chunk, string_agg(event_type, ',' ORDER BY event_type) AS kinds,
+        string_agg(event_id, ',' ORDER BY event_id) AS ids FROM events GROUP BY 1, 2""",
 )
 def n37(t):
+    """Two streams of each batch grouped together: the list of values of either side per user."""
+
     def both(b):
-        clicks = b.filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("clicks"))
-        errors = b.filter("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("errors"))
-        return clicks.join(errors, "user_id", "full").fillna(0)
+        lists = cogroup("user_id", {"kinds": (b, F.col("event_type")), "ids": (b, F.col("event_id"))})
+        return lists.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("kinds", "ids")})
 
     return _per_batch(t, ["event_id", "user_id", "event_type"], both, "cogroup")
 
@@ -404,10 +403,9 @@ def n39(t):
     return done.unionAll(still_open).fillna(-1, ["purchase"])
 
 
-@query("n40_stream_static_join", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase'")
+@query("n40_stream_static_join", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")
 def n40(t):
-    purchases = _events(t).filter("event_type = 'purchase'").select("event_id", "user_id")
-    joined = purchases.join(t.customer, F.expr("user_id = c_custkey")).select("event_id", "c_mktsegment")
+    joined = _events(t).select("event_id", "user_id").join(t.customer, F.expr("user_id = c_custkey")).select("event_id", "c_mktsegment")
     return run_to_table(joined, "static")
 
 

@@ -489,7 +489,9 @@ def o48(t):
 
 @query("o49_web_page_rank")
 def o49(t):
-    """Links between pages: every href whose path names another page's first path segment."""
-    hrefs = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="/([^"]+)"'), 1)).alias("word"))
-    words = hrefs.select(F.xxhash64("word").alias("dst"), F.col("page_id").alias("src")).distinct()
-    return pagerank(Graph.from_edges(words), 3)
+    """Links between pages: a page is named by the first word of its title, and an href to that word leads to the first page of the name."""
+    word = F.lower(F.regexp_extract("html", r"<title>([^ <]+)", 1))
+    named = t.pages.groupBy(word.alias("word")).agg(F.min("page_id").alias("dst")).filter("word <> ''")
+    hrefs = t.pages.select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r'href="/([^"]+)"'), 1)).alias("href"))
+    links = hrefs.select("src", F.lower("href").alias("word")).distinct().join(named, "word").select("src", "dst").distinct()
+    return pagerank(Graph(t.pages.select(F.col("page_id").alias("id")), links), 3)

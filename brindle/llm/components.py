@@ -24,19 +24,17 @@ def classes(edges: DataFrame) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}")
 
     live = written(edges.select("a", "b").filter("a <> b").distinct(), "edges-0")
-    roots, step = None, 0
-    while roots is None or not live.isEmpty():
+    hooks: list[DataFrame] = []
+    while not hooks or not live.isEmpty():
         both = live.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(live.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        hook = both.groupBy("node").agg(F.least("node", F.min("near")).alias("root"))
-        hook = written(hook, f"hook-{step}")
-        if roots is None:
-            roots = hook
-        else:
-            moved = hook.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            roots = written(roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")), f"roots-{step}")
-        ends = hook.withColumnRenamed("node", "a").withColumnRenamed("root", "x")
-        other = hook.withColumnRenamed("node", "b").withColumnRenamed("root", "y")
-        live = live.join(ends, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        step += 1
-        live = written(live.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges-{step}")
-    return roots
+        hook = written(both.groupBy("node").agg(F.least("node", F.min("near")).alias("root")), f"hook-{len(hooks)}")
+        hooks.append(hook)
+        ends = hook.select(F.col("node").alias("a"), F.col("root").alias("x"))
+        other = hook.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        live = live.join(ends, "a").join(other, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        live = written(live.distinct(), f"edges-{len(hooks)}")
+    roots = hooks[0]
+    for hook in hooks[1:]:
+        moved = hook.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        roots = roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return written(roots, "roots")

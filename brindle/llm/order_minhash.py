@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,12 @@ from brindle.llm.components import classes
 from brindle.session import scratch_path
 
 WORDS = 5
+#: Texts outside the largest class of a bucket that are compared pair by pair: under sixteen comparisons a text.
+FEW = 32
+#: Further sketches by which a bucket of more unlike texts is split.  Texts that are alike share most of
+#: their sketches and so several buckets, of which each gives them this many more places to meet;
+#: with two of them the rows shrink from level to level unless more than half of the keys agree.
+FURTHER = 2
 SIMILARITY = 0.8
 #: Sketches per document and shingles in each.  Two texts that share a part J of their shingles
 #: meet in a sketch with a chance of about J^2, so 1 in 2000 pairs with J = 0.6 is missed.
@@ -210,10 +217,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     the smallest doc_id of the class and that document is kept.
 
     Texts with the same words collapse first.  A bucket holds the texts with
-    one sketch key; each is compared with the first text of the bucket only,
-    so a bucket costs as many comparisons as it has texts.  A bucket whose
-    texts are not all in one class after that is split by its texts' further
-    sketch keys and goes on, until no bucket mixes classes or no key is left.
+    one sketch key; each is compared with the first text of the bucket's largest
+    class only, so a bucket costs as many comparisons as it has texts.  The texts
+    that stay outside that class are compared with each other where they are few,
+    and else split by further sketch keys, until no bucket is left.
 
     Nulls: a null text has no words; texts without words are one class.  A null
     doc_id sorts after all others.  Rows that share the class id are all kept.
@@ -238,39 +245,64 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def _linked(docs: DataFrame, texts: DataFrame, written, least: float) -> DataFrame:
-    """(node, root) of the texts that share a bucket with a similar text."""
+    """(node, root) of the texts that share a bucket with a similar text.
+
+    A level compares the texts of each mixed bucket with the first text of its
+    largest class, once before anything is known and once more where links have
+    made another class the largest.  Of what is in no largest class then, up to
+    ``FEW`` texts in a bucket are compared pair by pair, and more go on to the next
+    level, in buckets with one more sketch key in common.
+    """
     keys = texts.select("node", F.posexplode("keys").alias("j", "key"))
     rows = keys.select(F.xxhash64("j", "key").alias("bucket"), "node", "j")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = written(rows.join(shared, "bucket"), "rows-0")
     sequences = written(_sequences(docs, rows.select(F.col("node").alias("row_key")).distinct()), "sequences")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    edges = tested = None
-    step = 0
-    while True:
-        live = written(_mixed_buckets(rows, roots), f"live-{step}")
-        if live.isEmpty():
+    edges = None
+    for level in count():
+        live = written(_mixed_buckets(rows, roots), f"live-{level}-0")
+        for again in (False, True):
+            pairs = live.filter("root <> major")
+            if again:
+                pairs = pairs.filter("not (first <=> first_before)")
+            if pairs.isEmpty():
+                break
+            pairs = pairs.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+            found = written(_verified(pairs, sequences, least), f"edges-{level}-{int(again)}")
+            if found.isEmpty():
+                break
+            edges = found if edges is None else edges.unionAll(found)
+            roots = classes(edges)
+            before = live.select("bucket", "node", "j", F.col("first").alias("first_before"))
+            live = written(_mixed_buckets(before, roots), f"live-{level}-{1 + again}")
+        rest = live.filter("root <> major").select("bucket", "node", "j", "root")
+        sizes = rest.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        rest = written(rest.join(sizes, "bucket"), f"rest-{level}")
+        few = rest.filter(F.col("size") <= FEW).select("bucket", "node", "root")
+        other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
+        pairs = few.join(other, "bucket").filter("node < b and root <> other").select(F.col("node").alias("a"), "b").distinct()
+        found = written(_verified(pairs, sequences, least), f"edges-{level}-few")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionAll(found)
+            roots = classes(edges)
+        many = rest.filter(F.col("size") > FEW).select("bucket", "node", "j")
+        if many.isEmpty():
             return roots
-        pairs = live.filter("root <> leader_root").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs-{step}")
-        found = written(_verified(pairs, sequences, least), f"edges-{step}")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        edges = found if edges is None else edges.unionAll(found)
-        roots = classes(edges)
-        still = _mixed_buckets(live.select("bucket", "node", "j"), roots).filter("node <> leader")
-        finer = still.select("bucket", "node", "j").join(keys.withColumnRenamed("j", "next"), "node").filter("next > j")
-        rows = written(finer.select(F.xxhash64("bucket", "next", "key").alias("bucket"), "node", F.col("next").alias("j")), f"rows-{step + 1}")
-        step += 1
+        finer = many.join(keys.withColumnRenamed("j", "next"), "node").filter(F.col("next").between(F.col("j") + 1, F.col("j") + FURTHER))
+        rows = written(finer.select(F.xxhash64("bucket", "next", "key").alias("bucket"), "node", F.col("next").alias("j")), f"rows-{level + 1}")
 
 
 def _mixed_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one class, with the class of each and the bucket's first text."""
+    """Rows of the buckets that hold more than one class: each with its root, the root of the largest class and that class's first text.
+
+    Classes are counted in each task before the shuffle; a bucket meets as one row per class.
+    """
     labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    head = F.min(F.struct("node", "root"))
-    buckets = labelled.groupBy("bucket").agg(head.alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return labelled.join(buckets.select("bucket", F.col("head.node").alias("leader"), F.col("head.root").alias("leader_root")), "bucket")
+    parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    largest = F.max(F.struct("n", F.bitwise_not("root").alias("order"), "root", "first")).alias("l")
+    buckets = parts.groupBy("bucket").agg(largest, F.count("*").alias("classes")).filter("classes > 1")
+    return labelled.join(buckets.select("bucket", F.col("l.root").alias("major"), F.col("l.first").alias("first")), "bucket")
 
 
 def kept_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -18,10 +18,10 @@ from brindle.session import scratch_path
 WORDS = 5
 #: Texts outside the largest class of a bucket that are compared pair by pair: under sixteen comparisons a text.
 FEW = 32
-#: Further sketches by which a bucket of more unlike texts is split.  Texts that are alike share most of
-#: their sketches and so several buckets, of which each gives them this many more places to meet;
-#: with two of them the rows shrink from level to level unless more than half of the keys agree.
-FURTHER = 2
+#: Pairs of further sketches by which a bucket of more unlike texts is split.  Texts that are alike share
+#: most of their sketches and so several buckets, of which each gives them this many more places to
+#: meet; others mostly agree in neither sketch of a pair, so the rows shrink from level to level.
+FURTHER = 3
 SIMILARITY = 0.8
 #: Sketches per document and shingles in each.  Two texts that share a part J of their shingles
 #: meet in a sketch with a chance of about J^2, so 1 in 2000 pairs with J = 0.6 is missed.
@@ -251,9 +251,10 @@ def _linked(docs: DataFrame, texts: DataFrame, written, least: float) -> DataFra
     largest class, once before anything is known and once more where links have
     made another class the largest.  Of what is in no largest class then, up to
     ``FEW`` texts in a bucket are compared pair by pair, and more go on to the next
-    level, in buckets with one more sketch key in common.
+    level, in buckets with two more sketch keys in common.
     """
     keys = texts.select("node", F.posexplode("keys").alias("j", "key"))
+    two = texts.select("node", F.posexplode(F.zip_with(F.slice("keys", 1, SKETCHES - 1), F.slice("keys", 2, SKETCHES), lambda a, b: F.xxhash64(a, b))).alias("j", "key"))
     rows = keys.select(F.xxhash64("j", "key").alias("bucket"), "node", "j")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = written(rows.join(shared, "bucket"), "rows-0")
@@ -289,8 +290,9 @@ def _linked(docs: DataFrame, texts: DataFrame, written, least: float) -> DataFra
         many = rest.filter(F.col("size") > FEW).select("bucket", "node", "j")
         if many.isEmpty():
             return roots
-        finer = many.join(keys.withColumnRenamed("j", "next"), "node").filter(F.col("next").between(F.col("j") + 1, F.col("j") + FURTHER))
-        rows = written(finer.select(F.xxhash64("bucket", "next", "key").alias("bucket"), "node", F.col("next").alias("j")), f"rows-{level + 1}")
+        step = F.col("next") - F.col("j")
+        finer = many.join(two.withColumnRenamed("j", "next"), "node").filter((step % 2 == 1) & step.between(1, 2 * FURTHER))
+        rows = written(finer.select(F.xxhash64("bucket", "next", "key").alias("bucket"), "node", (F.col("next") + 1).alias("j")), f"rows-{level + 1}")
 
 
 def _mixed_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:

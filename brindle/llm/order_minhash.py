@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,12 +15,12 @@ from brindle.llm.components import classes
 from brindle.session import scratch_path
 
 WORDS = 5
-#: Texts outside the largest class of a bucket that are compared pair by pair: under sixteen comparisons a text.
-FEW = 32
-#: Pairs of further sketches by which a bucket of more unlike texts is split.  Texts that are alike share
-#: most of their sketches and so several buckets, of which each gives them this many more places to
-#: meet; others mostly agree in neither sketch of a pair, so the rows shrink from level to level.
-FURTHER = 3
+#: Texts, and words of texts, in a block.  Blocks of a bucket meet two by two, so a task holds two of them.
+BLOCK = 512
+BLOCK_WORDS = 1 << 20
+#: Counters per text that bound the words two texts have in common; fewer texts than ``DIRECT`` go without.
+BINS = 256
+DIRECT = 8
 SIMILARITY = 0.8
 #: Sketches per document and shingles in each.  Two texts that share a part J of their shingles
 #: meet in a sketch with a chance of about J^2, so 1 in 2000 pairs with J = 0.6 is missed.
@@ -217,10 +216,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     the smallest doc_id of the class and that document is kept.
 
     Texts with the same words collapse first.  A bucket holds the texts with
-    one sketch key; each is compared with the first text of the bucket's largest
-    class only, so a bucket costs as many comparisons as it has texts.  The texts
-    that stay outside that class are compared with each other where they are few,
-    and else split by further sketch keys, until no bucket is left.
+    one sketch key.  Each is compared with the first text of the bucket's largest
+    class; a text that stays outside that class is compared with every text of
+    the bucket that no link has joined to it.  So classes are those of all pairs
+    that share a bucket, and a bucket of many unlike texts costs their square.
 
     Nulls: a null text has no words; texts without words are one class.  A null
     doc_id sorts after all others.  Rows that share the class id are all kept.
@@ -234,8 +233,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     facts = written(document_sketches(docs), "facts")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
-    groups = facts.groupBy("d1", "d2").agg(first, F.first("keys").alias("keys"))
-    texts = written(groups.select("d1", "d2", F.col("first.row_key").alias("node"), F.col("first.doc_id").alias("least_id"), "keys"), "texts")
+    groups = facts.groupBy("d1", "d2").agg(first, F.first("keys").alias("keys"), F.first("n_words").alias("n_words"))
+    texts = written(groups.select("d1", "d2", F.col("first.row_key").alias("node"), F.col("first.doc_id").alias("least_id"), "keys", "n_words"), "texts")
     roots = _linked(docs, texts, written, least)
     placed = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = facts.select("d1", "d2", "doc_id", "row_key").join(placed.select("d1", "d2", "root"), ["d1", "d2"])
@@ -247,52 +246,127 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def _linked(docs: DataFrame, texts: DataFrame, written, least: float) -> DataFrame:
     """(node, root) of the texts that share a bucket with a similar text.
 
-    A level compares the texts of each mixed bucket with the first text of its
+    The texts of each mixed bucket are compared with the first text of its
     largest class, once before anything is known and once more where links have
-    made another class the largest.  Of what is in no largest class then, up to
-    ``FEW`` texts in a bucket are compared pair by pair, and more go on to the next
-    level, in buckets with two more sketch keys in common.
+    made another class the largest.  That leaves few texts outside where texts are
+    alike; each of them then meets every text of the bucket, in blocks.
     """
     keys = texts.select("node", F.posexplode("keys").alias("j", "key"))
-    two = texts.select("node", F.posexplode(F.zip_with(F.slice("keys", 1, SKETCHES - 1), F.slice("keys", 2, SKETCHES), lambda a, b: F.xxhash64(a, b))).alias("j", "key"))
     rows = keys.select(F.xxhash64("j", "key").alias("bucket"), "node", "j")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rows = written(rows.join(shared, "bucket"), "rows-0")
+    rows = written(rows.join(shared, "bucket"), "rows")
     sequences = written(_sequences(docs, rows.select(F.col("node").alias("row_key")).distinct()), "sequences")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     edges = None
-    for level in count():
-        live = written(_mixed_buckets(rows, roots), f"live-{level}-0")
-        for again in (False, True):
-            pairs = live.filter("root <> major")
-            if again:
-                pairs = pairs.filter("not (first <=> first_before)")
-            if pairs.isEmpty():
-                break
-            pairs = pairs.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-            found = written(_verified(pairs, sequences, least), f"edges-{level}-{int(again)}")
-            if found.isEmpty():
-                break
-            edges = found if edges is None else edges.unionAll(found)
-            roots = classes(edges)
-            before = live.select("bucket", "node", "j", F.col("first").alias("first_before"))
-            live = written(_mixed_buckets(before, roots), f"live-{level}-{1 + again}")
-        rest = live.filter("root <> major").select("bucket", "node", "j", "root")
-        sizes = rest.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-        rest = written(rest.join(sizes, "bucket"), f"rest-{level}")
-        few = rest.filter(F.col("size") <= FEW).select("bucket", "node", "root")
-        other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
-        pairs = few.join(other, "bucket").filter("node < b and root <> other").select(F.col("node").alias("a"), "b").distinct()
-        found = written(_verified(pairs, sequences, least), f"edges-{level}-few")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionAll(found)
-            roots = classes(edges)
-        many = rest.filter(F.col("size") > FEW).select("bucket", "node", "j")
-        if many.isEmpty():
-            return roots
-        step = F.col("next") - F.col("j")
-        finer = many.join(two.withColumnRenamed("j", "next"), "node").filter((step % 2 == 1) & step.between(1, 2 * FURTHER))
-        rows = written(finer.select(F.xxhash64("bucket", "next", "key").alias("bucket"), "node", (F.col("next") + 1).alias("j")), f"rows-{level + 1}")
+    live = written(_mixed_buckets(rows, roots), "live-0")
+    for again in (False, True):
+        pairs = live.filter("root <> major")
+        if again:
+            pairs = pairs.filter("not (first <=> first_before)")
+        if pairs.isEmpty():
+            break
+        pairs = pairs.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+        found = written(_verified(pairs, sequences, least), f"edges-{int(again)}")
+        if found.isEmpty():
+            break
+        edges = found if edges is None else edges.unionAll(found)
+        roots = classes(edges)
+        before = live.select("bucket", "node", "j", F.col("first").alias("first_before"))
+        live = written(_mixed_buckets(before, roots), f"live-{1 + again}")
+    if live.isEmpty():
+        return roots
+    found = written(_block_links(_blocks(live, texts), texts, sequences, least), "edges-blocks")
+    if found.isEmpty():
+        return roots
+    return classes(found if edges is None else edges.unionAll(found))
+
+
+def _blocks(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, j, node, root, own, low, high): every text in each pair of blocks (low, high) where its own block meets another.
+
+    Texts outside the largest class of their bucket and texts of that class are dealt to
+    blocks apart, the former numbered first.  A block of the former meets all blocks.
+    """
+    sized = live.join(texts.select("node", "n_words"), "node").withColumn("out", F.col("root") != F.col("major"))
+
+    def parts(of: Column) -> Column:
+        n, words = F.count(F.when(of, 1)), F.sum(F.when(of, F.col("n_words")).otherwise(0))
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS))
+
+    buckets = sized.groupBy("bucket").agg(parts(F.col("out")).alias("outer"), parts(~F.col("out")).alias("inner"))
+    own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), "outer")).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), "inner"))
+    met = F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
+    dealt = sized.join(buckets, "bucket").select("bucket", "j", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("other"))
+    return dealt.select("bucket", "j", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
+def _block_links(blocks: DataFrame, texts: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between texts of different classes that meet in a pair of blocks."""
+    names = ["bucket", "low", "high"]
+    met = blocks.join(texts.select("node", "keys"), "node").join(sequences.withColumnRenamed("row_key", "node"), "node")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, names):
+            links = _links(group, least)
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
+
+
+def _runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows, by runs that agree in all of ``names``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            this = tuple(key[:, low].tolist())
+            if held and this != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = this
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links(group: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Links between the texts of a block, or of two; texts that links have joined are not compared again.
+
+    Two texts that share a bucket of an earlier sketch meet there, and not here.
+    """
+    node, label, own = (group.column(c).to_numpy() for c in ("node", "root", "own"))
+    label, sketches = label.copy(), group.column("j")[0].as_py()
+    earlier = np.array(group.column("keys").to_pylist(), np.int64)[:, :sketches]
+    words = [np.frombuffer(w, "<u4") for w in group.column("words").to_pylist()]
+    size = np.array([len(w) for w in words])
+    n = len(words)
+    if n > DIRECT:
+        bins = np.repeat(np.arange(n) * BINS, size) + (np.concatenate(words) >> np.uint32(24)).astype(np.int64)
+        held = np.bincount(bins, minlength=n * BINS).reshape(n, BINS).astype(np.int32)
+    same = group.column("low")[0] == group.column("high")[0]
+    high = group.column("high")[0].as_py()
+    out = []
+    for i in range(n) if same else np.flatnonzero(own != high).tolist():
+        others = np.arange(i + 1, n) if same else np.flatnonzero(own == high)
+        others = others[label[others] != label[i]]
+        longer = np.maximum(size[i], size[others])
+        most = ((1 - least) * longer + 1e-9).astype(np.int64)
+        on = np.abs(size[i] - size[others]) <= most
+        others, longer, most = others[on], longer[on], most[on]
+        on = ~(earlier[others] == earlier[i]).any(axis=1)
+        if n > DIRECT:
+            on &= longer - np.minimum(held[others], held[i]).sum(axis=1) <= most
+        for o in others[on].tolist():
+            if label[o] != label[i] and similar(words[i], words[o], least):
+                out.append((int(node[i]), int(node[o])))
+                label[label == label[o]] = label[i]
+    return out
 
 
 def _mixed_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:

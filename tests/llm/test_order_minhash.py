@@ -88,6 +88,29 @@ def test_classes_agree_with_brute_force(spark):
     assert {r.doc_id for r in M.kept_documents(df).collect()} == set(want.values())
 
 
+def against_brute_force(spark, texts):
+    ids = {}
+    words = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t.encode())], np.int64) for t in texts]
+    want = roots(range(len(texts)), lambda a, b: M.similar(words[a], words[b]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.class_id for r in M.near_duplicates(df).collect()}, want
+
+
+def test_a_star_of_copies_that_are_unlike_each_other_is_one_class(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for c in range(300):
+        copy = list(base)
+        for part in range(3):
+            at = rng.randrange(200 - 11)
+            copy[at : at + 11] = [f"c{c}p{part}x{k}" for k in range(11)]
+        texts.append(" ".join(copy))
+    got, want = against_brute_force(spark, texts)
+    assert len(set(want.values())) == 1
+    assert got == want
+
+
 def test_a_common_passage_does_not_join_documents(spark):
     rng = random.Random(3)
     passage = "the same passage stands in all of these texts and is a good part of each one of them".split()

@@ -111,6 +111,21 @@ def test_a_star_of_copies_that_are_unlike_each_other_is_one_class(spark):
     assert got == want
 
 
+def test_near_copies_meet_among_many_unlike_texts_of_one_passage(spark):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(110)]
+    texts = []
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(50)]
+        texts.append(" ".join(passage + own))
+        for at in rng.sample(range(50), 14):
+            own[at] = f"g{g}e{at}"
+        texts.append(" ".join(passage + own))
+    got, want = against_brute_force(spark, texts)
+    assert len(set(want.values())) == 60
+    assert got == want
+
+
 def test_a_common_passage_does_not_join_documents(spark):
     rng = random.Random(3)
     passage = "the same passage stands in all of these texts and is a good part of each one of them".split()

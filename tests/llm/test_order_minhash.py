@@ -126,6 +126,23 @@ def test_near_copies_meet_among_many_unlike_texts_of_one_passage(spark):
     assert got == want
 
 
+def test_recall_with_edits_all_over_the_text(spark):
+    rng = random.Random(13)
+    texts, pairs = [], 200
+    for e, edits in enumerate((40, 30, 20)):
+        for g in range(pairs):
+            base = [f"e{e}g{g}w{i}" for i in range(200)]
+            texts.append(" ".join(base))
+            for at in rng.sample(range(200), edits):
+                base[at] += "x"
+            texts.append(" ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = [r.doc_id // (2 * pairs) for r in M.near_duplicates(df).collect() if r.doc_id % 2 and not r.kept]
+    recall = [found.count(e) / pairs for e in range(3)]
+    print("recall at 0.80, 0.85, 0.90:", recall)
+    assert recall[0] >= 0.97 and recall[1] >= 0.99 and recall[2] == 1
+
+
 def test_a_common_passage_does_not_join_documents(spark):
     rng = random.Random(3)
     passage = "the same passage stands in all of these texts and is a good part of each one of them".split()

@@ -15,11 +15,7 @@ from brindle.llm.common import chunked, content_key, words_of
 from brindle.session import scratch_path
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a protected mention that count as occurring with it.
-NEAR = 5
-#: Characters on each side in which those words are looked for.
-NEAR_CHARS = 400
-#: Different surroundings in which a term must have met an entity before it is judged.
+#: Different texts in which a term must have met an entity before it is judged.
 SUPPORT = 3
 #: Share of the entity's information that a term gives away: from here it is generalised, or removed.
 GENERALISE = 0.8
@@ -89,39 +85,53 @@ def folded(word: str) -> str:
     return word.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """For every mention its entity and the (word, start, end) near it that belong to no mention."""
-    taken = sorted((s, e) for _, s, e in spans)
-    for kind, start, end in spans:
-        low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        before = [m for m in _WORD.finditer(text, low, start) if low == 0 or m.start() > low][-NEAR:]
-        after = [m for m in _WORD.finditer(text, end, high) if high == len(text) or m.end() < high][:NEAR]
-        words = [(folded(m[0]), *m.span()) for m in [*before, *after] if not any(s < m.end() and m.start() < e for s, e in taken if s < high and e > low)]
-        yield entity_of(kind, text[start:end]), words
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[int]]:
+    """Every word that belongs to no mention, and where it starts; a word is as long as its folded form."""
+    taken, at, end = sorted((s, e) for _, s, e in spans), 0, 0
+    out: dict[str, list[int]] = {}
+    for m in _WORD.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            end = max(end, taken[at][1])
+            at += 1
+        if end <= m.start():
+            out.setdefault(folded(m[0]), []).append(m.start())
+    return out
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, base, near): spans of every text, and for each mention its entity and the words near it."""
+    """(doc_id, row_key, place, base, entities): the key and the spans of every text, and the different entities it mentions."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    word = T.StructType([T.StructField("term", T.StringType()), *span.fields[1:]])
-    near = T.StructType([T.StructField("entity", T.StringType()), T.StructField("words", T.ArrayType(word))])
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("row_key", T.LongType()), T.StructField("base", T.ArrayType(span)), T.StructField("near", T.ArrayType(near))])
+    keys = [docs.schema["doc_id"], T.StructField("row_key", T.LongType()), T.StructField("place", T.LongType())]
+    schema = T.StructType([*keys, T.StructField("base", T.ArrayType(span)), T.StructField("entities", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        word_type = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        near_type = pa.struct([("entity", pa.string()), ("words", pa.list_(word_type))])
         for batch in chunked(batches, "text"):
-            base, close = [], []
+            base, named = [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 spans = base_spans(text)
                 base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
-                close.append([{"entity": e, "words": [dict(zip(("term", "start", "end"), w, strict=True)) for w in ws]} for e, ws in surroundings(text, spans)])
-            arrays = [pa.array(base, pa.list_(span_type)), pa.array(close, pa.list_(near_type))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *arrays], schema.names)
+                named.append(sorted({entity_of(kind, text[start:end]) for kind, start, end in spans}))
+            arrays = [pa.array(base, pa.list_(span_type)), pa.array(named, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row_key", "place")), *arrays], schema.names)
 
-    return docs.select("doc_id", content_key("doc_id", "text").alias("row_key"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", content_key("doc_id", "text").alias("row_key"), content_key("text").alias("place"), "text").mapInArrow(run, schema)
+
+
+def terms_in(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, term, starts): the words outside mentions of the texts of ``places(place)``, each text once."""
+    texts = docs.select(content_key("text").alias("place"), "text").join(places, "place", "left_semi").dropDuplicates(["place"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, "text"):
+            for place, value in zip(batch.column("place"), batch.column("text"), strict=True):
+                text = value.as_py() or ""
+                terms = terms_of(text, base_spans(text))
+                arrays = [pa.array([place.as_py()] * len(terms), pa.int64()), pa.array(terms.keys(), pa.string()), pa.array(terms.values(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["place", "term", "starts"])
+
+    return texts.mapInArrow(run, "place long, term string, starts array<int>")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -146,16 +156,23 @@ def _counted(counts: Counter[bytes]) -> pa.RecordBatch:
 
 
 def disclosures(near: DataFrame, counts: DataFrame, words: int) -> DataFrame:
-    """(entity, term, share, action) of the terms that give an entity away.
+    """The terms that give an entity away, as :func:`judged` says.
 
-    ``near(entity, term, place)`` has a row per word near a mention.  With
-    p(c) the chance of a word to be near a mention of c, and p(c|t) that of the
-    occurrences of t, the pointwise mutual information of c and t is
-    log p(c|t) / p(c), and its share of the information of c, -log p(c), is
-    what t discloses.
+    ``near(entity, term, place)`` has a row per word of a text that mentions the entity.
     """
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.count_distinct("place").alias("support"))
     entities = near.groupBy("entity").agg(F.count("*").alias("words_near"))
+    return judged(pairs, entities, counts, words)
+
+
+def judged(pairs: DataFrame, entities: DataFrame, counts: DataFrame, words: int) -> DataFrame:
+    """(entity, term, share, action) of the terms that give an entity away, from ``pairs(entity, term, joint, support)``.
+
+    With p(c) the chance of a word to be in a text that mentions c, and p(c|t) that
+    of the occurrences of t, the pointwise mutual information of c and t is
+    log p(c|t) / p(c), and its share of the information of c, -log p(c), is
+    what t discloses.
+    """
     known = pairs.filter(F.col("support") >= SUPPORT).join(entities, "entity").join(counts, "term")
     p_entity = F.col("words_near") / F.lit(max(words, 1))
     p_given = F.least(F.col("joint") / F.col("n"), F.lit(1.0))
@@ -167,31 +184,43 @@ def disclosures(near: DataFrame, counts: DataFrame, words: int) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, row_key, base, added.
 
-    base are the spans of the patterns, added the spans of words near a mention
-    that disclose its entity, with the action generalise or remove as kind; a
-    word near several mentions takes the stronger action.  Spans are arrays of
-    (kind, start, end) in code points, end exclusive.  How much a word discloses is
-    estimated over the whole corpus: all its words, and all those near mentions.
+    base are the spans of the patterns, added the spans of words that disclose an
+    entity their text mentions, wherever in it they stand, with the action generalise
+    or remove as kind; a word that discloses several takes the stronger action.
+    Spans are arrays of (kind, start, end) in code points, end exclusive.  How much
+    a word discloses is estimated over the whole corpus: all its words, and
+    all those of texts that mention the entity.
 
     Nulls: a null text has no spans; a null doc_id is a row like any other.
-    Rows that repeat get the same spans each and count each.  An empty table
-    gives an empty result; further columns are not read.
+    Rows that repeat get the same spans each and count each, but are one text.  An
+    empty table gives an empty result; further columns are not read.
     """
     spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "pii")
-    mentions(docs).write.parquet(f"{folder}/mentions")
-    found = spark.read.parquet(f"{folder}/mentions")
-    each = found.select("row_key", F.explode("near").alias("near")).select("row_key", "near.entity", F.explode("near.words").alias("word"), F.xxhash64("near.words.term").alias("place"))
-    near = each.select("row_key", "entity", "place", "word.term", "word.start", "word.end")
-    terms = near.select("term").distinct()
-    counts = term_counts(docs)
-    counts.write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    found = written(mentions(docs), "mentions")
+    # Equal texts count as often as they are there, and are searched once.
+    texts = found.filter(F.size("entities") > 0).groupBy("place").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"))
+    named = texts.select("place", "copies", F.explode("entities").alias("entity"))
+    often = named.groupBy("entity").agg(F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT).select("entity")
+    named = written(named.join(often, "entity"), "named")
+    terms = written(terms_in(docs, named.select("place").distinct()), "terms")
+    counts = written(term_counts(docs), "counts")
     words = counts.agg(F.sum("n")).first()[0] or 0
-    telling = disclosures(near, counts.join(terms, "term", "left_semi"), words)
-    hits = near.join(telling, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("action").alias("kind"))
-    span = F.struct("kind", "start", "end")
-    added = hits.groupBy("row_key").agg(F.sort_array(F.collect_list(span)).alias("added"))
-    out = found.select("doc_id", "row_key", "base").join(added, "row_key", "left")
+    met = named.join(terms.select("place", "term", F.size("starts").alias("times")), "place")
+    pairs = met.groupBy("entity", "term").agg(F.sum(F.col("copies") * F.col("times")).alias("joint"), F.count("*").alias("support"))
+    sizes = terms.groupBy("place").agg(F.sum(F.size("starts")).alias("size"))
+    entities = named.join(sizes, "place").groupBy("entity").agg(F.sum(F.col("copies") * F.col("size")).alias("words_near"))
+    telling = written(judged(pairs, entities, counts, words), "telling")
+    told = terms.join(telling.select("term").distinct(), "term", "left_semi")
+    hits = named.join(told, "place").join(telling, ["entity", "term"]).groupBy("place", "term").agg(F.max("action").alias("kind"), F.first("starts").alias("starts"))
+    each = hits.select("place", "kind", F.char_length("term").alias("length"), F.explode("starts").alias("start"))
+    span = F.struct("kind", "start", (F.col("start") + F.col("length")).alias("end"))
+    added = each.groupBy("place").agg(F.sort_array(F.collect_list(span)).alias("added"))
+    out = found.select("doc_id", "row_key", "place", "base").join(added, "place", "left").drop("place")
     return out.withColumn("added", F.coalesce("added", F.array().cast(added.schema["added"].dataType)))
 
 

@@ -54,6 +54,16 @@ def test_a_word_that_only_stands_near_an_entity_discloses_it(spark):
     assert clean[10] == text[10]
 
 
+def test_a_name_far_from_the_address_is_taken_out_wherever_it_stands(spark):
+    far = " ".join(f"of{k}" for k in range(100))
+    rows = [(i, f"Dear Zebedee one{i} {far} two{i} write to me@home.example.org {far} as zebedee three{i}") for i in range(3)]
+    rows += [(10 + i, f"{far} and {far} so on {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in P.sanitise(df).collect()}
+    assert all("zebedee" not in clean[i].lower() and "<email>" in clean[i] and f"one{i}" in clean[i] and far in clean[i] for i in range(3))
+    assert clean[10] == rows[3][1]
+
+
 @pytest.mark.parametrize("joint, n, near, words, action", [(5, 5, 50, 10_000, "remove"), (4, 8, 50, 10_000, "generalise"), (4, 400, 50, 10_000, None)])
 def test_shares_of_information(spark, joint, n, near, words, action):
     from pyspark.sql import functions as F

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as contamination
-from brindle.llm import exact_stream, line_dedup, order_minhash, pii, quality, segmentations, suffix_dedup, url_filter, warc
+from brindle.llm import exact_stream, line_dedup, order_minhash, pii, prefix_trees, quality, segmentations, suffix_dedup, url_filter, warc
 from brindle.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,11 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     found = order_minhash.near_duplicates(Tables(spark, sf_dir).documents)
     return found.select("doc_id", "class_id", "class_size", "kept")
+
+
+@_register
+def op11_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of 13 words that stand in an earlier one."""
+    left = prefix_trees.dedup_passages(Tables(spark, sf_dir).documents, keep_text=False)
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, b: a + b)
+    return left.select("doc_id", "n_words", removed.alias("n_removed"), "kept_sha256")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as contamination
-from brindle.llm import exact_stream, line_dedup, order_minhash, pii, prefix_trees, quality, segmentations, suffix_dedup, url_filter, warc
+from brindle.llm import exact_stream, line_dedup, order_minhash, pii, prefix_trees, quality, segmentations, suffix_dedup, token_links, url_filter, warc, whitening
 from brindle.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,17 @@ def op11_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = prefix_trees.dedup_passages(Tables(spark, sf_dir).documents, keep_text=False)
     removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, b: a + b)
     return left.select("doc_id", "n_words", removed.alias("n_removed"), "kept_sha256")
+
+
+@_register
+def op12_golub_kahan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on up to 32 principal components, each over its deviation."""
+    found = whitening.whiten(Tables(spark, sf_dir).embeddings)
+    each = found.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "one"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "one.whitened", "one.explained", "identity_error")
+
+
+@_register
+def op13_gustavson_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under two tokenizers, with the corpus-wide counts of its links."""
+    return token_links.align_documents(Tables(spark, sf_dir).documents)

@@ -29,14 +29,14 @@ def test_query_agrees_with_sql(spark, con, name):
     assert result.startswith("ok"), result
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+@pytest.mark.parametrize("name", sorted(n for n in set(queries.QUERIES) - set(queries.ORACLES) if not n.startswith("op12_")))
 def test_query_returns_a_row_per_document(spark, name):
     ids = [r.doc_id for r in queries.QUERIES[name](spark, SF).select("doc_id").collect()]
     assert sorted(ids) == sorted(r.doc_id for r in Tables(spark, SF).documents.select("doc_id").collect())
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages_agree_with_brute_force(spark):

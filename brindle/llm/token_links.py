@@ -16,6 +16,8 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ STEP_TEXT = 1 << 20
 #: Id pairs whose counts meet in one task.
 PAIRS = 1 << 20
 #: Bytes of different units a task keeps the links of.
-KEPT_UNITS = 8 << 20
+KEPT_UNITS = 32 << 20
 
 
 # --- sparse matrices ---
@@ -104,7 +106,7 @@ def overlap_links(a: np.ndarray, b: np.ndarray) -> Csr:
 def groups_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Group of every token, and the number of groups."""
     ends_a, ends_b = np.cumsum(a), np.cumsum(b)
-    cuts = np.intersect1d(ends_a, ends_b)
+    cuts = ends_a[np.append(ends_b, -1)[np.searchsorted(ends_b, ends_a)] == ends_a]
     return np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), len(cuts)
 
 
@@ -123,6 +125,12 @@ CUT = re.compile("(?<=[^\\s\u180e\u200b\ufeff\u2581]) (?=.)", re.S)
 UNEVEN = re.compile("[\\s\u180e\u200b\ufeff\u2581] |^ | $", re.S)
 
 
+#: Fixed value: how the byte-level vocabulary splits a text before it merges.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose kind has not changed with any edition of the character tables.
+PLAIN = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+
+
 def units_of(text: str) -> list[str]:
     """The units of a space and the text, each without its leading space."""
     if not UNEVEN.search(text):
@@ -152,18 +160,45 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         letters = byte_alphabet()
-        self.bytes_a = {i: bytes(letters[c] for c in token) for token, i in self.a.get_vocab().items() if all(c in letters for c in token)}
+        self.bytes_a = [b""] * self.a.get_vocab_size()
+        for token, i in self.a.get_vocab().items():
+            self.bytes_a[i] = bytes(letters[c] for c in token)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.sizes_a, self.sizes_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.bytes_a, self.bytes_b))
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.plain = self._plain()
         #: Whether no piece goes on behind a space that is not at its front.
         self.cuts = not any(re.search("[^▁]▁", p) for p in names)
 
+    def _plain(self):
+        """The first vocabulary with a quicker engine, if its merges are in the order of their entries' numbers."""
+        import json
+
+        import tiktoken
+
+        model = json.loads(self.a.to_str())["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"][a + b] != 256 + k for k, (a, b) in enumerate(merges)):
+            return None
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("plain", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def units(self, text: str) -> list[str]:
         return units_of(text) if self.cuts else [text]
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        got = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        return [e.ids for e in got], self.b.encode(units, num_threads=1)
+        return self._encode_a([" " + u for u in units]), self.b.encode(units, num_threads=1)
+
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Texts of characters that every engine takes alike go to the quick one, the others to the tokenizer itself."""
+        plain = PLAIN.fullmatch
+        odd = texts if self.plain is None else [t for t in texts if not plain(t)]
+        slow = iter([e.ids for e in self.a.encode_batch_fast(odd, add_special_tokens=False)])
+        if self.plain is None:
+            return list(slow)
+        quick = self.plain.encode_ordinary
+        return [quick(t) if plain(t) else next(slow) for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -182,31 +217,49 @@ class Units:
     #: Per unit: tokens of A, tokens of B, groups, overlap links, shared-group links; all zero where the bytes differ.
     counts: list[np.ndarray] = field(default_factory=list)
     pairs: list[Csr] = field(default_factory=list)
+    #: How often each unit has been met.
+    used: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
     def learn(self, both: Tokenizers, units: list[str]) -> None:
         ids_a, ids_b = both.encode(units)
-        fine = [
-            b"".join(map(both.bytes_a.__getitem__, a)) == (w := (" " + u).encode()) == b"".join(map(both.bytes_b.__getitem__, b)) and len(w) > 1
-            for u, a, b in zip(units, ids_a, ids_b, strict=True)
-        ]
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, fine, strict=True)] for ids in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = ([i for x in ids for i in x] for ids in (ids_a, ids_b))
-        bytes_a, bytes_b = (np.fromiter((len(t[i]) for i in flat), np.int64, len(flat)) for t, flat in ((both.bytes_a, flat_a), (both.bytes_b, flat_b)))
+        spelled = [(" " + u).encode() for u in units]
+        fine = np.array([len(w) > 1 for w in spelled], bool)
+        for ids, table in ((ids_a, both.bytes_a), (ids_b, both.bytes_b)):
+            fine &= _spell(ids, table, spelled)
+        if not fine.all():
+            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, fine.tolist(), strict=True)] for ids in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        bytes_a, bytes_b = both.sizes_a[flat_a], both.sizes_b[flat_b]
         links = overlap_links(bytes_a, bytes_b)
         group_a, group_b, groups = groups_of(bytes_a, bytes_b)
         shared = shared_group_links(group_a, group_b, groups)
         unit_a = np.repeat(np.arange(len(units)), n_a)
-        pair = np.array(flat_a, np.int64)[links.rows] * self.pair_base + np.array(flat_b, np.int64)[links.indices]
+        pair = flat_a[links.rows] * self.pair_base + flat_b[links.indices]
         self.pairs.append(collected(unit_a[links.rows], pair, np.ones(len(pair), np.int64), len(units)))
         last = np.ones(len(group_a), bool)
         last[:-1] = group_a[1:] != group_a[:-1]
         per_unit = [n_a, n_b] + [np.bincount(unit_a[rows], minlength=len(units)) for rows in (np.flatnonzero(last), links.rows, shared.rows)]
-        self.counts.append(np.column_stack([*per_unit, np.array(fine, np.int64)]))
-        self.text += _group_texts(flat_a, flat_b, group_a, group_b, groups, unit_a, len(units))
+        self.counts.append(np.column_stack([*per_unit, fine.astype(np.int64)]))
+        self.text += _group_texts(both, flat_a, flat_b, group_a, group_b, groups, unit_a, len(units))
         self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
+        self.used = np.concatenate([self.used, np.zeros(len(units), np.int64)])
         self.size += sum(map(len, units)) + 64 * len(units)
 
+    def trimmed(self) -> Units:
+        """The units that have been met more than once since the last time."""
+        counts, pairs = self.merged()
+        keep = np.flatnonzero(self.used > 1)
+        names = list(self.number)
+        out = Units(self.pair_base, text=[self.text[i] for i in keep.tolist()], counts=[counts[keep]])
+        sizes = np.diff(pairs.indptr)[keep]
+        at = ranges(pairs.indptr[keep], sizes)
+        out.pairs = [Csr(np.concatenate([[0], np.cumsum(sizes)]), pairs.indices[at], pairs.data[at])]
+        out.number = {names[i]: k for k, i in enumerate(keep.tolist())}
+        out.used = np.zeros(len(keep), np.int64)
+        out.size = sum(map(len, out.number)) + 64 * len(keep)
+        return out
+
     def merged(self) -> tuple[np.ndarray, Csr]:
         if len(self.counts) > 1:
             self.counts = [np.concatenate(self.counts)]
@@ -216,17 +269,23 @@ class Units:
         return self.counts[0], self.pairs[0]
 
 
-def _group_texts(a: list[int], b: list[int], group_a: np.ndarray, group_b: np.ndarray, groups: int, unit_a: np.ndarray, units: int) -> list[str]:
+def _spell(ids: list[list[int]], table: list[bytes], spelled: list[bytes]) -> np.ndarray:
+    """Which token lists have just the bytes wanted; all at once where none differs."""
+    got = [b"".join(map(table.__getitem__, x)) for x in ids]
+    return np.ones(len(got), bool) if got == spelled else np.fromiter(map(eq, got, spelled), bool, len(got))
+
+
+def _group_texts(both: Tokenizers, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: int, unit_a: np.ndarray, units: int) -> list[str]:
     """Per unit its groups as decimal ids: a1,a2|b1;a3|b2."""
     cuts_a, cuts_b = (np.searchsorted(g, np.arange(groups + 1)).tolist() for g in (group_a, group_b))
-    named_a, named_b = list(map(str, a)), list(map(str, b))
+    named_a, named_b = (list(map(both.names.__getitem__, x.tolist())) for x in (a, b))
     each = [
-        ",".join(named_a[i:j]) + "|" + ",".join(named_b[k:m])
+        f"{named_a[i]}|{named_b[k]}" if j - i == m - k == 1 else ",".join(named_a[i:j]) + "|" + ",".join(named_b[k:m])
         for i, j, k, m in zip(cuts_a[:-1], cuts_a[1:], cuts_b[:-1], cuts_b[1:], strict=True)
     ]
     unit_of_group = unit_a[cuts_a[:-1]] if groups else np.empty(0, np.int64)
     edges = np.searchsorted(unit_of_group, np.arange(units + 1)).tolist()
-    return [";".join(each[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return [each[i] if j - i == 1 else ";".join(each[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
 # --- the job ---
@@ -248,20 +307,22 @@ class Aligned:
 
 def aligned(texts: list[str], both: Tokenizers, known: Units) -> Aligned:
     split = [both.units(t) if t else [] for t in texts]
-    missing = list(dict.fromkeys(u for units in split for u in units if u not in known.number))
+    missing = list(dict.fromkeys(u for u in chain.from_iterable(split) if u not in known.number))
     if missing or not known.counts:
         known.learn(both, missing)
     counts, links = known.merged()
+    number, text = known.number, known.text
     sizes = np.array([len(u) for u in split], np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
-    unit = np.fromiter((known.number[u] for units in split for u in units), np.int64, len(doc))
+    units = [list(map(number.__getitem__, u)) for u in split]
+    unit = np.fromiter(chain.from_iterable(units), np.int64, len(doc))
+    known.used += np.bincount(unit, minlength=len(known.used))
     # A document has no tokens if one of its units has none.
     fine = (np.bincount(doc, weights=counts[unit, 5] == 0, minlength=len(texts)) == 0) & (sizes > 0)
     keep = fine[doc]
     of_units = collected(doc[keep], unit[keep], np.ones(keep.sum(), np.int64), len(texts))
     sums = np.column_stack([of_units.times(counts[:, k]) for k in range(5)])
-    number, text = known.number, known.text
-    digests = [hashlib.sha256(";".join([text[number[u]] for u in units]).encode()).hexdigest() if ok else "" for units, ok in zip(split, fine.tolist(), strict=True)]
+    digests = [hashlib.sha256(";".join([text[u] for u in own]).encode()).hexdigest() if ok else "" for own, ok in zip(units, fine.tolist(), strict=True)]
     return Aligned(sums, digests, product(of_units, links))
 
 
@@ -290,7 +351,8 @@ class TokenLinks:
         known = Units(base)
         for chunk, part in numbered_chunks(batches, "text", self.chunk_text):
             if known.size > KEPT_UNITS:
-                known = Units(base)
+                known = known.trimmed()
+                known = known if 2 * known.size < KEPT_UNITS else Units(base)
             for table, found in self._numbered(chunk, part, both, known, schema):
                 yield from table.to_batches() if found is None else self._asked(chunk, found, schema)
 

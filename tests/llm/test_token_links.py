@@ -123,6 +123,21 @@ def test_units_are_tokenised_as_the_whole(text):
     assert [(x["a"], x["b"]) for x in shared] == same_group and max(ga) + 1 == max(gb) + 1 == groups
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=0x24F), max_size=30), max_size=20))
+def test_the_quick_engine_gives_the_same_ids(texts):
+    both = t.tokenizers(t.BYTE_LEVEL, t.PIECES)
+    assert both.plain is not None
+    assert both._encode_a(texts) == [e.ids for e in both.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_every_plain_character_is_taken_alike():
+    both = t.tokenizers(t.BYTE_LEVEL, t.PIECES)
+    plain = [c for c in map(chr, range(0x250)) if t.PLAIN.fullmatch(c)]
+    texts = [f"{a}{c}{b}" for c in plain for a in ("x", " ", "1", ".", "\n", "'") for b in ("y", " ", "2", "!", "\n", "s")]
+    assert both._encode_a(texts) == [e.ids for e in both.a.encode_batch_fast(texts, add_special_tokens=False)] and len(plain) > 500
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_gustavson_product_is_the_product(seed):
     rng = np.random.default_rng(seed)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.relational import broadcast_if_small
+from brindle.operators.relational import broadcast_if_small, spread_out
 
 
 def field(x: Column, *choices: Column) -> Column:
@@ -15,33 +15,35 @@ def field(x: Column, *choices: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*choices), x), F.lit(0)).cast("int")
 
 
-def _words(text: str) -> Column:
-    """Sentences as arrays of lower-case words."""
-    return F.explode(F.transform(F.sentences(F.col(text)), lambda s: F.transform(s, F.lower)))
+def _runs(df: DataFrame, text: str, n: int) -> DataFrame:
+    """Runs of n neighbouring words of a sentence, lower case, as one string each: words hold no space."""
+    words = F.transform(F.sentences(F.col(text)), lambda s: F.transform(s, F.lower))
+    starts = lambda s: F.when(F.size(s) >= n, F.sequence(F.lit(1), F.size(s) - (n - 1)))
+    runs = F.transform(words, lambda s: F.coalesce(F.transform(starts(s), lambda i: F.concat_ws(" ", F.slice(s, i, n))), F.array().cast("array<string>")))
+    return spread_out(df.select(text)).select(F.explode(F.flatten(runs)).alias("run"))
 
 
-def _slices(n: int) -> Column:
-    """All runs of n neighbouring words of the column ``s``."""
-    starts = F.when(F.size("s") >= n, F.sequence(F.lit(1), F.size("s") - (n - 1)))
-    return F.explode(F.transform(starts, lambda i: F.slice("s", i, n)))
+def _most(runs: DataFrame, k: int) -> DataFrame:
+    """The k most frequent runs as arrays of words, ties by the words."""
+    counts = runs.groupBy("run").agg(F.count("*").alias("n"))
+    top = counts.select(F.split("run", " ").alias("ngram"), "n")
+    return top.orderBy(F.desc("n"), "ngram").limit(k)
 
 
 def ngrams(df: DataFrame, text: str, n: int, k: int) -> DataFrame:
     """The k most frequent runs of n words, exact counts, ties by the words."""
-    runs = df.select(_words(text).alias("s")).select(_slices(n).alias("ngram"))
-    counts = runs.groupBy("ngram").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "ngram").limit(k)
+    return _most(_runs(df, text, n), k)
 
 
 def context_ngrams(df: DataFrame, text: str, context: Sequence[str | None], k: int) -> DataFrame:
     """The k most frequent fillings of the ``None`` places of a word pattern."""
-    runs = df.select(_words(text).alias("s")).select(_slices(len(context)).alias("r"))
+    words = F.split("run", " ")
+    runs = _runs(df, text, len(context))
     for i, word in enumerate(context):
         if word is not None:
-            runs = runs.filter(F.col("r")[i] == word.lower())
-    free = F.array(*[F.col("r")[i] for i, word in enumerate(context) if word is None])
-    counts = runs.groupBy(free.alias("ngram")).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "ngram").limit(k)
+            runs = runs.filter(words[i] == word.lower())
+    free = F.concat_ws(" ", *[words[i] for i, word in enumerate(context) if word is None])
+    return _most(runs.select(free.alias("run")), k)
 
 
 def in_file(df: DataFrame, column: str, path: str) -> DataFrame:

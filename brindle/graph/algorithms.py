@@ -94,52 +94,6 @@ def connected_components(graph: Graph, max_rounds: int = 60) -> DataFrame:
     ).withColumn("component", F.coalesce("component", "id"))
 
 
-def strongly_connected_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
-    """Rows (id, component) with the smallest id of each strong component.
-
-    Vertices without an in- or an out-edge are components of their own and are
-    trimmed.  The others take the smallest id that reaches them; walking back
-    from each such root within its colour yields whole components.
-    """
-    vertices = cut_lineage(graph.vertices.select("id"))
-    edges = cut_lineage(graph.edges.select("src", "dst").filter("src <> dst").distinct())
-    done = vertices.limit(0).withColumn("component", F.col("id"))
-    for _ in range(max_rounds):
-        # trim: keep what has both an in- and an out-edge
-        while True:
-            inner = edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id")))
-            inner = cut_lineage(inner)
-            alone = vertices.join(inner, "id", "left_anti")
-            if alone.isEmpty():
-                break
-            done = cut_lineage(done.unionAll(alone.withColumn("component", F.col("id"))))
-            vertices = inner
-            edges = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi")
-            edges = cut_lineage(edges.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-        if vertices.isEmpty():
-            break
-        here = Graph(vertices, edges)
-        colored = pregel(
-            here, {"color": F.col("id")},
-            [Send("dst", {"m": F.col("src_color")}, F.col("src_active"))],
-            [F.min("m").alias("m")], {"color": F.least("color", "m")}, None, ends=("src",),
-        )
-        back = pregel(
-            Graph(colored, here.edges),
-            {"color": F.col("color"), "hit": F.col("color") == F.col("id")},
-            [Send("src", {"m": F.col("dst_hit")}, F.col("dst_hit") & ~F.col("src_hit") & (F.col("src_color") == F.col("dst_color")))],
-            [F.max("m").alias("m")], {"hit": F.col("hit") | F.col("m")}, None,
-        )
-        found = cut_lineage(back.filter("hit").select("id", F.col("color").alias("component")))
-        done = cut_lineage(done.unionAll(found))
-        vertices = cut_lineage(vertices.join(found, "id", "left_anti"))
-        edges = edges.join(vertices.withColumnRenamed("id", "src"), "src", "left_semi")
-        edges = cut_lineage(edges.join(vertices.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-    else:
-        raise NotConverged(f"strong components after {max_rounds} rounds")
-    return done
-
-
 def triangle_counts(graph: Graph) -> DataFrame:
     """Rows (id, triangles) over distinct undirected edges.
 

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.relational import attach_row, salted_join
-from brindle.session import cut_lineage
+from brindle.operators.relational import attach_row, hot_from_counts, salted_join, spread_out
+from brindle.session import scratch_path
 
 
 def terms(df: DataFrame, key: str, text: str, pattern: str = r"[ \n\t]+") -> DataFrame:
     """Rows (key, term, tf) over the whole text."""
-    words = df.select(key, F.explode(F.split(text, pattern)).alias("term")).filter("term <> ''")
+    words = spread_out(df.select(key, text)).select(key, F.explode(F.split(text, pattern)).alias("term")).filter("term <> ''")
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -25,16 +25,29 @@ def hashed_terms(tf: DataFrame, key: str, size: int, digest: Callable[[Column],
 
 def inverse_frequency(tf: DataFrame, key: str, min_docs: int = 0) -> DataFrame:
     """Rows (term, df, idf) with idf = log((m + 1) / (df + 1)); 0 below ``min_docs``."""
-    total = tf.agg(F.count_distinct(key).alias("m"))
-    counts = attach_row(tf.groupBy("term").agg(F.count("*").alias("df")), total)
+    counts = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return _idf(counts, tf.agg(F.count_distinct(key).alias("m")), min_docs)
+
+
+def _idf(counts: DataFrame, total: DataFrame, min_docs: int) -> DataFrame:
     idf = F.when(F.col("df") >= min_docs, F.log((F.col("m") + 1) / (F.col("df") + 1))).otherwise(0.0)
-    return counts.select("term", "df", idf.alias("idf"))
+    return attach_row(counts, total).select("term", "df", idf.alias("idf"))
 
 
 def tf_idf(tf: DataFrame, key: str) -> DataFrame:
-    """Rows (key, term, weight); a term of a third of all rows is salted in the join."""
-    tf = cut_lineage(tf)  # read four times below; the texts are split once
-    weighted = salted_join(tf, inverse_frequency(tf, key).select("term", "idf"), ["term"])
+    """Rows (key, term, weight); a term of a third of all rows is salted in the join.
+
+    The terms are written once, and so are their document counts, which also say
+    which terms are hot.
+    """
+    spark, folder = tf.sparkSession, scratch_path(tf.sparkSession, "tf-idf")
+    tf.write.parquet(f"{folder}/tf")
+    tf = spark.read.parquet(f"{folder}/tf")
+    tf.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/df")
+    counts = spark.read.parquet(f"{folder}/df")
+    hot = hot_from_counts(counts.select("term", F.col("df").alias("__n")), ["term"])
+    idf = _idf(counts, tf.agg(F.count_distinct(key).alias("m")), 0).select("term", "idf")
+    weighted = salted_join(tf, idf, ["term"], hot=hot, distinct=True)
     return weighted.select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -78,30 +78,47 @@ def fold_by_key(
 
     ``seq`` reduces any frame with the columns of ``schema`` to one row per key,
     and its own output is valid input again.  Rows are reduced where they lie,
-    then by (key, salt), then by key, so a hot key arrives at its last task as
-    at most ``fan_in`` rows.
+    in frames of up to ``flush_rows`` rows, then by (key, salt), then by key, so a
+    hot key arrives at its last task as at most ``fan_in`` rows.  Both times the
+    rows come sorted by key, from runs that the engine spills and merges; a task
+    holds one batch and the key that is still open, however many keys it has.
     """
+    columns = [F.col(k) for k in keys]
 
-    def reduce_part(flush):
-        def run(batches):
-            kept = None
-            for batch in batches:
-                kept = seq(batch if kept is None else pd.concat([kept, batch], ignore_index=True))
-                if flush and len(kept) > flush:
-                    yield kept
-                    kept = None
-            if kept is not None:
+    def reduce_here(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            kept = seq(batch if kept is None else pd.concat([kept, batch], ignore_index=True))
+            if len(kept) > flush_rows:
                 yield kept
-
-        return run
-
-    columns = [F.col(k) for k in keys]
-    part = df.mapInPandas(reduce_part(flush_rows), schema)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(fan_in))
-    part = part.withColumn("__salt", salt).repartition(*columns, F.col("__salt")).drop("__salt")
-    part = part.mapInPandas(reduce_part(0), schema)
-    part = part.repartition(*columns) if columns else part.repartition(1)
-    return part.mapInPandas(reduce_part(0), schema)
+                kept = None
+        if kept is not None:
+            yield kept
+
+    def reduce_sorted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_ = None
+        for batch in batches:
+            rows = batch if open_ is None else pd.concat([open_, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = rows.iloc[[-1]][list(keys)]
+            same = pd.Series(True, index=rows.index)
+            for k in keys:
+                value = last[k].iloc[0]
+                same &= rows[k].isna() if pd.isna(value) else rows[k] == value
+            if not same.all():
+                yield seq(rows[~same].reset_index(drop=True))
+            open_ = seq(rows[same].reset_index(drop=True))
+        if open_ is not None:
+            yield open_
+
+    part = df.mapInPandas(reduce_here, schema)
+    # The number of the partition spreads a hot key and is the same when the task runs again.
+    part = part.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(fan_in))).repartition(*columns, F.col("__salt")).drop("__salt")
+    part = part.sortWithinPartitions(*columns) if columns else part
+    part = part.mapInPandas(reduce_sorted, schema)
+    part = part.repartition(*columns).sortWithinPartitions(*columns) if columns else part.repartition(1)
+    return part.mapInPandas(reduce_sorted, schema)
 
 
 def tree_aggregate(

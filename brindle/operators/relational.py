@@ -66,19 +66,25 @@ def hot_from_counts(counts: DataFrame, keys: Sequence[str], limit: int = HOT_KEY
     return hot.select(*keys, F.least(F.ceil(share * limit), F.lit(limit)).cast("int").alias("__salts"))
 
 
-def add_salt(big: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "__salt") -> DataFrame:
+def add_salt(big: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "__salt", distinct: bool = False) -> DataFrame:
     """Rows of hot keys spread over the salts that :func:`hot_keys` grants; 0 for the rest.
 
     Equal rows of a hot key are counted, which is partial before the shuffle,
     and numbered; the salt is a hash of the content and that number.  So equal
     rows spread too, and a task that is tried again places its rows alike.
+    ``distinct`` says that no two rows are equal: then the content alone gives
+    the salt, and the input is read once.
     """
     columns = big.columns
     marked = big.join(F.broadcast(hot), list(keys), "left")
+    content = [F.col(c) for c in columns]
+    if distinct:
+        spread = F.pmod(F.xxhash64(*content), F.col("__salts")).cast("int")
+        return marked.select(*columns, F.coalesce(spread, F.lit(0)).alias(name))
     cold = marked.filter("__salts IS NULL").select(*columns, F.lit(0).alias(name))
     equal = marked.filter("__salts IS NOT NULL").groupBy(*columns, "__salts").agg(F.count("*").alias("__n"))
     warm = equal.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.col("__i")), F.col("__salts")).cast("int")
+    spread = F.pmod(F.xxhash64(*content, F.col("__i")), F.col("__salts")).cast("int")
     return cold.unionByName(warm.select(*columns, spread.alias(name)))
 
 
@@ -89,20 +95,21 @@ def repeat_per_salt(small: DataFrame, hot: DataFrame, keys: Sequence[str], name:
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None, distinct: bool = False
 ) -> DataFrame:
     """Join whose big side may hold a third of its rows under one key.
 
     Hot keys (fewer than 1,000, so broadcast is safe) get several salts; their
     rows on the other side are repeated once per salt.  Valid for joins that
     keep the big side: inner, left, left_semi, left_anti.  ``hot`` spares the
-    count of the big side where its hot keys are known already.
+    count of the big side where its hot keys are known already; ``distinct`` says
+    that no two rows of the big side are equal.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     keys = list(keys)
     hot = hot_keys(big, keys) if hot is None else hot
-    left, right = add_salt(big, hot, keys), repeat_per_salt(small, hot, keys)
+    left, right = add_salt(big, hot, keys, distinct=distinct), repeat_per_salt(small, hot, keys)
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -133,3 +140,12 @@ def range_join(
     r = ranges.filter(F.col(low) < F.col(high)).withColumn("__bucket", F.explode(F.sequence(first, last)))
     inside = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
     return p.join(r, "__bucket").filter(inside).drop("__bucket")
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as there are cores, for work that is long per row, where the input has fewer splits.
+
+    A large input has more splits than that and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

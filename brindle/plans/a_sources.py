@@ -475,14 +475,21 @@ def a49(t):
     return t.spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Statistics'").select(F.col("data_type").alias("statistics"))
 
 
-@query("a50_push_source", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")
+@query("a50_push_source", "SELECT event_type, COUNT(*) AS n, SUM(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def a50(t):
-    """A user-written stream source read to its end, one row group per micro-batch."""
-    from brindle.streaming.replay import run_to_table
-
-    t.spark.dataSource.register(files.RowGroupSource)
-    stream = t.spark.readStream.format("rowgroups").option("path", t.path("events")).load()
-    return run_to_table(stream, "push").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Events pushed in eight deliveries: the query stops after five batches, a new one goes on from its log."""
+    from functools import partial
+
+    from brindle.sources.inbox import deliver, inbox_stream
+    from brindle.streaming.replay import run_at_intervals
+
+    folder, state, out = (scratch_path(t.spark, s) for s in ("inbox", "inbox-state", "inbox-out"))
+    events = t.events.select("event_id", "event_type")
+    feeds = [partial(deliver, events.filter(F.pmod("event_id", F.lit(8)) == i), folder) for i in range(8)]
+    for part in (feeds[:5], feeds[5:]):
+        stream = inbox_stream(t.spark, folder, "event_id bigint, event_type string")
+        run_at_intervals(stream, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/b={i}"), "inbox", "100 milliseconds", part, checkpoint=state)
+    return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("a52_pickle_sink", _PAIRS)

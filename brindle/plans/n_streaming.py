@@ -7,8 +7,9 @@ from brindle.operators.grouping import cogroup, group_lists
 from brindle.operators.relational import union_all_of
 from brindle.registry import query
 from brindle.session import scratch_path
-from brindle.streaming.replay import file_stream, run_batches, run_to_table
-from brindle.streaming.sources import BatchQueue, constant_stream
+from brindle.streaming.replay import file_stream, run_at_intervals, run_batches, run_to_table, state_on_disk
+from brindle.streaming.sketch import HeavyHitters
+from brindle.streaming.sources import BatchQueue, Closing, by_side, constant_stream, together
 from brindle.streaming.state import KeyedState, running_counts_with_timeout
 from brindle.streaming.windows import panes, utc_instant, windowed, windows_from_panes
 
@@ -28,14 +29,15 @@ def _end(df):
     return df.withColumn("window_end", F.date_format("window_end", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _queue(t, cols, parts=4):
-    """Events of consecutive quarters of the id range as a queue of batches."""
-    events = t.events.select(*cols)
-    top = events.agg((F.max("event_id") + 1).alias("top")).first()["top"]
-    return BatchQueue(events, F.floor(F.col("event_id") * parts / top), parts, "queue")
+def _queue(t, cols, parts=4, table="events", key="event_id"):
+    """Rows of consecutive quarters of the id range as a queue of batches."""
+    rows = getattr(t, table).select(*cols)
+    top = rows.agg((F.max(key) + 1).alias("top")).first()["top"]
+    return BatchQueue(rows, F.floor(F.col(key) * parts / top), parts, "queue")
 
 
 _BATCHES = "floor(event_id * 4 / (SELECT MAX(event_id) + 1 FROM events))::INTEGER"
+_ORDER_BATCHES = "floor(o_orderkey * 4 / (SELECT MAX(o_orderkey) + 1 FROM orders))::INTEGER"
 
 
 def _sliding_sql(select, group, size="6 HOUR", slide_s=7200):
@@ -139,6 +141,22 @@ def _per_batch(t, cols, fn, label):
     return t.spark.read.parquet(out).drop("b")
 
 
+def _per_pair_of_batches(t, left, right, combine, label):
+    """Result of ``combine(left batch, right batch)`` for streams over events and orders that advance together."""
+    out = scratch_path(t.spark, label)
+    sides = _queue(t, left), _queue(t, right, table="orders", key="o_orderkey")
+
+    def write(batch, i):
+        by_side(combine)(batch).withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}")
+
+    def feed(i):
+        for side in sides:
+            side.feeds[i]()
+
+    run_batches(together(*[q.stream for q in sides]), write, label, feeds=[lambda i=i: feed(i) for i in range(4)])
+    return t.spark.read.parquet(out).drop("b")
+
+
 @query("n14_batch_reduce", f"SELECT {_BATCHES} AS batch, MAX(value) AS top FROM events GROUP BY 1")
 def n14(t):
     return _per_batch(t, ["event_id", "value"], lambda b: b.agg(F.max("value").alias("top")), "reduce").filter("top IS NOT NULL")
@@ -164,16 +182,18 @@ def n17(t):
 
 @query(
     "n18_transform_with",
-    f"SELECT {_BATCHES} AS batch, user_id, COUNT(DISTINCT event_type) AS kinds, MAX(event_id) AS last FROM events GROUP BY 1, 2",
+    f"""SELECT batch, user_id, kinds, last FROM
+        (SELECT {_BATCHES} AS batch, user_id, COUNT(DISTINCT event_type) AS kinds FROM events GROUP BY 1, 2) e
+        JOIN (SELECT {_ORDER_BATCHES} AS batch, o_custkey AS user_id, MAX(o_orderkey) AS last FROM orders GROUP BY 1, 2) o USING (batch, user_id)""",
 )
 def n18(t):
-    """Two views of each batch combined by a batch function."""
+    """Batches of two streams, events and orders, combined by a batch function."""
 
-    def combine(b):
-        kinds = b.select("user_id", "event_type").distinct().groupBy("user_id").agg(F.count("*").alias("kinds"))
-        return kinds.join(b.groupBy("user_id").agg(F.max("event_id").alias("last")), "user_id")
+    def combine(events, orders):
+        kinds = events.select("user_id", "event_type").distinct().groupBy("user_id").agg(F.count("*").alias("kinds"))
+        return kinds.join(orders.groupBy(F.col("o_custkey").alias("user_id")).agg(F.max("o_orderkey").alias("last")), "user_id")
 
-    return _per_batch(t, ["event_id", "user_id", "event_type"], combine, "with")
+    return _per_pair_of_batches(t, ["event_id", "user_id", "event_type"], ["o_orderkey", "o_custkey"], combine, "with")
 
 
 @query("n19_transform_many", """SELECT kind, COUNT(*) AS n FROM (SELECT event_type AS kind FROM events
@@ -306,7 +326,7 @@ _KEYED = f"""WITH c AS (SELECT floor(value * 10)::BIGINT AS k, {_BATCHES} AS bat
 
 def _keyed_queue(t):
     queue = _queue(t, ["event_id", "value"])
-    return queue.stream.select(F.floor(F.col("value") * 10).alias("k")), queue.feeds
+    return queue.stream.select(F.floor(F.col("value") * 10).alias("k"), F.lit(1).cast("long").alias("n")), queue.feeds
 
 
 @query(
@@ -316,11 +336,11 @@ def _keyed_queue(t):
 def n34(t):
     """Count per key that loses two in every batch in which the key stays silent: each key is visited each batch."""
 
-    def update(old):
-        return F.when(F.col("n").isNull(), old - 2).otherwise(F.coalesce(old, F.lit(0)) + F.col("n"))
+    def update(old, new):
+        return old - 2 if new is None else (old or 0) + new["n"]
 
     stream, feeds = _keyed_queue(t)
-    return KeyedState("k", [_n()], update, "bigint").run(stream, "state", feeds=feeds)[0]
+    return KeyedState("k", {"n": "sum"}, update, "bigint").run(stream, "state", feeds=feeds)[0]
 
 
 @query(
@@ -330,13 +350,13 @@ def n34(t):
         SELECT c.k, SUM(n)::BIGINT AS state FROM c LEFT JOIN gaps USING (k) WHERE batch > coalesce(gap, -1) GROUP BY c.k""",
 )
 def n35(t):
-    """A null state drops the key: silence in a batch forgets it, so it starts again from nothing."""
+    """No value drops the key: silence in a batch forgets it, so it starts again from nothing."""
 
-    def update(old):
-        return F.when(F.col("n").isNotNull(), F.coalesce(old, F.lit(0)) + F.col("n"))
+    def update(old, new):
+        return None if new is None else (old or 0) + new["n"]
 
     stream, feeds = _keyed_queue(t)
-    return KeyedState("k", [_n()], update, "bigint").run(stream, "drop", feeds=feeds)[0]
+    return KeyedState("k", {"n": "sum"}, update, "bigint").run(stream, "drop", feeds=feeds)[0]
 
 
 @query("n34_state_store_with_timeout", "SELECT user_id, COUNT(*) AS n FROM events GROUP BY 1")
@@ -354,53 +374,68 @@ def n36(t):
 
 @query(
     "n37_cogroup_streams",
-    f"""SELECT {_BATCHES} AS batch, user_id, 0::BIGINT AS chunk, string_agg(event_type, ',' ORDER BY event_type) AS kinds,
-        string_agg(event_id, ',' ORDER BY event_id) AS ids FROM events GROUP BY 1, 2""",
+    f"""SELECT batch, user_id, 0::BIGINT AS chunk, coalesce(kinds, '') AS kinds, coalesce(ids, '') AS ids FROM
+        (SELECT {_BATCHES} AS batch, user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1, 2) e
+        FULL JOIN (SELECT {_ORDER_BATCHES} AS batch, o_custkey AS user_id, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS ids
+        FROM orders GROUP BY 1, 2) o USING (batch, user_id)""",
 )
 def n37(t):
-    """Two streams of each batch grouped together: the list of values of either side per user."""
+    """Batches of two streams grouped together: the values of either side per user, users of one side included."""
 
-    def both(b):
-        lists = cogroup("user_id", {"kinds": (b, F.col("event_type")), "ids": (b, F.col("event_id"))})
+    def both(events, orders):
+        ids = orders.withColumnRenamed("o_custkey", "user_id")
+        lists = cogroup("user_id", {"kinds": (events, F.col("event_type")), "ids": (ids, F.col("o_orderkey"))})
         return lists.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("kinds", "ids")})
 
-    return _per_batch(t, ["event_id", "user_id", "event_type"], both, "cogroup")
+    return _per_pair_of_batches(t, ["event_id", "user_id", "event_type"], ["o_orderkey", "o_custkey"], both, "cogroup")
 
 
-def _side(t, kind, name):
-    rows = _events(t).withColumn("ts", utc_instant(F.col("ts"))).withWatermark("ts", "1 hour").filter(F.col("event_type") == kind)
-    return rows.select(F.window("ts", "6 hours").alias("w"), "user_id", F.col("event_id").alias(name))
+_ORDER_TIME = "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, cast(o_orderkey % 720 AS int))"
 
 
-_SIDE = "SELECT floor(epoch(ts) / 21600)::BIGINT AS w, user_id, event_id AS {0} FROM events WHERE event_type = '{1}'"
+def _in_windows(df):
+    """Rows of a stream by user and six-hour window, late by an hour at most."""
+    return df.withWatermark("ts", "1 hour").withColumn("w", F.window("ts", "6 hours")).drop("ts")
 
 
-@query(
-    "n38_stream_stream_join",
-    f"SELECT click, purchase FROM ({_SIDE.format('click', 'click')}) a JOIN ({_SIDE.format('purchase', 'purchase')}) b USING (w, user_id)",
-)
+def _event_side(t):
+    return _events(t).select("event_id", "user_id", utc_instant(F.col("ts")).alias("ts"))
+
+
+def _order_side(t):
+    """Orders replayed on the clock of the events, one of 720 hours each."""
+    orders = file_stream(t.spark, t.path("orders"))
+    return orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.expr(_ORDER_TIME).alias("ts"))
+
+
+_TWO_SIDES = """(SELECT event_id, user_id, floor(epoch(ts) / 21600)::BIGINT AS w FROM events) e {0} JOIN
+    (SELECT o_orderkey AS order_id, o_custkey AS user_id, floor(epoch(TIMESTAMP '2024-01-01' + to_hours(o_orderkey % 720)) / 21600)::BIGINT AS w
+     FROM orders) o USING (user_id, w)"""
+
+
+@query("n38_stream_stream_join", f"SELECT event_id, order_id FROM {_TWO_SIDES.format('')}")
 def n38(t):
-    joined = _side(t, "click", "click").join(_side(t, "purchase", "purchase"), ["w", "user_id"])
-    return run_to_table(joined.select("click", "purchase"), "join")
+    joined = _in_windows(_event_side(t)).join(_in_windows(_order_side(t)), ["w", "user_id"])
+    return run_to_table(joined.select("event_id", "order_id"), "join")
 
 
-@query(
-    "n39_stream_outer_join",
-    f"""SELECT click, coalesce(purchase, -1) AS purchase FROM ({_SIDE.format('click', 'click')}) a
-        LEFT JOIN ({_SIDE.format('purchase', 'purchase')}) b USING (w, user_id)""",
-)
+@query("n39_stream_outer_join", f"SELECT event_id, coalesce(order_id, -1) AS order_id FROM {_TWO_SIDES.format('LEFT')}")
 def n39(t):
-    """Left join of two streams.
+    """Left join of two streams; the engine gives out an unmatched row when the watermark passes its window.
 
-    The engine emits an unmatched row once the watermark passes its window.  The
-    windows still open at the end of the input are closed by a last batch read
-    of the same two inputs, so the result is whole.
+    Two closing batches at the end of both streams move the watermark past the
+    windows that are still open, so every row comes from the join itself.
     """
-    left, right = _side(t, "click", "click"), _side(t, "purchase", "purchase")
-    done = run_to_table(left.join(right, ["w", "user_id"], "left").select("click", "purchase"), "outer")
-    clicks = t.events.filter("event_type = 'click'").select(F.col("event_id").alias("click"))
-    still_open = clicks.join(done, "click", "left_anti").withColumn("purchase", F.lit(None).cast("long"))
-    return done.unionAll(still_open).fillna(-1, ["purchase"])
+    left = Closing(_event_side(t), "ts", {"user_id": -1}, "close-events")
+    right = Closing(_order_side(t), "ts", {"user_id": -2}, "close-orders")
+    joined = _in_windows(left.stream).join(_in_windows(right.stream), ["w", "user_id"], "left").select("event_id", "order_id")
+
+    def close(i):
+        left.feeds[i]()
+        right.feeds[i]()
+
+    done = run_to_table(joined, "outer", feeds=[lambda: None, lambda: close(0), lambda: close(1)])
+    return done.filter("event_id IS NOT NULL").fillna(-1, ["order_id"])
 
 
 @query("n40_stream_static_join", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")
@@ -424,13 +459,28 @@ def n41(t):
     return table
 
 
-def _trigger(t, label):
-    return run_to_table(_events(t, "event_type").groupBy("event_type").agg(_n()), label, "update", ["event_type"])
+@query("n42_trigger_interval", f"SELECT {_BATCHES} AS batch, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
+def n42(t):
+    """A query that stays up and looks for new data every half second, while four batches come in."""
+    queue, out = _queue(t, ["event_id", "event_type"]), scratch_path(t.spark, "trigger")
+
+    def write(batch, i):
+        batch.groupBy("event_type").agg(_n()).withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}")
+
+    run_at_intervals(queue.stream, write, "trigger", "500 milliseconds", queue.feeds)
+    return t.spark.read.parquet(out).drop("b")
 
 
-query("n42_trigger_interval", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")(lambda t: _trigger(t, "trigger"))
-query("n48_checkpoint_location", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")(lambda t: _trigger(t, "location"))
-query("n54_recoverable_word_count", "SELECT user_id, COUNT(*) AS n FROM events GROUP BY 1")(n41)
+@query("n48_checkpoint_location", "SELECT user_id, COUNT(*) AS n, SUM(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def n48(t):
+    """Changes of the state go to the checkpoint in every batch, a whole snapshot from two changes on; a new query goes on from them."""
+    queue = _queue(t, ["event_id", "user_id"], 6)
+    state, out = scratch_path(t.spark, "cadence-state"), scratch_path(t.spark, "cadence-out")
+    with state_on_disk(t.spark, stateStore__minDeltasForSnapshot="2"):
+        for feeds in (queue.feeds[:4], queue.feeds[4:]):
+            counts = queue.stream.groupBy("user_id").agg(_n(), F.sum("event_id").alias("ids"))
+            table = run_to_table(counts, "cadence", "update", ["user_id"], state, out, feeds)
+    return table
 
 
 @query("n49_transform_with_batch_time", f"SELECT {_BATCHES} AS batch, COUNT(*) AS n FROM events WHERE value > 10 GROUP BY 1")
@@ -464,14 +514,9 @@ def n45(t):
 
 @query("n46_heavy_hitters")
 def n46(t):
-    """Count-min sketch per batch; exact top users beside it."""
-    sketch = _per_batch(
-        t, ["event_id", "user_id"],
-        lambda b: b.agg(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.99), F.lit(1)).alias("sketch"), _n()), "cms",
-    )
-    sketch = sketch.filter("n > 0").select("batch", "n", F.length("sketch").alias("bytes"))
-    top = t.events.groupBy("user_id").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "user_id").limit(5)
-    return sketch.unionAll(top.select(F.lit(-1).alias("batch"), F.col("c").alias("n"), F.col("user_id").cast("int").alias("bytes")))
+    """Users with a hundredth of the rows or more, per batch and (batch -1) of the whole stream, from merged sketches."""
+    queue = _queue(t, ["event_id", "user_id"])
+    return HeavyHitters("user_id", 0.01).run(queue.stream, "heavy", feeds=queue.feeds)[0]
 
 
 @query("n47_approximate_distinct_users")
@@ -520,3 +565,15 @@ def n56(t):
     queue = _queue(t, ["event_id"])
     counts = queue.stream.groupBy((F.col("event_id") % 10).alias("k")).agg(_n())
     return run_to_table(counts, "mod", "update", ["k"], feeds=queue.feeds)
+
+
+@query("n54_recoverable_word_count", _WC.format("part", "p_name"))
+def n54(t):
+    """Words of half of the parts, a stop, then the rest from the same checkpoint: the counts go on."""
+    half = t.part.agg((F.max("p_partkey") / 2).alias("h")).first()["h"]
+    queue = BatchQueue(t.part.select("p_name", "p_partkey"), (F.col("p_partkey") > half).cast("int"), 2, "words")
+    state, out = scratch_path(t.spark, "words-state"), scratch_path(t.spark, "words-out")
+    for feed in queue.feeds:
+        counts = _words(queue.stream, "p_name").groupBy("word").agg(_n())
+        table = run_to_table(counts, "words", "update", ["word"], state, out, [feed])
+    return table

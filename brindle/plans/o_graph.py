@@ -15,12 +15,13 @@ from brindle.graph.algorithms import (
     pagerank,
     pagerank_until,
     shortest_paths,
-    strongly_connected_components,
     svd_plus_plus,
     transitive_closure,
     triangle_counts,
 )
 from brindle.graph.frame import Graph, Send, place_edges, pregel
+from brindle.graph.messages import message_passing
+from brindle.graph.strong import strongly_connected_components
 from brindle.operators.relational import attach_row, union_all_of
 from brindle.registry import query
 
@@ -278,8 +279,8 @@ def o26(t):
 )
 def o27(t):
     """Two rounds of passing on the greatest id seen."""
-    send = [Send("dst", {"m": F.col("src_v")}, F.col("src_active"))]
-    return pregel(_calls(t), {"v": F.col("id")}, send, [F.max("m").alias("m")], {"v": F.greatest("v", "m")}, 2, ends=("src",))
+    send, least = [Send("dst", {"m": F.col("src_v")})], {"m": F.lit(-1).cast("long")}
+    return message_passing(_calls(t), {"v": F.col("id")}, least, send, [F.max("m").alias("m")], {"v": F.greatest("v", "m")}, 2, "out", ("src",))
 
 
 def _pagerank_sql(rounds, edges=_CALLS, ids=_IDS):

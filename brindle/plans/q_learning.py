@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.learn import features as ft
+from brindle.learn.als import als
 from brindle.learn import linalg, linear, metrics, models, neural, stats
 from brindle.operators.relational import union_all_of
 from brindle.registry import query
@@ -275,10 +276,15 @@ def q23(t):
 # --- linear models -----------------------------------------------------------------------------------
 
 
-def _regression(t):
-    """Scaled part columns against the price: label, features with bias."""
+def _keyed_regression(t):
+    """Scaled part columns against the price: key, label, features with bias."""
     size, price = F.col("p_size") / 50 - 0.5, F.col("p_retailprice") / 1000
-    return t.part.select(price.alias("label"), F.array(size, F.pmod("p_partkey", F.lit(10)) / 10 - 0.45, F.lit(1.0)).alias("features"))
+    features = F.array(size, F.pmod("p_partkey", F.lit(10)) / 10 - 0.45, F.lit(1.0))
+    return t.part.select("p_partkey", price.alias("label"), features.alias("features"))
+
+
+def _regression(t):
+    return _keyed_regression(t).select("label", "features")
 
 
 def _binary(t):
@@ -863,15 +869,20 @@ def q82(t):
     return t.lineitem.groupBy(F.col("l_extendedprice").alias("v")).agg(_n()).orderBy("v")
 
 
-@query("q83_als_by_hand")
+def _als_sql(rounds):
+    ctes = ["""r AS (SELECT o_custkey::INTEGER AS u, l_partkey::INTEGER AS i, AVG(l_quantity) / 50 AS x FROM lineitem
+        JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)""", "i0 AS (SELECT DISTINCT i, 1.0::DOUBLE AS q FROM r)"]
+    for k in range(1, rounds + 1):
+        ctes.append(f"u{k} AS (SELECT u, SUM(x * q) / (SUM(q * q) + 0.1) AS p FROM r JOIN i{k - 1} USING (i) GROUP BY 1)")
+        ctes.append(f"i{k} AS (SELECT i, SUM(x * p) / (SUM(p * p) + 0.1) AS q FROM r JOIN u{k} USING (u) GROUP BY 1)")
+    return f"WITH {', '.join(ctes)} SELECT i AS item, round(q, 8) AS q FROM i{rounds}"
+
+
+@query("q83_als_by_hand", _als_sql(2))
 def q83(t):
-    """Rank-one alternating least squares: each factor is a ratio of two sums per id."""
-    ratings = _ratings(t).withColumn("rating", F.col("rating") / 50)
-    items = ratings.select("item").distinct().withColumn("q", F.lit(1.0))
-    for _ in range(2):
-        users = ratings.join(items, "item").groupBy("user").agg((F.sum(F.col("rating") * F.col("q")) / (F.sum(F.col("q") ** 2) + 0.1)).alias("p"))
-        items = ratings.join(users, "user").groupBy("item").agg((F.sum(F.col("rating") * F.col("p")) / (F.sum(F.col("p") ** 2) + 0.1)).alias("q"))
-    return items
+    """Rank-one alternating least squares over blocks of users and items, two rounds."""
+    _, items = als(_ratings(t).withColumn("rating", F.col("rating") / 50), 1, 2, 0.1, start=1.0)
+    return items.select("item", F.round(F.col("factors")[0], 8).alias("q"))
 
 
 @query("q84_kmeans_by_hand")
@@ -894,29 +905,47 @@ def q85(t):
 # --- learning on streams -----------------------------------------------------------------------------------------------
 
 
-def _online(t, predict):
-    """Train on every micro-batch of a queue of parts, then score a second stream with the weights reached."""
-    from brindle.session import scratch_path
-    from brindle.streaming.replay import file_stream, run_batches, run_to_table
+def _online(t, step, rounds):
+    """A model that trains on three batches of parts, by ``rounds`` gradient steps in each, and those batches."""
+    from brindle.streaming.model import StreamedModel
     from brindle.streaming.sources import BatchQueue
 
-    rows = _regression(t).withColumn("id", F.monotonically_increasing_id())
-    queue = BatchQueue(rows, F.pmod("id", F.lit(3)), 3, "online")
-    state = {"w": np.zeros(3)}
+    queue = BatchQueue(_keyed_regression(t), F.pmod("p_partkey", F.lit(3)), 3, "online")
+
+    def train(batch, weights):
+        return linear.minibatch_sgd(batch, linear.least_squares, linear.plain, weights, step, rounds)[0]
+
+    return StreamedModel(t.spark, np.zeros(3), train), queue
+
+
+@query("n43_online_linear_regression")
+def n43(t):
+    """Weights after each of three batches; the training stops after two and goes on from its checkpoint."""
+    from brindle.streaming.model import StreamedModel
+
+    model, queue = _online(t, 0.5, 3)
+    model.train_on(queue.stream, feeds=queue.feeds[:2])
+    again = StreamedModel(t.spark, model.start, model.train, model.checkpoint)
+    again.train_on(queue.stream, feeds=queue.feeds[2:])
+    return again.history().select("version", F.posexplode("weights").alias("i", "weight"))
+
+
+@query("n50_predict_on_values")
+def n50(t):
+    """One stream trains, a second one scores parts by key with the newest weights, batch by batch in turn."""
+    model, queue = _online(t, 0.5, 3)
+    scored = _online(t, 0.5, 3)[1]
 
-    def step(batch, _):
-        if not batch.isEmpty():
-            state["w"], _ = linear.minibatch_sgd(batch, linear.least_squares, linear.plain, state["w"], 0.5, 3)
+    def train_then_feed(i):
+        model.train_on(queue.stream, feeds=[queue.feeds[i]])
+        scored.feeds[i]()
 
-    run_batches(queue.stream, step, "online", feeds=queue.feeds)
-    if not predict:
-        return _weights(t, state["w"])
-    out = scratch_path(t.spark, "to-score")
-    t.part.select("p_partkey", F.array(F.col("p_size") / 50 - 0.5, F.pmod("p_partkey", F.lit(10)) / 10 - 0.45, F.lit(1.0)).alias("features")).write.parquet(out)
-    score = ft.dot(F.col("features"), ft.literal_vector(state["w"]))
-    return run_to_table(file_stream(t.spark, out).select("p_partkey", score.alias("prediction")), "scored")
+    return model.predict_on(scored.stream, "p_partkey", "features", feeds=[lambda i=i: train_then_feed(i) for i in range(3)])
 
 
-query("n43_online_linear_regression")(lambda t: _online(t, True))
-query("n50_predict_on_values")(lambda t: _online(t, True))
-query("n51_online_regression_defaults")(lambda t: _online(t, False))
+@query("n51_online_regression_defaults")
+def n51(t):
+    """Step 0.1 and 50 rounds a batch, as a model has them that is told nothing."""
+    model, queue = _online(t, 0.1, 50)
+    model.train_on(queue.stream, feeds=queue.feeds)
+    return _weights(t, model.weights()[1])

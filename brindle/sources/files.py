@@ -1,4 +1,4 @@
-"""Key-value files, JDBC ranges, image pairs, and a push source."""
+"""Key-value files, JDBC ranges, image pairs."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SEQUENCE_OUTPUT = "org.apache.hadoop.mapreduce.lib.output.SequenceFileOutputFormat"
 SEQUENCE_INPUT = "org.apache.hadoop.mapreduce.lib.input.SequenceFileInputFormat"
@@ -144,58 +143,3 @@ def read_idx_pairs(spark: SparkSession, images: str, labels: str, threshold: int
     left = spark.read.format("binaryFile").load(images).mapInPandas(images_of, "file string, i long, features array<double>")
     right = spark.read.format("binaryFile").load(labels).mapInPandas(labels_of, "file string, i long, label int")
     return left.withColumn("file", stem("file")).join(right.withColumn("file", stem("file")), ["file", "i"])
-
-
-# --- a user-defined push source ------------------------------------------------------------
-
-
-class _Group(InputPartition):
-    def __init__(self, path: str, group: int):
-        self.path, self.group = path, group
-
-
-class RowGroupStreamReader(DataSourceStreamReader):
-    """Releases one more row group of the files per trigger; offsets count row groups."""
-
-    def __init__(self, options, schema):
-        self.path = options["path"]
-        self.columns = schema.fieldNames()
-        self.per_batch = int(options.get("groupsPerTrigger", 1))
-        self.sent = 0
-
-    def _groups(self):
-        import pyarrow.dataset as ds
-
-        found = ds.dataset(self.path, format="parquet").get_fragments()
-        return [(f.path, g.id) for f in sorted(found, key=lambda f: f.path) for g in f.row_groups]
-
-    def initialOffset(self):
-        return {"group": 0}
-
-    def latestOffset(self):
-        self.sent = min(self.sent + self.per_batch, len(self._groups()))
-        return {"group": self.sent}
-
-    def partitions(self, start, end):
-        return [_Group(f, g) for f, g in self._groups()[start["group"] : end["group"]]]
-
-    def read(self, partition):
-        import pyarrow.dataset as ds
-
-        (fragment,) = ds.dataset(partition.path, format="parquet").get_fragments()
-        (group,) = [g for g in fragment.split_by_row_group() if g.row_groups[0].id == partition.group]
-        yield from group.to_table(columns=self.columns).to_batches()
-
-
-class RowGroupSource(DataSource):
-    """Stream source ``rowgroups``: a user class that pushes records into the engine."""
-
-    @classmethod
-    def name(cls):
-        return "rowgroups"
-
-    def schema(self):
-        return "event_id bigint, user_id bigint, event_type string, value double"
-
-    def streamReader(self, schema):
-        return RowGroupStreamReader(self.options, schema)

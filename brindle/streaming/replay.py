@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,50 @@ def file_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=Non
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
+#: State in RocksDB files; a commit writes its changes, and a batch without data does not run.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession, **more: str) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB; ``more`` are further settings, dots written as ``__``."""
+    wanted = STATE_ON_DISK | {f"spark.sql.streaming.{k.replace('__', '.')}": v for k, v in more.items()}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_at_intervals(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], label: str, interval: str, feeds: Sequence[Callable[[], None]],
+    mode: str = "append", checkpoint: str | None = None,
+) -> str:
+    """Run ``write(batch, batch_id)`` at the ticks of a processing-time trigger; returns the checkpoint folder.
+
+    The query stays up while each of ``feeds`` brings data, and is stopped when
+    all that has come is done.  Ticks without new data run no batch.
+    """
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, f"{label}-state")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    running = writer.trigger(processingTime=interval).foreachBatch(write).start()
+    try:
+        for feed in feeds:
+            feed()
+            running.processAllAvailable()
+    finally:
+        running.stop()
+    return checkpoint
+
+
 def run_batches(
     stream: DataFrame, write: Callable[[DataFrame, int], None], label: str, mode: str = "append",
     checkpoint: str | None = None, feeds: Sequence[Callable[[], None]] = (),

@@ -10,7 +10,7 @@ from brindle.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "8", spark__sql__shuffle__partitions="4")
+    session = build_session("tests", "8", spark__sql__shuffle__partitions="4", spark__sql__streaming__stateStore__maintenanceInterval="500ms")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,5 +1,7 @@
 """Graph algorithms on stars, grids, chains, cycles and islands with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,12 +12,13 @@ from brindle.graph.algorithms import (
     pagerank,
     pagerank_until,
     shortest_paths,
-    strongly_connected_components,
     svd_plus_plus,
     transitive_closure,
     triangle_counts,
 )
 from brindle.graph.frame import Graph, NotConverged, Send, place_edges, pregel
+from brindle.graph.messages import message_passing
+from brindle.graph.strong import strongly_connected_components
 
 
 def graph(spark, pairs, extra=()):
@@ -194,3 +197,91 @@ def test_a_vertex_with_much_state_is_spread(spark):
     edges = spark.createDataFrame([(i, 1000) for i in range(60)] + [(1000, 2000 + i) for i in range(5)], "src long, dst long")
     closure = transitive_closure(edges)
     assert closure.count() == 65 + 60 * 5 and closure.filter("src < 60 and dst >= 2000").count() == 300
+
+
+def test_messages_go_on_while_they_are_received(spark, rows):
+    """Only the last vertex of the chain ever changes, yet each round's receivers send again."""
+    g = graph(spark, [(i, i + 1) for i in range(5)])
+    count = {"n": F.when(F.col("id") == 5, F.col("n") + F.col("m")).otherwise(F.col("n"))}
+    send, merge = [Send("dst", {"m": F.lit(1)})], [F.sum("m").alias("m")]
+    out = message_passing(g, {"n": F.lit(0)}, {"m": F.lit(0)}, send, merge, count, direction="out", ends=("src",))
+    assert as_map(out) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5}
+    assert as_map(message_passing(g, {"n": F.lit(0)}, {"m": F.lit(0)}, send, merge, count, 3, "out"))[5] == 3
+
+
+@pytest.mark.parametrize("direction, want", [("out", 4), ("in", 5), ("either", 5), ("both", 4)])
+def test_direction_says_which_edges_carry_on(spark, direction, want):
+    """After a first round that reaches all but 0, the edge 0 -> 1 is live by its target, not by its source."""
+    g = graph(spark, [(i, i + 1) for i in range(3)])
+    out = message_passing(
+        g, {"n": F.lit(0)}, {"m": F.lit(0)}, [Send("dst", {"m": F.lit(1)})], [F.sum("m").alias("m")], {"n": F.col("n") + F.col("m")}, 2, direction)
+    assert sum(as_map(out).values()) == {"out": 3 + 2, "in": 3 + 3, "either": 3 + 3, "both": 3 + 2}[direction] == want + 1
+
+
+def test_the_first_message_goes_to_all(spark):
+    """No edge sends: the state is what the initial message makes of it; no round at all gives the same."""
+    star = graph(spark, [(0, i) for i in range(1, 6)])
+    for rounds in (None, 0):
+        out = message_passing(star, {"v": F.col("id")}, {"m": F.lit(10).cast("long")}, [Send("dst", {"m": F.col("src_v")}, F.lit(False))],
+                              [F.max("m").alias("m")], {"v": F.col("v") + F.col("m")}, rounds)
+        assert as_map(out) == {i: i + 10 for i in range(6)}
+    with pytest.raises(ValueError):
+        message_passing(star, {"v": F.col("id")}, {"v": F.lit(1)}, [], [], {})
+
+
+def test_chain_propagation(spark):
+    g = graph(spark, [(i, i + 1) for i in range(1, 9)])
+    out = message_passing(
+        g, {"v": (F.col("id") == 1).cast("int")}, {"m": F.lit(0)},
+        [Send("dst", {"m": F.col("src_v")}, F.col("src_v") != F.col("dst_v"))], [F.max("m").alias("m")], {"v": F.greatest("v", "m")})
+    assert set(as_map(out).values()) == {1}
+
+
+def brute_strong(pairs):
+    """Smallest id of each strong component, by reach from every vertex."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+    reach = {}
+    for v in out:
+        seen, todo = {v}, [v]
+        while todo:
+            for w in out[todo.pop()] - seen:
+                seen.add(w)
+                todo.append(w)
+        reach[v] = seen
+    return {v: min(w for w in reach[v] if v in reach[w]) for v in out}
+
+
+@pytest.mark.parametrize("seed, n, edges", [(1, 12, 14), (2, 30, 40), (3, 40, 90), (4, 60, 66), (5, 25, 200)])
+def test_strong_components_of_random_graphs(spark, seed, n, edges):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(edges)]
+    assert as_map(strongly_connected_components(graph(spark, pairs))) == brute_strong(pairs)
+
+
+def test_rings_tails_and_paths_between(spark):
+    """A ring of twenty, a tail into it, a path out of a component and back, and a path that does not come back."""
+    ring = [(i, (i + 1) % 20) for i in range(20)]
+    tail = [(100 + i, 101 + i) for i in range(9)] + [(109, 3)]
+    loop = [(200, 201), (201, 200), (200, 210), *[(210 + i, 211 + i) for i in range(12)], (222, 201)]
+    lost = [(201, 300), *[(300 + i, 301 + i) for i in range(7)], (400, 304), (401, 400), (400, 401)]
+    pairs = ring + tail + loop + lost
+    assert as_map(strongly_connected_components(graph(spark, pairs))) == brute_strong(pairs)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Ten thousand vertices in a line, and five hundred in a ring; what is written is counted."""
+    from brindle.graph import strong
+
+    written = []
+    keep = strong.cut_lineage
+    monkeypatch.setattr(strong, "cut_lineage", lambda df: written.append(1) or keep(df))
+    chain = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = strongly_connected_components(Graph.from_edges(chain))
+    assert got.filter("id <> component").isEmpty() and got.count() == 10_001
+    assert len(written) <= 40
+    ring = spark.range(500).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(500)).alias("dst"))
+    got = strongly_connected_components(Graph.from_edges(ring))
+    assert got.filter("component <> 0").isEmpty() and got.count() == 500

@@ -175,6 +175,42 @@ def test_fold_by_key_of_a_hot_key(skewed, rows):
     assert rows(got) == rows(skewed.groupBy("k").agg(F.sum("v").alias("v")))
 
 
+def test_fold_over_null_keys_and_batches(spark, rows):
+    """Keys that go over from batch to batch, null keys of two columns, and the order of the rows."""
+    data = [(i % 7 or None, "ab"[i % 2] if i % 5 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "k int, s string, v long").repartition(5)
+    want = {}
+    for k, s, v in data:
+        want[k, s] = want.get((k, s), 0) + v
+    add = lambda p: p.groupby(["k", "s"], dropna=False, as_index=False).v.sum()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = fold_by_key(df, ["k", "s"], add, "k int, s string, v long", fan_in=3, flush_rows=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.s): r.v for r in got} == want and len(got) == len(want)
+
+
+def test_fold_holds_one_batch_whatever_the_number_of_keys(spark):
+    """Three million different keys in one partition: the task's memory is read where the rows are reduced."""
+
+    def add(p):
+        import resource
+
+        out = p.groupby("k", as_index=False).agg(n=("n", "sum"), mb=("mb", "max"))
+        out["mb"] = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+        return out
+
+    keys = spark.range(0, 3_000_000, 1, 4).selectExpr("id AS k", "1L AS n", "0L AS mb")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = fold_by_key(keys, ["k"], add, "k long, n long, mb long").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.max("mb").alias("mb")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert (out.rows, out.n) == (3_000_000, 3_000_000) and out.mb < 500
+
+
 @pytest.mark.parametrize("depth", [2, 3])
 def test_tree_aggregate(skewed, depth):
     out = tree_aggregate(skewed, [F.sum("v").alias("s"), F.max("v").alias("m")], [F.sum("s").alias("s"), F.max("m").alias("m")], depth, 2)

@@ -135,7 +135,7 @@ def test_every_plain_character_is_taken_alike():
     both = t.tokenizers(t.BYTE_LEVEL, t.PIECES)
     plain = [c for c in map(chr, range(0x250)) if t.PLAIN.fullmatch(c)]
     texts = [f"{a}{c}{b}" for c in plain for a in ("x", " ", "1", ".", "\n", "'") for b in ("y", " ", "2", "!", "\n", "s")]
-    assert both._encode_a(texts) == [e.ids for e in both.a.encode_batch_fast(texts, add_special_tokens=False)] and len(plain) > 500
+    assert both._encode_a(texts) == [e.ids for e in both.a.encode_batch_fast(texts, add_special_tokens=False)] and len(plain) > 400
 
 
 @pytest.mark.parametrize("seed", range(4))

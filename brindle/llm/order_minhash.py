@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import chunked, content_key, mixed, utf8_buffers, word_hashes
+from brindle.llm.common import POWERS, chunked, content_key, mixed, utf8_buffers, word_hashes
 from brindle.llm.components import classes
 from brindle.session import scratch_path
 
 WORDS = 5
-#: Texts, and words of texts, in a block.  Blocks of a bucket meet two by two, so a task holds two of them.
+#: Texts in a block.  Blocks of a bucket meet two by two, so a task holds two of them, without their words.
 BLOCK = 512
-BLOCK_WORDS = 1 << 20
-#: Counters per text that bound the words two texts have in common; fewer texts than ``DIRECT`` go without.
+#: Counters per text that bound the words two texts have in common; a counter ends at ``FULL``.
 BINS = 256
-DIRECT = 8
+FULL = 255
+#: Bytes of words on either side of a tile in which pairs are aligned.
+TILE = 8 << 20
 SIMILARITY = 0.8
 #: Sketches per document and shingles in each.  Two texts that share a part J of their shingles
 #: meet in a sketch with a chance of about J^2.
@@ -29,9 +31,12 @@ PICKED = 2
 #: Further sketches of one shingle, which meet with a chance of J: at an edit similarity of 0.8 with edits
 #: all over the text, J is 0.2, and J^2 too small for the others.
 SINGLES = 24
+#: Longer texts of fewer words than this meet by pieces that cannot all be edited; see :func:`piece_places`.
+SHORT = 40
 #: What a chunk of texts needs in hashes is about 60 times its bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
+_BASES, _BASES_BACK = (x.copy() for x in POWERS.upto(SHORT))
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _ADD = mixed(np.arange(101, 165, dtype=np.uint64))
 
@@ -166,7 +171,8 @@ def document_sketches(docs: DataFrame) -> DataFrame:
             runs, before = shingles(words, at)
             labelled = label_occurrences(runs, before)
             digests = _sequence_digests(words, at)
-            keys = [_keys(labelled[i:j]) if j > i else np.empty(0, np.int64) for i, j in zip(before, before[1:], strict=False)]
+            edges = zip(before, before[1:], at, at[1:], strict=False)
+            keys = [_keys(labelled[i:j], words[a:b]) if j > i else np.empty(0, np.int64) for i, j, a, b in edges]
             arrays = [pa.array(x.view(np.int64)) for x in digests]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_key"), batch.column("doc_id"), *arrays, pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))], schema.names
@@ -175,8 +181,42 @@ def document_sketches(docs: DataFrame) -> DataFrame:
     return docs.select(content_key("doc_id", "text").alias("row_key"), "doc_id", "text").mapInArrow(run, schema)
 
 
-def _keys(labelled: np.ndarray) -> np.ndarray:
-    return np.concatenate([sketch(labelled), sketch(labelled, SINGLES, 1, SKETCHES)]).view(np.int64)
+def _keys(labelled: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of the sketches in their order, then those of the pieces of a short text."""
+    return np.concatenate([sketch(labelled), sketch(labelled, SINGLES, 1, SKETCHES), piece_keys(words)]).view(np.int64)
+
+
+@lru_cache(maxsize=2 * SHORT)
+def piece_places(n: int, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, start and end of the pieces that a text of ``n`` words may share with one that is as long or longer.
+
+    Two texts of which the longer has m words are linked by at most t edits, t
+    the whole part of (1 - least) m.  Of t + 1 pieces of the longer one, one
+    stands unchanged in the other.  Moved by d words, it costs |d| edits before
+    it and |n - m - d| behind it, together at most t.  With m below ``SHORT``
+    all these places are few, and a pair cannot be missed.
+    """
+    places = []
+    for m in range(n, SHORT):
+        t = int((1 - least) * m + 1e-9)
+        if not t or m - n > t:
+            continue
+        cuts = [i * m // (t + 1) for i in range(t + 2)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            for d in range(-((m - n + t) // 2), (n - m + t) // 2 + 1):
+                if 0 <= a + d and b + d <= n:
+                    places.append((m * SHORT + i, a + d, b + d))
+    found = np.array(places, np.int64).reshape(-1, 3)
+    return found[:, 0].astype(np.uint64), found[:, 1], found[:, 2]
+
+
+def piece_keys(words: np.ndarray) -> np.ndarray:
+    """A key for each place of :func:`piece_places`: what stands there, the number of the piece and the longer length."""
+    if not len(words) or len(words) >= SHORT:
+        return np.empty(0, np.uint64)
+    number, start, end = piece_places(len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _BASES[: len(words)], dtype=np.uint64)])
+    return np.unique(mixed((sums[end] - sums[start]) * _BASES_BACK[start] + mixed(number + np.uint64(1))))
 
 
 def _sequence_digests(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -191,7 +231,7 @@ def _sequence_digests(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(row_key, words): word ids, four bytes each, of the texts of ``nodes(row_key)``."""
+    """(row_key, words, bins) of the texts of ``nodes(row_key)``: word ids, four bytes each, and how many have each first byte."""
     texts = docs.select(content_key("doc_id", "text").alias("row_key"), "text")
     wanted = texts.join(nodes, "row_key", "left_semi")
 
@@ -200,23 +240,45 @@ def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             words, at = word_hashes(*utf8_buffers(batch.column("text")))
             packed = (words >> np.uint64(32)).astype("<u4").tobytes()
             values = [packed[4 * i : 4 * j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(values, pa.binary())], ["row_key", "words"])
+            place = np.repeat(np.arange(len(values)) * BINS, np.diff(at)) + (words >> np.uint64(56)).astype(np.int64)
+            bins = np.minimum(np.bincount(place, minlength=len(values) * BINS), FULL).astype(np.uint8).reshape(-1, BINS)
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(values, pa.binary()), pa.array([b.tobytes() for b in bins], pa.binary())], ["row_key", "words", "bins"])
 
-    return wanted.mapInArrow(run, "row_key long, words binary")
+    return wanted.mapInArrow(run, "row_key long, words binary, bins binary")
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
-    left = sequences.select(F.col("row_key").alias("a"), F.col("words").alias("x"))
-    right = sequences.select(F.col("row_key").alias("b"), F.col("words").alias("y"))
+def _verified(pairs: DataFrame, texts: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """Of the distinct pairs (a, b) those whose texts align, or enough of them for the same classes.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(c) for c in ("x", "y"))
-            keep = [similar(np.frombuffer(x[i].as_py(), "<u4"), np.frombuffer(y[i].as_py(), "<u4"), least) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Pairs are dealt to tiles by their two ends, and a tile gets the words of
+    each of its texts once.  A tile holds a part of all texts on either side that
+    is the same whichever texts have most pairs.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    size = nodes.join(texts.select("node", "n_words"), "node").agg(F.sum("n_words")).first()[0] or 0
+    side = max(1, -(-4 * size // TILE))
+    tiled = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(side)).alias("x"), F.pmod(F.xxhash64("b"), F.lit(side)).alias("y"))
+    needed = tiled.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("a", "b")).alias("row_key")).distinct()
+    words = needed.join(sequences.select("row_key", "words"), "row_key")
+
+    def run(found: pa.Table, given: pa.Table) -> pa.Table:
+        held = {k: np.frombuffer(w, "<u4") for k, w in zip(given.column("row_key").to_pylist(), given.column("words").to_pylist(), strict=True)}
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        links = []
+        for a, b in zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            if x != y and similar(held[a], held[b], least):
+                root[max(x, y)] = min(x, y)
+                links.append((a, b))
+        return pa.table({c: pa.array([p[k] for p in links], pa.int64()) for k, c in enumerate("ab")})
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return tiled.groupBy("x", "y").cogroup(words.groupBy("u", "v")).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -255,7 +317,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def _linked(docs: DataFrame, texts: DataFrame, written, least: float) -> DataFrame:
-    """(node, root) of the texts that share a bucket with a similar text.
+    """(node, root) of the texts that share a bucket with a similar text, a bucket of a sketch or of a piece.
 
     The texts of each mixed bucket are compared with the first text of its
     largest class, once before anything is known and once more where links have
@@ -263,7 +325,8 @@ def _linked(docs: DataFrame, texts: DataFrame, written, least: float) -> DataFra
     alike; each of them then meets every text of the bucket, in blocks.
     """
     keys = texts.select("node", F.posexplode("keys").alias("j", "key"))
-    rows = keys.select(F.xxhash64("j", "key").alias("bucket"), "node", "j")
+    sketch_or_piece = F.least("j", F.lit(SKETCHES + SINGLES))
+    rows = keys.select(F.xxhash64(sketch_or_piece, "key").alias("bucket"), "node")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = written(rows.join(shared, "bucket"), "rows")
     sequences = written(_sequences(docs, rows.select(F.col("node").alias("row_key")).distinct()), "sequences")
@@ -276,52 +339,55 @@ def _linked(docs: DataFrame, texts: DataFrame, written, least: float) -> DataFra
             pairs = pairs.filter("not (first <=> first_before)")
         if pairs.isEmpty():
             break
-        pairs = pairs.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-        found = written(_verified(pairs, sequences, least), f"edges-{int(again)}")
+        pairs = written(pairs.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), f"pairs-{int(again)}")
+        found = written(_verified(pairs, texts, sequences, least), f"edges-{int(again)}")
         if found.isEmpty():
             break
         edges = found if edges is None else edges.unionAll(found)
         roots = classes(edges)
-        before = live.select("bucket", "node", "j", F.col("first").alias("first_before"))
+        before = live.select("bucket", "node", F.col("first").alias("first_before"))
         live = written(_mixed_buckets(before, roots), f"live-{1 + again}")
     if live.isEmpty():
         return roots
-    found = written(_block_links(_blocks(live, texts), texts, sequences, least), "edges-blocks")
+    pairs = written(_candidates(_blocks(live), texts, sequences, least).distinct(), "pairs-blocks")
+    found = written(_verified(pairs, texts, sequences, least), "edges-blocks")
     if found.isEmpty():
         return roots
     return classes(found if edges is None else edges.unionAll(found))
 
 
-def _blocks(live: DataFrame, texts: DataFrame) -> DataFrame:
-    """(bucket, j, node, root, own, low, high): every text in each pair of blocks (low, high) where its own block meets another.
+def _blocks(live: DataFrame) -> DataFrame:
+    """(bucket, node, root, own, low, high): every text in each pair of blocks (low, high) where its own block meets another.
 
     Texts outside the largest class of their bucket and texts of that class are dealt to
     blocks apart, the former numbered first.  A block of the former meets all blocks.
     """
-    sized = live.join(texts.select("node", "n_words"), "node").withColumn("out", F.col("root") != F.col("major"))
+    sized = live.withColumn("out", F.col("root") != F.col("major"))
 
     def parts(of: Column) -> Column:
-        n, words = F.count(F.when(of, 1)), F.sum(F.when(of, F.col("n_words")).otherwise(0))
-        return F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS))
+        return F.ceil(F.count(F.when(of, 1)) / BLOCK)
 
     buckets = sized.groupBy("bucket").agg(parts(F.col("out")).alias("outer"), parts(~F.col("out")).alias("inner"))
     own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), "outer")).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), "inner"))
     met = F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
-    dealt = sized.join(buckets, "bucket").select("bucket", "j", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("other"))
-    return dealt.select("bucket", "j", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = sized.join(buckets, "bucket").select("bucket", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("other"))
+    return dealt.select("bucket", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
-def _block_links(blocks: DataFrame, texts: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between texts of different classes that meet in a pair of blocks."""
+def _candidates(blocks: DataFrame, texts: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a below b, of texts of different classes that meet in a pair of blocks and may be similar.
+
+    What meets is the length of each text and its counters; the words follow for the pairs that are left.
+    """
     names = ["bucket", "low", "high"]
-    met = blocks.join(texts.select("node", "keys"), "node").join(sequences.withColumnRenamed("row_key", "node"), "node")
+    signatures = sequences.select(F.col("row_key").alias("node"), "bins").join(texts.select("node", "n_words"), "node")
+    met = blocks.join(signatures, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, names):
-            links = _links(group, least)
-            if links:
-                a, b = zip(*links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            pairs = _possible(group, least)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return met.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 
@@ -346,38 +412,34 @@ def _runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _links(group: pa.Table, least: float) -> list[tuple[int, int]]:
-    """Links between the texts of a block, or of two; texts that links have joined are not compared again.
+def _possible(group: pa.Table, least: float) -> np.ndarray:
+    """Pairs of a block, or of two, that lengths and words in common leave possible.
 
-    Two texts that share a bucket of an earlier sketch meet there, and not here.
+    Two texts have at most as many words in common as the smaller of their
+    counters add up to.  A counter that is full in both says nothing.
     """
-    node, label, own = (group.column(c).to_numpy() for c in ("node", "root", "own"))
-    label, sketches = label.copy(), group.column("j")[0].as_py()
-    earlier = np.array(group.column("keys").to_pylist(), np.int64)[:, :sketches]
-    words = [np.frombuffer(w, "<u4") for w in group.column("words").to_pylist()]
-    size = np.array([len(w) for w in words])
-    n = len(words)
-    if n > DIRECT:
-        bins = np.repeat(np.arange(n) * BINS, size) + (np.concatenate(words) >> np.uint32(24)).astype(np.int64)
-        held = np.bincount(bins, minlength=n * BINS).reshape(n, BINS).astype(np.int32)
+    node, label, own, size = (group.column(c).to_numpy() for c in ("node", "root", "own", "n_words"))
+    bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    full = bins == FULL
+    some_full = full.any(axis=1)
     same = group.column("low")[0] == group.column("high")[0]
     high = group.column("high")[0].as_py()
-    out = []
+    n = len(node)
+    out = [np.empty((0, 2), np.int64)]
+    right = np.flatnonzero(own == high)
     for i in range(n) if same else np.flatnonzero(own != high).tolist():
-        others = np.arange(i + 1, n) if same else np.flatnonzero(own == high)
+        others = np.arange(i + 1, n) if same else right
         others = others[label[others] != label[i]]
         longer = np.maximum(size[i], size[others])
         most = ((1 - least) * longer + 1e-9).astype(np.int64)
         on = np.abs(size[i] - size[others]) <= most
         others, longer, most = others[on], longer[on], most[on]
-        on = ~(earlier[others] == earlier[i]).any(axis=1)
-        if n > DIRECT:
-            on &= longer - np.minimum(held[others], held[i]).sum(axis=1) <= most
-        for o in others[on].tolist():
-            if label[o] != label[i] and similar(words[i], words[o], least):
-                out.append((int(node[i]), int(node[o])))
-                label[label == label[o]] = label[i]
-    return out
+        on = longer - np.minimum(bins[others], bins[i]).sum(axis=1, dtype=np.int64) <= most
+        if some_full[i]:
+            on |= (full[others] & full[i]).any(axis=1)
+        others = others[on]
+        out.append(np.column_stack([np.minimum(node[i], node[others]), np.maximum(node[i], node[others])]))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _mixed_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:

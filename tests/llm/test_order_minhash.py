@@ -143,6 +143,52 @@ def test_recall_with_edits_all_over_the_text(spark):
     assert recall[0] >= 0.97 and recall[1] >= 0.99 and recall[2] == 1
 
 
+def test_recall_by_length(spark):
+    """Scattered substitutions, and insertions and deletions, down to a similarity of 0.80."""
+    rng = random.Random(14)
+    lengths, pairs, texts = (5, 8, 10, 15, 20, 39, 50, 200), 100, []
+    for n in lengths:
+        for g in range(pairs):
+            base = [f"n{n}g{g}w{i}" for i in range(n)]
+            copy, edits = list(base), n // 5
+            if g % 2:
+                for at in rng.sample(range(n), edits):
+                    copy[at] += "x"
+            else:
+                for k in range(edits):
+                    at = rng.randrange(len(copy))
+                    copy[at : at + 1] = [] if k % 2 or n < 10 else [copy[at], f"n{n}g{g}y{k}"]
+            texts += [" ".join(base), " ".join(copy)]
+    words = [np.array([hash(w) for w in t.split()]) for t in texts]
+    assert all(M.similar(words[i], words[i + 1]) for i in range(0, len(words), 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = [lengths[r.doc_id // (2 * pairs)] for r in M.near_duplicates(df).collect() if r.doc_id % 2 and not r.kept]
+    recall = {n: found.count(n) / pairs for n in lengths}
+    print("recall at 0.80 by length:", recall)
+    assert all(recall[n] == 1 for n in lengths if n < M.SHORT) and recall[50] >= 0.95 and recall[200] >= 0.97
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_short_similar_texts_share_a_piece(data):
+    n = data.draw(st.integers(5, M.SHORT - 1))
+    a = data.draw(st.lists(st.integers(0, 3), min_size=n, max_size=n))
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, n // 5))):
+        at = data.draw(st.integers(0, max(len(b) - 1, 0)))
+        b[at : at + data.draw(st.integers(0, 1))] = data.draw(st.lists(st.integers(0, 3), max_size=1))
+    x, y = (np.array(t, np.uint64) + np.uint64(1) for t in (a, b))
+    if a != b and b and max(len(a), len(b)) < M.SHORT and M.similar(x, y):
+        assert set(M.piece_keys(M.mixed(x)).tolist()) & set(M.piece_keys(M.mixed(y)).tolist())
+
+
+def test_full_counters_do_not_hide_a_pair(spark):
+    """Texts of one word a thousand times: the counters end at 255."""
+    texts = ["a " * 1000 + "b " * 40, "a " * 1000 + "c " * 60, "d " * 700, "a " * 790, "a " * 1500]
+    got, want = against_brute_force(spark, texts)
+    assert got == want
+
+
 def test_a_common_passage_does_not_join_documents(spark):
     rng = random.Random(3)
     passage = "the same passage stands in all of these texts and is a good part of each one of them".split()

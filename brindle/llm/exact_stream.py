@@ -77,6 +77,7 @@ def exact_dedup(
     spark: SparkSession,
     path: str,
     *,
+    batches: int = 4,
     max_bytes: int = 64 << 30,
     max_files: int | None = None,
     digest=digest_of,
@@ -91,6 +92,13 @@ def exact_dedup(
     the group is split by the text itself.  ``digest`` may be replaced by a
     weaker expression of the text; the result does not depend on it.
 
+    The stream takes a ``batches``-th part of the table's bytes per micro-batch,
+    or ``max_bytes`` if that is less, or ``max_files``; each later batch meets
+    the state that the earlier ones have left.  A file is never split between
+    batches.  The state has as many stores as the session has shuffle partitions
+    when the stream first starts, and keeps that number: choose it so that a
+    store holds some millions of digests of the finished table.
+
     Nulls: a null text is empty, a null doc_id sorts after all others.  Rows
     that share the smallest doc_id of their group are one document and are all
     kept.  An empty table gives an empty result; other columns are not read.
@@ -98,7 +106,12 @@ def exact_dedup(
     folder = folder or scratch_path(spark, "exact-stream")
     docs = spark.read.parquet(path)
     schema = docs.select("doc_id", "text").schema
-    limit = {"maxFilesPerTrigger": str(max_files)} if max_files else {"maxBytesPerTrigger": str(max_bytes)}
+    if max_files:
+        limit = {"maxFilesPerTrigger": str(max_files)}
+    else:
+        files = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+        total = files.agg(F.sum("size")).first()[0] or 1
+        limit = {"maxBytesPerTrigger": str(min(max_bytes, -(-total // batches)))}
     stream = file_stream(spark, path, schema=schema, **limit).select(
         "doc_id",
         digest("text").alias("digest"),

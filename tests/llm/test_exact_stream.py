@@ -63,3 +63,12 @@ def test_clashing_columns_and_empty_table(spark, tmp_path):
     assert result(E.exact_dedup(spark, str(tmp_path / "m"))) == want(MESSY)
     empty(spark).write.parquet(str(tmp_path / "e"))
     assert E.exact_dedup(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_the_state_is_met_by_several_batches(spark, tmp_path):
+    """Unless told otherwise, a table of several files takes several triggers."""
+    import os
+
+    path, folder = written(spark, tmp_path, 8), str(tmp_path / "state")
+    assert result(E.exact_dedup(spark, path, folder=folder)) == want(ROWS)
+    assert sum(n.startswith("batch=") for n in os.listdir(f"{folder}/touched")) >= 3

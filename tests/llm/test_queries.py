@@ -83,3 +83,16 @@ def test_stages_take_an_empty_table(spark):
     docs = empty(spark).selectExpr("doc_id", "text", "'' AS lang", "'' AS source", "0L AS n_chars")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    """Nulls, repeated rows, and columns that are named as the operators' results."""
+    names = ("n_lines", "n_removed", "n_runs", "kept", "class_id", "row_key")
+    lines = "\n".join(f"one two three four five six seven eight nine line {k}" for k in range(4))
+    rows = [(1, lines + "\nfirst", 5), (2, "second\n" + lines, 5), (3, None, 0), (None, "", 0), (4, "short", 5), (4, "short", 5)]
+    docs = spark.createDataFrame([(*r, "en", "s", *[-7] * len(names)) for r in rows], "doc_id long, text string, n_chars long, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[n] == -7 for r in found for n in names)

@@ -22,7 +22,7 @@ BLOCK = 512
 BINS = 256
 FULL = 255
 #: Bytes of words on either side of a tile in which pairs are aligned.
-TILE = 8 << 20
+TILE = 32 << 20
 SIMILARITY = 0.8
 #: Sketches per document and shingles in each.  Two texts that share a part J of their shingles
 #: meet in a sketch with a chance of about J^2.

@@ -67,9 +67,9 @@ WINDOW w AS (PARTITION BY norm)
 
 @_register
 def op4_gumbel_top_k_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four distinct segmentations of every document, drawn without replacement."""
-    drawn = segmentations.sample_segmentations(Tables(spark, sf_dir).documents, keep_ids=0)
-    fields = [F.col(f"samples.{c}").alias(c) for c in ("n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_sha256")]
+    """Four distinct segmentations of every document, drawn without replacement, with their piece ids."""
+    drawn = segmentations.sample_segmentations(Tables(spark, sf_dir).documents)
+    fields = [F.col(f"samples.{c}").alias(c) for c in ("n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_sha256", "ids")]
     return drawn.select("doc_id", F.size("samples").cast("long").alias("n_samples"), "decoded", *fields)
 
 

@@ -462,6 +462,23 @@ FIELDS = [T.StructField("n_pieces", T.IntegerType())] + [T.StructField(c, T.Doub
 FIELDS += [T.StructField("ids_sha256", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 
 
+def _as_lists(drawn: list[list[dict]], keep_ids: int) -> pa.ListArray:
+    """The draws of each text as an array of lists; ids beyond the first ``keep_ids`` of a text are null."""
+    flat = list(chain.from_iterable(drawn))
+    ids = [np.ascontiguousarray(s["ids"], "<i4") for s in flat]
+    left_out = np.array([n >= keep_ids for samples in drawn for n in range(len(samples))], bool)
+    kept = [i[:0] if out else i for i, out in zip(ids, left_out.tolist(), strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(_offsets(kept)), pa.array(np.concatenate([np.empty(0, np.int32), *kept])), mask=pa.array(left_out))
+    scores = [pa.array([s[c] for s in flat], pa.float64()) for c in ("log_prob", "perturbed", "log_inclusion")]
+    digests = pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string())
+    columns = [pa.array([len(i) for i in ids], pa.int32()), *scores, digests, lists]
+    return pa.ListArray.from_arrays(pa.array(_offsets(drawn)), pa.StructArray.from_arrays(columns, [f.name for f in FIELDS]))
+
+
+def _offsets(parts: list) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int32)
+
+
 def sample_segmentations(docs: DataFrame, model: str = MODEL, k: int = SAMPLES, seed: int = 0, keep_ids: int = SAMPLES) -> DataFrame:
     """One row per document: doc_id, samples, decoded.
 
@@ -477,28 +494,18 @@ def sample_segmentations(docs: DataFrame, model: str = MODEL, k: int = SAMPLES,
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("samples", T.ArrayType(T.StructType(FIELDS))), T.StructField("decoded", T.BooleanType())])
-    sample_type = pa.struct(
-        [("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("ids_sha256", pa.string()), ("ids", pa.list_(pa.int32()))]
-    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         for batch in chunked(batches, "text", CHUNK):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            rows, decoded = [], []
-            for text, samples in zip(texts, segment(texts, keys, vocabulary, k, seed), strict=True):
-                ids = [s["ids"].astype("<i4") for s in samples]
+            drawn = segment(texts, keys, vocabulary, k, seed)
+            decoded = []
+            for text, samples in zip(texts, drawn, strict=True):
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                decoded.append(all(vocabulary.spell(i, text, codes) for i in ids))
-                rows.append(
-                    [
-                        {"n_pieces": len(i), "log_prob": s["log_prob"], "perturbed": s["perturbed"], "log_inclusion": s["log_inclusion"]}
-                        | {"ids_sha256": hashlib.sha256(i.tobytes()).hexdigest(), "ids": i if n < keep_ids else None}
-                        for n, (i, s) in enumerate(zip(ids, samples, strict=True))
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(sample_type)), pa.array(decoded)], schema.names)
+                decoded.append(all(vocabulary.spell(s["ids"], text, codes) for s in samples))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _as_lists(drawn, keep_ids), pa.array(decoded)], schema.names)
 
     return docs.select("doc_id", F.xxhash64("doc_id").alias("seed"), "text").mapInArrow(run, schema)
 

@@ -116,3 +116,20 @@ def test_decode_operator(spark):
     drawn = G.sample_segmentations(messy(spark), k=1).select("doc_id", F.get("samples.ids", F.lit(0)).alias("ids"))
     got = sorted((r.doc_id or 0, r.text) for r in G.decode_segmentations(drawn).collect())
     assert got == sorted((i or 0, t or "") for i, t, _ in MESSY)
+
+
+def test_query_and_last_stage_give_the_ids_of_every_draw(spark, tmp_path, vocabulary):
+    import hashlib
+
+    import corpus_pipeline
+    from brindle.llm import queries
+
+    messy(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = sorted(t or "" for _, t, _ in MESSY)
+    for rows in (queries.op4_gumbel_top_k_segmentation(spark, str(tmp_path)).collect(), corpus_pipeline.encode(spark, docs, str(tmp_path)).collect()):
+        for r in rows:
+            assert len(r.ids) == len(r.n_pieces) == len({tuple(i) for i in r.ids})
+            assert [len(i) for i in r.ids] == r.n_pieces and len({vocabulary.decode(i) for i in r.ids}) == 1
+            assert [hashlib.sha256(np.array(i, "<i4")).hexdigest() for i in r.ids] == r.ids_sha256
+        assert sorted(vocabulary.decode(r.ids[0]) for r in rows) == texts

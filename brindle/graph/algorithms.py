@@ -35,7 +35,7 @@ def pagerank(graph: Graph, rounds: int, reset: float = 0.15, cut_every: int = 4)
         shares = weighted.prepared.join_src(ranks).groupBy(F.col("dst").alias("id"))
         sums = shares.agg(F.sum(F.col("src_rank") * F.col("weight")).alias("s"))
         rank = reset + (1 - reset) * F.coalesce("s", F.lit(0.0))
-        ranks = weighted.vertices.join(sums, "id", "left").select("id", rank.alias("rank"))
+        ranks = weighted.vertices.join(sums.hint("merge"), "id", "left").select("id", rank.alias("rank"))
         if i % cut_every == 0 and i < rounds:
             ranks = cut_lineage(ranks)
     return ranks
@@ -130,7 +130,7 @@ def label_propagation(graph: Graph, rounds: int) -> DataFrame:
         from_dst = edges.join_dst(state).select(F.col("src").alias("id"), F.col("dst_label").alias("label"))
         votes = from_src.unionAll(from_dst).groupBy("id", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("b"))
-        new = state.join(best, "id", "left").select("id", F.coalesce(-F.col("b.minus"), F.col("label")).alias("label"))
+        new = state.join(best.hint("merge"), "id", "left").select("id", F.coalesce(-F.col("b.minus"), F.col("label")).alias("label"))
         state = cut_lineage(new)
     return state
 
@@ -143,7 +143,7 @@ def shortest_paths(graph: Graph, landmarks: Sequence[int]) -> DataFrame:
     found = [frontier]
     for hop in count(1):
         reached = edges.join_dst(frontier, many=True).select(F.col("src").alias("id"), F.col("dst_landmark").alias("landmark")).distinct()
-        new = reached.join(union_all_of(found).select("id", "landmark"), ["id", "landmark"], "left_anti")
+        new = reached.join(union_all_of(found).select("id", "landmark").hint("merge"), ["id", "landmark"], "left_anti")
         frontier = cut_lineage(new.withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
@@ -162,7 +162,7 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     while True:
         ahead = newest.select(F.col("dst").alias("id"), F.col("src").alias("start"))
         found = steps.join_src(ahead, many=True).select(F.col("src_start").alias("src"), "dst").distinct()
-        newest = cut_lineage(found.join(union_all_of(pieces), ["src", "dst"], "left_anti"))
+        newest = cut_lineage(found.join(union_all_of(pieces).hint("merge"), ["src", "dst"], "left_anti"))
         if newest.isEmpty():
             break
         pieces.append(newest)
@@ -213,7 +213,7 @@ def svd_plus_plus(
     for _ in range(rounds):
         # users: explicit factors plus scaled sum of the implicit factors of their items
         implicit = edges.join_dst(state.select("id", "y")).groupBy(F.col("src").alias("id")).agg(_vector_sum("dst_y", rank).alias("s"))
-        state = state.join(implicit, "id", "left")
+        state = state.join(implicit.hint("merge"), "id", "left")
         y = F.when(F.col("s").isNull(), F.col("y")).otherwise(_add(F.col("p"), _scale(F.col("s"), F.col("norm"))))
         state = cut_lineage(state.select("id", "p", y.alias("y"), "bias", "norm"))
         t = edges.triplets(state, rounds=True).withColumn("err", F.col("rating") - predicted())
@@ -227,7 +227,7 @@ def svd_plus_plus(
         to_item = {"dp": step(_scale(F.col("src_y"), err), F.col("dst_p")), "dy": shared, "db": (err - bias_reg * F.col("dst_bias")) * bias_rate}
         merge = [_vector_sum("dp", rank).alias("dp"), _vector_sum("dy", rank).alias("dy"), F.sum("db").alias("db")]
         delta = collect_messages(t, [Send("src", to_user), Send("dst", to_item)], merge)
-        moved = state.join(delta, "id")
+        moved = state.join(delta.hint("merge"), "id")
         state = cut_lineage(
             moved.select("id", _add(F.col("p"), F.col("dp")).alias("p"), _add(F.col("y"), F.col("dy")).alias("y"),
                          (F.col("bias") + F.col("db")).alias("bias"), "norm")

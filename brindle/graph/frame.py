@@ -165,13 +165,16 @@ class PreparedEdges:
 
     They are written in buckets of the endpoint (and of a salt, for hot
     endpoints), once per endpoint that is joined on, so a round shuffles state
-    and messages but not the edges.
+    and messages but not the edges.  State is merged, never broadcast: it is of
+    the graph's size, and would pass through the driver in every round.  Where no
+    endpoint is hot there are no salts, nor a list of them to send out.
     """
 
     def __init__(self, edges: DataFrame):
         self.base = cut_lineage(edges)
         self.count = self.base.count()
         self._hot: dict[str, DataFrame] = {}
+        self._any_hot: dict[str, bool] = {}
         self._stored: dict[str, DataFrame] = {}
 
     def hot(self, end: str) -> DataFrame:
@@ -179,10 +182,16 @@ class PreparedEdges:
             self._hot[end] = cut_lineage(hot_keys(self.base, [end]))
         return self._hot[end]
 
+    def any_hot(self, end: str) -> bool:
+        if end not in self._any_hot:
+            self._any_hot[end] = not self.hot(end).isEmpty()
+        return self._any_hot[end]
+
     def stored(self, end: str) -> DataFrame:
+        """The edges in buckets; with the column ``__salt`` where an endpoint is hot."""
         if end not in self._stored:
-            salted = add_salt(self.base, self.hot(end), [end])
-            self._stored[end] = store_bucketed(salted, [end, "__salt"], self.count, f"edges_{end}")
+            salted, keys = (add_salt(self.base, self.hot(end), [end]), [end, "__salt"]) if self.any_hot(end) else (self.base, [end])
+            self._stored[end] = store_bucketed(salted, keys, self.count, f"edges_{end}")
         return self._stored[end]
 
     def join(self, state: DataFrame, end: str, edges: DataFrame | None = None, many: bool = False) -> DataFrame:
@@ -192,13 +201,14 @@ class PreparedEdges:
         vertices are spread over salts of their own, and the edges repeated for them.
         """
         renamed = state.select(*[F.col(c).alias(end if c == "id" else f"{end}_{c}") for c in state.columns])
-        left = self.stored(end) if edges is None else add_salt(edges, self.hot(end), [end])
-        if not many:
-            return left.join(repeat_per_salt(renamed, self.hot(end), [end]), [end, "__salt"]).drop("__salt")
-        hot = hot_keys(renamed, [end])
-        right = repeat_per_salt(add_salt(renamed, hot, [end], "__state_salt"), self.hot(end), [end])
-        left = repeat_per_salt(left, hot, [end], "__state_salt")
-        return left.join(right, [end, "__salt", "__state_salt"]).drop("__salt", "__state_salt")
+        salted = self.any_hot(end)
+        left = self.stored(end) if edges is None else add_salt(edges, self.hot(end), [end]) if salted else edges
+        hot = hot_keys(renamed, [end]) if many else None
+        right = add_salt(renamed, hot, [end], "__state_salt") if many else renamed
+        right = repeat_per_salt(right, self.hot(end), [end]) if salted else right
+        left = repeat_per_salt(left, hot, [end], "__state_salt") if many else left
+        salts = ["__salt"] * salted + ["__state_salt"] * many
+        return left.join(right.hint("merge"), [end, *salts]).drop(*salts)
 
     def join_src(self, state: DataFrame, edges: DataFrame | None = None, many: bool = False) -> DataFrame:
         return self.join(state, "src", edges, many)
@@ -247,7 +257,7 @@ def pregel(
         for end in ends:
             triplets = edges.join(state, end, triplets)
         merged = collect_messages(triplets, sends, merge).withColumn("__got", F.lit(True))
-        joined = state.join(merged, "id", "left")
+        joined = state.join(merged.hint("merge"), "id", "left")
         if aggregator is not None:
             joined = attach_row(joined, state.agg(aggregator.alias("total")))
         got = F.col("__got")

@@ -49,7 +49,7 @@ def message_passing(
         messages = cut_lineage(collect_messages(_live_triplets(edges, state, direction, ends), sends, merge))
         if messages.isEmpty():
             break
-        joined = state.drop("active").join(messages.withColumn("active", F.lit(True)), "id", "left")
+        joined = state.drop("active").join(messages.withColumn("active", F.lit(True)).hint("merge"), "id", "left")
         got = F.coalesce("active", F.lit(False))
         new = [F.when(got, update[n]).otherwise(F.col(n)).alias(n) if n in update else F.col(n) for n in names]
         state = cut_lineage(joined.select("id", *new, got.alias("active")))

@@ -103,14 +103,15 @@ def salted_join(
     rows on the other side are repeated once per salt.  Valid for joins that
     keep the big side: inner, left, left_semi, left_anti.  ``hot`` spares the
     count of the big side where its hot keys are known already; ``distinct`` says
-    that no two rows of the big side are equal.
+    that no two rows of the big side are equal.  The sides are merged: both may be
+    too large to pass through the driver.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     keys = list(keys)
     hot = hot_keys(big, keys) if hot is None else hot
     left, right = add_salt(big, hot, keys, distinct=distinct), repeat_per_salt(small, hot, keys)
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def bounded_cross(left: DataFrame, right: DataFrame, max_rows: int = 10_000) -> DataFrame:

@@ -285,3 +285,17 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     ring = spark.range(500).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(500)).alias("dst"))
     got = strongly_connected_components(Graph.from_edges(ring))
     assert got.filter("component <> 0").isEmpty() and got.count() == 500
+
+
+def test_rounds_broadcast_neither_state_nor_an_empty_list_of_hot_ends(spark):
+    """State would pass through the driver in every round; only a list of hot ends may, where there are any."""
+
+    def plan(g):
+        return g.prepared.triplets(g.vertices.withColumn("v", F.col("id") * 2), rounds=True)._jdf.queryExecution().optimizedPlan().toString()
+
+    chain = graph(spark, [(i, i + 1) for i in range(50)])
+    assert "strategy=broadcast" not in plan(chain) and plan(chain).count("strategy=merge") == 2
+    star = Graph.from_edges(spark.range(1, 3000).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")))
+    assert star.prepared.any_hot("dst") and not star.prepared.any_hot("src")
+    found = star.prepared.triplets(star.vertices.withColumn("v", F.col("id") * 2), rounds=True)
+    assert found.filter("src_v = 2 * src AND dst_v = 0").count() == 2999

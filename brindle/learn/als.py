@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import scratch_path
+from brindle.session import MAX_BUCKETS, scratch_path
 
 #: Ratings that one task solves for; a block with more is split by the other side.
 UNIT = 1_000_000
@@ -45,6 +46,13 @@ def _table(schema: str, **columns) -> pa.Table:
     return pa.table([pa.array(columns[n], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
+def _stored(df: DataFrame, keys: tuple[str, ...], buckets: int, path: str) -> DataFrame:
+    """Written in buckets of ``keys``, by which the rows are dealt to tasks: groups and joins read them in place, round after round."""
+    name = f"brindle_als_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _side(ratings: DataFrame, own: str, other: str, rows: int, other_blocks: int, folder: str) -> Side:
     """Write in-links and out-links; the ratings are read here and not again."""
     spark = ratings.sparkSession
@@ -65,8 +73,9 @@ def _side(ratings: DataFrame, own: str, other: str, rows: int, other_blocks: int
             src=[_packed(ids, "<i8") + _packed(np.searchsorted(ids, src[order]), "<i4")], dst=[_packed(dst[order], "<i8")], rating=[_packed(rating[order], "<f8")],
         )
 
-    placed.groupBy("block", "part").applyInArrow(unit, IN_LINKS).write.parquet(f"{folder}/links")
-    links = spark.read.parquet(f"{folder}/links")
+    units = min(parts.agg(F.sum("parts")).first()[0] or 1, MAX_BUCKETS)
+    dealt = placed.repartition(units, "block", "part").groupBy("block", "part")
+    links = _stored(dealt.applyInArrow(unit, IN_LINKS), ("block", "part"), units, f"{folder}/links")
 
     def wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,8 +91,9 @@ def _side(ratings: DataFrame, own: str, other: str, rows: int, other_blocks: int
         first = {c: [found.column(c)[0].as_py()] for c in ("block", "to", "part")}
         return pa.table({**first, "ids": pa.array([_packed(ids, "<i8")], pa.binary())})
 
-    needs.groupBy("block", "to", "part").applyInArrow(lists, "block long, to long, part long, ids binary").write.parquet(f"{folder}/needs")
-    return Side(links, spark.read.parquet(f"{folder}/needs"), blocks, parts)
+    buckets = min(other_blocks, MAX_BUCKETS)
+    listed = needs.repartition(buckets, "block").groupBy("block", "to", "part").applyInArrow(lists, "block long, to long, part long, ids binary")
+    return Side(links, _stored(listed, ("block",), buckets, f"{folder}/needs"), blocks, parts)
 
 
 def _solved(ids: np.ndarray, sums: np.ndarray, rank: int, reg: float) -> np.ndarray:
@@ -160,14 +170,16 @@ def als(ratings: DataFrame, rank: int, rounds: int, reg: float, start: float | N
 
     Squared error plus ``reg`` times the squared length of every factor.  Items
     begin at ``start`` in every place, or at random numbers from their id.
-    Ratings are read once for each side, to build who needs whose factor; a round
-    moves factors, each once per unit of up to ``UNIT`` ratings that needs it,
-    and never a rating.  An id with more ratings than that is solved from sums
+    Ratings are worked out once and written, and read from there to build who
+    needs whose factor; a round moves factors, each once per unit of up to
+    ``UNIT`` ratings that needs it, and never a rating.  An id with more ratings than that is solved from sums
     of several units.  Rows with a null are left out, repeated ones count each.
     """
     kinds = dict(ratings.dtypes)
     spark, folder = ratings.sparkSession, scratch_path(ratings.sparkSession, "als")
     rows = ratings.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"), F.col("rating").cast("double").alias("rating")).dropna()
+    rows.write.parquet(f"{folder}/ratings")
+    rows = spark.read.parquet(f"{folder}/ratings")
     n = rows.count()
     blocks = max(1, -(-n // UNIT))
     users = _side(rows, "user", "item", n, blocks, f"{folder}/users")

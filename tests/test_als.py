@@ -64,3 +64,25 @@ def test_rounds_move_factors_and_no_ratings(spark):
     _, q = als(spark.read.parquet(folder), 1, 1, 0.1, start=1.0)
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert folder not in plan and "Join" not in plan
+
+
+def test_ratings_are_worked_out_once_and_links_stay_where_they_are(spark, monkeypatch):
+    """The frame of ratings may be a costly join: its rows are made once, and no round deals links out anew."""
+    monkeypatch.setattr(module, "UNIT", 40)
+    seen, plans, inner = spark.sparkContext.accumulator(0), [], module._half_round
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def half_round(side, factors, *rest):
+        plans.append(side.links.groupBy("block", "part").count()._jdf.queryExecution().executedPlan().toString())
+        plans.append(side.needs.groupBy("block").count()._jdf.queryExecution().executedPlan().toString())
+        return inner(side, factors, *rest)
+
+    monkeypatch.setattr(module, "_half_round", half_round)
+    df = spark.createDataFrame(ratings(4, 200, 30, 20), "user long, item long, rating double").mapInArrow(counted, "user long, item long, rating double")
+    users, items = als(df, 1, 1, 0.1, start=1.0)
+    assert users.count() <= 30 and items.count() <= 20 and seen.value == 200
+    assert len(plans) == 4 and not any("Exchange" in p for p in plans)

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.relational import attach_row, hot_from_counts, salted_join, spread_out
+from brindle.operators.relational import attach_row, hot_from_counts, salted_join
 from brindle.session import scratch_path
 
 
 def terms(df: DataFrame, key: str, text: str, pattern: str = r"[ \n\t]+") -> DataFrame:
-    """Rows (key, term, tf) over the whole text."""
-    words = spread_out(df.select(key, text)).select(key, F.explode(F.split(text, pattern)).alias("term")).filter("term <> ''")
+    """Rows (key, term, tf) over the whole text.
+
+    The texts are dealt by key before they are cut, so that all rows of a key are
+    in one task: a text is far shorter than its rows of terms.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = df.select(key, text).repartition(tasks, key).select(key, F.explode(F.split(text, pattern)).alias("term")).filter("term <> ''")
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -38,10 +44,11 @@ def tf_idf(tf: DataFrame, key: str) -> DataFrame:
     """Rows (key, term, weight); a term of a third of all rows is salted in the join.
 
     The terms are written once, and so are their document counts, which also say
-    which terms are hot.
+    which terms are hot.  Equal terms of a task stand together, which makes the
+    rows that are written and dealt by term much smaller.
     """
     spark, folder = tf.sparkSession, scratch_path(tf.sparkSession, "tf-idf")
-    tf.write.parquet(f"{folder}/tf")
+    tf.sortWithinPartitions("term").write.parquet(f"{folder}/tf")
     tf = spark.read.parquet(f"{folder}/tf")
     tf.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/df")
     counts = spark.read.parquet(f"{folder}/df")

@@ -153,3 +153,12 @@ def test_parameter_table_round_descends(spark):
 def test_adadelta_first_step():
     rule = neural.AdaDelta(1)
     assert rule(np.array([2.0]))[0] == pytest.approx(2 * math.sqrt(1e-8) / math.sqrt(1e-8 + 0.01 * 4))
+
+
+def test_texts_are_dealt_by_key_before_they_are_cut_into_terms(spark):
+    """One shuffle, of the texts; rows of terms are many times longer."""
+    rows = [(1, "a b a"), (1, "b c"), (None, "a"), (None, " a\n"), (2, None), (3, "")]
+    found = ft.terms(spark.createDataFrame(rows, "k long, x string"), "k", "x")
+    assert sorted((r.k or 0, r.term, r.tf) for r in found.collect()) == [(0, "a", 2), (1, "a", 2), (1, "b", 2), (1, "c", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(k") == 1 and "REPARTITION_BY_NUM" in plan

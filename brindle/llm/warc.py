@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import chunked, empty_if_null, utf8_buffers
+from brindle.llm.common import CHUNK_BYTES, chunked, empty_if_null, utf8_buffers
 from brindle.session import scratch_path
 
 #: Payloads below this size are stored whole even if they repeat.
@@ -166,17 +166,29 @@ def read_records(index: DataFrame, gap: int = GAP_BYTES, most: int = RANGE_BYTES
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kinds = _arrow(schema, batch)
             for i in range(batch.num_rows):
-                file, start, end, records = (batch.column(c)[i].as_py() for c in ("file", "start", "end", "records"))
-                store, path = pafs.FileSystem.from_uri(file)
-                with store.open_input_file(path) as source:
-                    data = source.read_at(end - start, start)
-                rows = [_checked(data[r["offset"] - start : r["offset"] - start + r["length"]], r) for r in records]
-                yield pa.RecordBatch.from_pylist(rows, schema=_arrow(schema, batch))
+                yield from _read_range(*(batch.column(c)[i].as_py() for c in ("file", "start", "end", "records")), kinds)
 
     return coalesced_ranges(index, gap, most).mapInArrow(read, schema)
 
 
+def _read_range(file: str, start: int, end: int, records: list[dict], kinds: pa.Schema, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Records of one range, in batches of about ``limit`` bytes of payload: a range holds many times its size when unpacked."""
+    store, path = pafs.FileSystem.from_uri(file)
+    with store.open_input_file(path) as source:
+        data = memoryview(source.read_at(end - start, start))
+    rows, held = [], 0
+    for r in records:
+        rows.append(_checked(data[r["offset"] - start : r["offset"] - start + r["length"]], r))
+        held += len(rows[-1]["payload"] or b"")
+        if held >= limit:
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+
 def _arrow(schema: T.StructType, batch: pa.RecordBatch) -> pa.Schema:
     record = batch.schema.field("records").type.value_type
     kinds = {"payload": pa.binary()}

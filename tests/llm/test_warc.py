@@ -64,3 +64,21 @@ def test_records_are_gzip_members_with_clean_headers():
 def test_empty_table(spark):
     index = W.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert W.payload_facts(W.read_records(index)).collect() == []
+
+
+def test_a_range_is_unpacked_in_batches_of_bounded_size(tmp_path):
+    """Payloads of 100 KB each that take up some hundred bytes in the archive."""
+    import pyarrow as pa
+
+    payloads = [bytes([65 + i]) * 100_000 for i in range(20)]
+    digests = [hashlib.sha256(x).hexdigest() for x in payloads]
+    members = [W.encode_record(i, "http://a/", x, d, "response", None) for i, (x, d) in enumerate(zip(payloads, digests, strict=True))]
+    (tmp_path / "a.gz").write_bytes(b"".join(members))
+    at, records = 0, []
+    for i, (m, d) in enumerate(zip(members, digests, strict=True)):
+        records.append({"offset": at, "length": len(m), "page_id": i, "url": "http://a/", "digest": d, "kind": "response", "refers_to": None})
+        at += len(m)
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload", pa.binary())])
+    batches = list(W._read_range(f"{tmp_path}/a.gz", 0, at, records, kinds, 300_000))
+    assert [b.num_rows for b in batches] == [3] * 6 + [2]
+    assert [x for b in batches for x in b.column("payload").to_pylist()] == payloads

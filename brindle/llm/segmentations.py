@@ -172,7 +172,11 @@ class Lattices:
         self.is_end[self.start + sizes] = True
         left_of = np.zeros(nodes, np.int32)
         left_of[char_node] = left
-        order = np.argsort(left_of[source].astype(np.int64) * nodes + source, kind="stable")
+        # By characters left, then by source: each length's edges come by source already, and short keys are dealt, not compared.
+        order = np.argsort(source, kind="stable")
+        by_left = left_of[source[order]]
+        short = int(by_left.max(initial=0)) < 1 << 16
+        order = order[np.argsort(by_left.astype(np.uint16) if short else by_left, kind="stable")]
         self.source, self.target, self.piece = source[order], target[order], piece[order]
         self._name_and_weigh(vocabulary)
         self._sum_up(nodes, left_of)
@@ -232,9 +236,10 @@ class Lattices:
         self.last[self.source[new]] = np.append(new[1:], len(left)) - 1
         # Added up node by node, so that rounding does not depend on the nodes before.
         self.cumulative = chance.copy()
-        nth = np.arange(len(left)) - self.first[self.source]
-        for k in range(1, int(nth.max(initial=0)) + 1):
-            e = np.flatnonzero(nth == k)
+        e, last = new, self.last[self.source[new]] if len(new) else new
+        while len(e):
+            on = e < last
+            e, last = e[on] + 1, last[on]
             self.cumulative[e] += self.cumulative[e - 1]
         self.chance = chance
         # What leaving a path at an edge's node weighs: the other edges, none where there is no other.

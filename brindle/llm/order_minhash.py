@@ -16,11 +16,14 @@ from brindle.llm.components import classes
 from brindle.session import scratch_path
 
 WORDS = 5
-#: Texts in a block.  Blocks of a bucket meet two by two, so a task holds two of them, without their words.
-BLOCK = 512
-#: Counters per text that bound the words two texts have in common; a counter ends at ``FULL``.
-BINS = 256
-FULL = 255
+#: Rarest words in a block.  A bucket of more is dealt to blocks that meet two by two, so a task holds two of them.
+BLOCK = 1 << 20
+#: Counters, by the first bits of a word, that put words in order, the rarest first.
+ORDER_BITS = 18
+#: Words that a pair must share among the rarest of both texts; see :func:`_rarest`.
+SHARED = 16
+#: Steps of counting shared words that are held at once.
+STEPS = 1 << 21
 #: Bytes of words on either side of a tile in which pairs are aligned.
 TILE = 32 << 20
 SIMILARITY = 0.8
@@ -231,20 +234,68 @@ def _sequence_digests(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(row_key, words, bins) of the texts of ``nodes(row_key)``: word ids, four bytes each, and how many have each first byte."""
+    """(row_key, words) of the texts of ``nodes(row_key)``: word ids, four bytes each."""
     texts = docs.select(content_key("doc_id", "text").alias("row_key"), "text")
     wanted = texts.join(nodes, "row_key", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text", CHUNK):
             words, at = word_hashes(*utf8_buffers(batch.column("text")))
-            packed = (words >> np.uint64(32)).astype("<u4").tobytes()
-            values = [packed[4 * i : 4 * j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
-            place = np.repeat(np.arange(len(values)) * BINS, np.diff(at)) + (words >> np.uint64(56)).astype(np.int64)
-            bins = np.minimum(np.bincount(place, minlength=len(values) * BINS), FULL).astype(np.uint8).reshape(-1, BINS)
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(values, pa.binary()), pa.array([b.tobytes() for b in bins], pa.binary())], ["row_key", "words", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), _packed((words >> np.uint64(32)).astype("<u4"), at)], ["row_key", "words"])
 
-    return wanted.mapInArrow(run, "row_key long, words binary, bins binary")
+    return wanted.mapInArrow(run, "row_key long, words binary")
+
+
+def _packed(words: np.ndarray, at: np.ndarray) -> pa.Array:
+    raw = words.tobytes()
+    return pa.array([raw[4 * i : 4 * j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.binary())
+
+
+def _word_counts(sequences: DataFrame) -> np.ndarray:
+    """How often words with the same first bits stand in the texts, as many numbers as there are such bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in chunked(batches, "words", CHUNK):
+            words = utf8_buffers(batch.column("words"))[0].view("<u4")
+            total += np.bincount(words >> np.uint32(32 - ORDER_BITS), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bits", "n"])
+
+    found = sequences.select("words").mapInArrow(run, "bits int, n long").groupBy("bits").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    counts[found.column("bits").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _rarest(sequences: DataFrame, least: float) -> DataFrame:
+    """(node, rare): of each text, sorted by how often the words stand in all of them, the first t + ``SHARED`` words.
+
+    A text of n words has at most t edits to one that is as long or shorter, so it shares
+    n - t words with it, and more with a longer one.  Of the words that two such texts
+    share, the k-th in any one order of all words stands among the first t + k of either.
+    So similar texts share ``SHARED`` of these words, or all they must share if that is
+    less; which order it is does not matter, but rare words are shared by few.
+    """
+    shared = sequences.sparkSession.sparkContext.broadcast(_word_counts(sequences))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, "words", CHUNK):
+            raw, at = utf8_buffers(batch.column("words"))
+            words, at = raw.view("<u4"), at // 4
+            sizes = np.diff(at)
+            taken = np.minimum(sizes, _edits(sizes, least) + SHARED)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((words, shared.value[words >> np.uint32(32 - ORDER_BITS)], text))
+            first = order[np.arange(len(words)) - at[text] < taken[text]]
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), _packed(words[first], np.concatenate([[0], np.cumsum(taken)]))], ["node", "rare"])
+
+    return sequences.select("row_key", "words").mapInArrow(run, "node long, rare binary")
+
+
+def _edits(longer: np.ndarray, least: float) -> np.ndarray:
+    """The most edits that two similar texts have, the longer of ``longer`` words."""
+    return ((1 - least) * longer + 1e-9).astype(np.int64)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
@@ -291,8 +342,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Texts with the same words collapse first.  A bucket holds the texts with
     one sketch key.  Each is compared with the first text of the bucket's largest
     class; a text that stays outside that class is compared with every text of
-    the bucket that no link has joined to it.  So classes are those of all pairs
-    that share a bucket, and a bucket of many unlike texts costs their square.
+    the bucket that no link has joined to it and that shares enough of its rarest
+    words.  So classes are those of all pairs that share a bucket, but many unlike
+    texts of one passage do not meet pair by pair.
 
     Nulls: a null text has no words; texts without words are one class.  A null
     doc_id sorts after all others.  Rows that share the class id are all kept.
@@ -322,66 +374,79 @@ def _linked(docs: DataFrame, texts: DataFrame, written, least: float) -> DataFra
     The texts of each mixed bucket are compared with the first text of its
     largest class, once before anything is known and once more where links have
     made another class the largest.  That leaves few texts outside where texts are
-    alike; each of them then meets every text of the bucket, in blocks.
+    alike; each of them then meets the texts of the bucket with which it shares rare words.
+    A bucket of two texts is done with the first comparison.
     """
-    keys = texts.select("node", F.posexplode("keys").alias("j", "key"))
+    keys = texts.select("node", F.col("n_words").cast("int").alias("size"), F.posexplode("keys").alias("j", "key"))
     sketch_or_piece = F.least("j", F.lit(SKETCHES + SINGLES))
-    rows = keys.select(F.xxhash64(sketch_or_piece, "key").alias("bucket"), "node")
+    rows = keys.select(F.xxhash64(sketch_or_piece, "key").alias("bucket"), "node", "size")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = written(rows.join(shared, "bucket"), "rows")
     sequences = written(_sequences(docs, rows.select(F.col("node").alias("row_key")).distinct()), "sequences")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     edges = None
     live = written(_mixed_buckets(rows, roots), "live-0")
+    longer = F.greatest("size", "first.size")
+    near = F.abs(F.col("size") - F.col("first.size")) <= F.floor(F.lit(1 - least) * longer + F.lit(1e-9))
     for again in (False, True):
-        pairs = live.filter("root <> major")
+        pairs = live.filter("root <> major").filter(near)
         if again:
-            pairs = pairs.filter("not (first <=> first_before)")
+            pairs = pairs.filter("not (first.node <=> first_before)")
         if pairs.isEmpty():
             break
-        pairs = written(pairs.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), f"pairs-{int(again)}")
+        pairs = written(pairs.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct(), f"pairs-{int(again)}")
         found = written(_verified(pairs, texts, sequences, least), f"edges-{int(again)}")
         if found.isEmpty():
             break
         edges = found if edges is None else edges.unionAll(found)
         roots = classes(edges)
-        before = live.select("bucket", "node", F.col("first").alias("first_before"))
+        before = live.select("bucket", "node", "size", F.col("first.node").alias("first_before"))
         live = written(_mixed_buckets(before, roots), f"live-{1 + again}")
+    live = live.filter("n > 2")
     if live.isEmpty():
         return roots
-    pairs = written(_candidates(_blocks(live), texts, sequences, least).distinct(), "pairs-blocks")
+    pairs = written(_candidates(_blocks(live, least), sequences, least).distinct(), "pairs-blocks")
     found = written(_verified(pairs, texts, sequences, least), "edges-blocks")
     if found.isEmpty():
         return roots
     return classes(found if edges is None else edges.unionAll(found))
 
 
-def _blocks(live: DataFrame) -> DataFrame:
-    """(bucket, node, root, own, low, high): every text in each pair of blocks (low, high) where its own block meets another.
+def _blocks(live: DataFrame, least: float) -> DataFrame:
+    """(bucket, node, size, root, out, earlier, own, low, high): every text in each pair of blocks (low, high) where its own block meets another.
 
-    Texts outside the largest class of their bucket and texts of that class are dealt to
+    ``out`` says that a text is outside the largest class of its bucket, and ``earlier`` are
+    its buckets before this one.  A bucket of at most ``BLOCK`` words is one block.  In a larger one, texts
+    outside the largest class and texts of that class are dealt to
     blocks apart, the former numbered first.  A block of the former meets all blocks.
     """
-    sized = live.withColumn("out", F.col("root") != F.col("major"))
+    held = live.groupBy("node").agg(F.collect_list("bucket").alias("held"))
+    listed = live.join(held, "node").withColumn("earlier", F.filter("held", lambda b: b < F.col("bucket")))
+    sized = listed.withColumn("out", F.col("root") != F.col("major"))
+    cost = F.least("size", F.floor(F.lit(1 - least) * F.col("size")) + SHARED)
 
     def parts(of: Column) -> Column:
-        return F.ceil(F.count(F.when(of, 1)) / BLOCK)
+        return F.coalesce(F.ceil(F.sum(F.when(of, cost)) / BLOCK), F.lit(0).cast("long"))
 
-    buckets = sized.groupBy("bucket").agg(parts(F.col("out")).alias("outer"), parts(~F.col("out")).alias("inner"))
+    dealt_to = live.withColumn("out", F.col("root") != F.col("major")).groupBy("bucket")
+    buckets = dealt_to.agg((F.sum(cost) <= BLOCK).alias("small"), parts(F.col("out")).alias("outer"), parts(~F.col("out")).alias("inner"))
     own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), "outer")).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), "inner"))
-    met = F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
-    dealt = sized.join(buckets, "bucket").select("bucket", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("other"))
-    return dealt.select("bucket", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    own = F.when(F.col("small"), F.lit(0).cast("long")).otherwise(own)
+    met = F.when(F.col("small"), F.lit(1).cast("long")).when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
+    held_names = ["bucket", "node", "size", "root", "out", "earlier"]
+    dealt = sized.join(buckets, "bucket").select(*held_names, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("other"))
+    return dealt.select(*held_names, "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
-def _candidates(blocks: DataFrame, texts: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+def _candidates(blocks: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b), a below b, of texts of different classes that meet in a pair of blocks and may be similar.
 
-    What meets is the length of each text and its counters; the words follow for the pairs that are left.
+    What meets is the length of each text and its rarest words; all words follow for the pairs that are left.
+    A pair comes from the first of the buckets that hold both texts.
     """
     names = ["bucket", "low", "high"]
-    signatures = sequences.select(F.col("row_key").alias("node"), "bins").join(texts.select("node", "n_words"), "node")
-    met = blocks.join(signatures, "node")
+    wanted = sequences.join(blocks.select(F.col("node").alias("row_key")).distinct(), "row_key", "left_semi")
+    met = blocks.join(_rarest(wanted, least), "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, names):
@@ -413,45 +478,90 @@ def _runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.Ta
 
 
 def _possible(group: pa.Table, least: float) -> np.ndarray:
-    """Pairs of a block, or of two, that lengths and words in common leave possible.
+    """Pairs of a block, or of two, that lengths and rarest words leave possible and that no earlier bucket holds.
 
-    Two texts have at most as many words in common as the smaller of their
-    counters add up to.  A counter that is full in both says nothing.
+    One text of a pair is outside the bucket's largest class.  Shared words are counted along the
+    lists of the texts that have them, for some of the texts at once.
     """
-    node, label, own, size = (group.column(c).to_numpy() for c in ("node", "root", "own", "n_words"))
-    bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-    full = bins == FULL
-    some_full = full.any(axis=1)
+    node, label, own, size = (group.column(c).to_numpy() for c in ("node", "root", "own", "size"))
+    out = group.column("out").to_numpy(zero_copy_only=False)
     same = group.column("low")[0] == group.column("high")[0]
-    high = group.column("high")[0].as_py()
-    n = len(node)
-    out = [np.empty((0, 2), np.int64)]
-    right = np.flatnonzero(own == high)
-    for i in range(n) if same else np.flatnonzero(own != high).tolist():
-        others = np.arange(i + 1, n) if same else right
-        others = others[label[others] != label[i]]
-        longer = np.maximum(size[i], size[others])
-        most = ((1 - least) * longer + 1e-9).astype(np.int64)
-        on = np.abs(size[i] - size[others]) <= most
-        others, longer, most = others[on], longer[on], most[on]
-        on = longer - np.minimum(bins[others], bins[i]).sum(axis=1, dtype=np.int64) <= most
-        if some_full[i]:
-            on |= (full[others] & full[i]).any(axis=1)
-        others = others[on]
-        out.append(np.column_stack([np.minimum(node[i], node[others]), np.maximum(node[i], node[others])]))
-    return np.unique(np.concatenate(out), axis=0)
+    right = np.ones(len(node), bool) if same else own == group.column("high")[0].as_py()
+    rows = np.flatnonzero(out & (right if same else ~right))
+    word, at = _labelled_words(group.column("rare").to_pylist())
+    held = np.bincount(word)
+    start = np.cumsum(held) - held
+    text = np.repeat(np.arange(len(node)), np.diff(at))[np.argsort(word, kind="stable")]
+    steps = np.concatenate([[0], np.cumsum(held[word])])[at]
+    found, low = [np.empty((0, 2), np.int64)], 0
+    while low < len(rows):
+        cost = np.cumsum((steps[1:] - steps[:-1])[rows[low:]] + len(node))
+        part = rows[low : low + max(1, int(np.searchsorted(cost, STEPS, side="right")))]
+        low += len(part)
+        mine = word[_spread(at[part], at[part + 1])]
+        who = np.repeat(np.repeat(np.arange(len(part)), at[part + 1] - at[part]), held[mine])
+        shared = np.bincount(who * len(node) + text[_spread(start[mine], start[mine] + held[mine])], minlength=0)
+        hit = np.flatnonzero(shared)
+        x, y = part[hit // len(node)], hit % len(node)
+        longer = np.maximum(size[x], size[y]).astype(np.int64)
+        most = _edits(longer, least)
+        on = (label[x] != label[y]) & (np.abs(size[x] - size[y]) <= most) & (shared[hit] >= np.minimum(SHARED, longer - most))
+        on &= right[y] & ((y > x) | ~out[y] | (not same))
+        found.append(np.column_stack([x[on], y[on]]))
+    pairs = np.concatenate(found)
+    pairs = pairs[~_met_before(pairs, group.column("earlier").to_pylist())]
+    return np.sort(node[pairs], axis=1)
+
+
+def _labelled_words(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of every word, its n-th occurrence in a text apart from the others, and the words before each text."""
+    words = np.frombuffer(b"".join(packed), "<u4").astype(np.uint64)
+    at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int64)
+    new = np.ones(len(words), bool)
+    new[1:] = words[1:] != words[:-1]
+    new[at[:-1][at[:-1] < len(words)]] = True
+    run = np.flatnonzero(new)
+    nth = np.arange(len(words)) - np.repeat(run, np.diff(np.append(run, len(words))))
+    return np.unique(words | nth.astype(np.uint64) << np.uint64(32), return_inverse=True)[1], at
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All places from each of ``low`` up to its ``high``, one range after the other."""
+    size = high - low
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _met_before(pairs: np.ndarray, earlier: list[list[int]]) -> np.ndarray:
+    """Whether the two texts of each pair have one of their earlier buckets in common."""
+    at = np.concatenate([[0], np.cumsum([len(e) for e in earlier])]).astype(np.int64)
+    met = np.zeros(len(pairs), bool)
+    if not at[-1]:
+        return met
+    keys, bucket = np.unique(np.concatenate([np.array(e, np.int64) for e in earlier]), return_inverse=True)
+    codes = np.sort(np.repeat(np.arange(len(earlier)), np.diff(at)) * len(keys) + bucket)
+    x, y = pairs[:, 0], pairs[:, 1]
+    sizes = at[x + 1] - at[x]
+    low, before = 0, np.concatenate([[0], np.cumsum(sizes)])
+    while low < len(pairs):
+        high = max(low + 1, int(np.searchsorted(before, before[low] + STEPS, side="right")) - 1)
+        i = np.repeat(np.arange(low, high), sizes[low:high])
+        code = y[i] * len(keys) + bucket[_spread(at[x[low:high]], at[x[low:high] + 1])]
+        place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        met[i[codes[place] == code]] = True
+        low = high
+    return met
 
 
 def _mixed_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one class: each with its root, the root of the largest class and that class's first text.
+    """Rows of the buckets that hold more than one class: each with its root, the bucket's size, the root of the largest class and that class's first text.
 
     Classes are counted in each task before the shuffle; a bucket meets as one row per class.
     """
     labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("first"))
     largest = F.max(F.struct("n", F.bitwise_not("root").alias("order"), "root", "first")).alias("l")
-    buckets = parts.groupBy("bucket").agg(largest, F.count("*").alias("classes")).filter("classes > 1")
-    return labelled.join(buckets.select("bucket", F.col("l.root").alias("major"), F.col("l.first").alias("first")), "bucket")
+    buckets = parts.groupBy("bucket").agg(largest, F.count("*").alias("classes"), F.sum("n").alias("n")).filter("classes > 1")
+    return labelled.join(buckets.select("bucket", "n", F.col("l.root").alias("major"), F.col("l.first").alias("first")), "bucket")
 
 
 def kept_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -189,6 +189,61 @@ def test_full_counters_do_not_hide_a_pair(spark):
     assert got == want
 
 
+def candidates_of(monkeypatch):
+    seen = []
+    original = M._candidates
+
+    def counted(*args):
+        found = original(*args)
+        seen.extend((r.a, r.b) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(M, "_candidates", counted)
+    return seen
+
+
+def test_unlike_long_texts_of_one_passage_are_no_candidates(spark, monkeypatch):
+    seen = candidates_of(monkeypatch)
+    passage = [f"p{i}" for i in range(800)]
+    texts = [" ".join(passage + [f"g{g}w{i}" for i in range(6000)]) for g in range(40)]
+    got, want = against_brute_force(spark, texts)
+    assert got == want and len(set(got.values())) == 40
+    assert not seen
+
+
+def test_a_pair_comes_from_one_bucket_alone(spark, monkeypatch):
+    """Texts of one form with own words in a quarter of it share most buckets and are not similar."""
+    seen = candidates_of(monkeypatch)
+    form = [f"p{i}" for i in range(75)]
+    texts = [" ".join(form + ["and"] * 15 + [f"g{g}w{i}" for i in range(10)] + ["or", "the"] * (g % 5) + [f"h{g}"] * 4) for g in range(30)]
+    got, want = against_brute_force(spark, texts)
+    assert got == want
+    assert seen == [] or len(seen) == len(set(seen))
+
+
+def test_blocks_of_a_large_bucket_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 300)
+    monkeypatch.setattr(M, "STEPS", 500)
+    test_near_copies_meet_among_many_unlike_texts_of_one_passage(spark)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_similar_texts_share_rarest_words(data):
+    a = data.draw(st.lists(st.integers(0, 9), min_size=1, max_size=60))
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, len(a) // 5))):
+        at = data.draw(st.integers(0, max(len(b) - 1, 0)))
+        b[at : at + data.draw(st.integers(0, 1))] = data.draw(st.lists(st.integers(0, 9), max_size=1))
+    longer = max(len(a), len(b))
+    if not b or not M.similar(np.array(a), np.array(b)):
+        return
+    rare = [sorted(t)[: int(M._edits(np.array([len(t)]), M.SIMILARITY)[0]) + M.SHARED] for t in (a, b)]
+    word, at = M._labelled_words([np.array(t, "<u4").tobytes() for t in rare])
+    x, y = (set(word[i:j].tolist()) for i, j in zip(at, at[1:], strict=False))
+    assert len(x & y) >= min(M.SHARED, longer - int(M._edits(np.array([longer]), M.SIMILARITY)[0]))
+
+
 def test_a_common_passage_does_not_join_documents(spark):
     rng = random.Random(3)
     passage = "the same passage stands in all of these texts and is a good part of each one of them".split()

@@ -445,8 +445,7 @@ def _candidates(blocks: DataFrame, sequences: DataFrame, least: float) -> DataFr
     A pair comes from the first of the buckets that hold both texts.
     """
     names = ["bucket", "low", "high"]
-    wanted = sequences.join(blocks.select(F.col("node").alias("row_key")).distinct(), "row_key", "left_semi")
-    met = blocks.join(_rarest(wanted, least), "node")
+    met = blocks.join(_rarest(sequences, least), "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, names):

@@ -211,14 +211,11 @@ def test_unlike_long_texts_of_one_passage_are_no_candidates(spark, monkeypatch):
     assert not seen
 
 
-def test_a_pair_comes_from_one_bucket_alone(spark, monkeypatch):
-    """Texts of one form with own words in a quarter of it share most buckets and are not similar."""
-    seen = candidates_of(monkeypatch)
-    form = [f"p{i}" for i in range(75)]
-    texts = [" ".join(form + ["and"] * 15 + [f"g{g}w{i}" for i in range(10)] + ["or", "the"] * (g % 5) + [f"h{g}"] * 4) for g in range(30)]
-    got, want = against_brute_force(spark, texts)
-    assert got == want
-    assert seen == [] or len(seen) == len(set(seen))
+def test_a_pair_of_an_earlier_bucket_is_left_out():
+    pairs = np.array([[0, 1], [0, 2], [1, 2], [3, 0]])
+    assert M._met_before(pairs, [[5, 7], [7], [9], []]).tolist() == [True, False, False, False]
+    assert M._met_before(pairs, [[], [], [], []]).tolist() == [False] * 4
+    assert M._met_before(np.empty((0, 2), np.int64), [[5], [5]]).tolist() == []
 
 
 def test_blocks_of_a_large_bucket_give_the_same_classes(spark, monkeypatch):
